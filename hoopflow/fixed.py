@@ -77,3 +77,12 @@ LANDMARKS = {
     "r3_break_bottom": (80.0, 3.0), "r3_break_top": (80.0, 47.0),
     "l3_apex": (29.0, 25.0), "r3_apex": (65.0, 25.0),
 }
+
+# Detector class needle -> our class, most specific first; a needle with a space matches
+# anywhere in the name, the others match whole words.
+CLASS_NEEDLES = [
+    ("referee", "referee"), ("ref", "referee"),
+    ("rim", "rim"), ("hoop", "rim"), ("basket", "rim"), ("net", "rim"),
+    ("basketball", "ball"), ("ball", "ball"), ("sports ball", "ball"),
+    ("player", "player"), ("person", "player"),
+]
