@@ -112,7 +112,8 @@ def pressure(px, py, dx, dy, rim=K.RIM) -> Column:
 def angle_between(ax, ay, bx, by) -> Column:
     """Angle of two vectors in degrees, 0 when either is degenerate."""
     c = _safe_cos(_c(ax), _c(ay), _c(bx), _c(by))
-    return F.coalesce(F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))), F.lit(0.0))
+    ang = F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c))))
+    return F.when(c.isNotNull(), ang).otherwise(0.0)
 
 
 def point_segment(px, py, ax, ay, bx, by) -> Column:

@@ -1,7 +1,8 @@
 """Loads every query module so that the registry is complete."""
 
-from hoopflow.plans import q_geometry  # noqa: F401
+from hoopflow.plans import q_geometry, q_possessions  # noqa: F401
+from hoopflow.plans.registry import Source
 
 
 def flagship(spark, sf_dir):
-    return None
+    return q_possessions.who_holds_where(Source(spark, sf_dir))
