@@ -18,8 +18,9 @@ def r4(c) -> Column:
     return F.floor(_c(c) * 10000 + 0.5) / 10000
 
 
-def half_even(c, digits: int) -> Column:
-    return F.bround(_c(c), digits)
+def rnd(c, digits: int) -> Column:
+    """Half-even rounding; ``rint`` stays in generated code, unlike decimal rounding."""
+    return F.rint(_c(c) * 10 ** digits) / 10 ** digits
 
 
 def basket_side(x) -> Column:
@@ -68,9 +69,13 @@ def on_court(x, y, margin: float = 5.0) -> Column:
             & _c(y).between(-margin, K.WIDTH + margin))
 
 
-def zone(x, y) -> Column:
-    """Shot zone of a canonical (attack-left) location; NULL position gives NULL."""
-    d, ang = polar(x, y)
+def zone(x, y, d=None, ang=None) -> Column:
+    """Shot zone of a canonical (attack-left) location; NULL position gives NULL.
+
+    ``d, ang`` may carry an already computed polar position.
+    """
+    if d is None:
+        d, ang = polar(x, y)
     side = F.when(ang > 30, "left").when(ang < -30, "right").otherwise("center")
     return (F.when(_c(x).isNull() | _c(y).isNull(), F.lit(None).cast("string"))
             .when(_c(x) > K.HALF_X, "backcourt")
