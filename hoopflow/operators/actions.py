@@ -31,7 +31,7 @@ def enumerate_actions(states: DataFrame) -> DataFrame:
 
     Numbered after pruning (``ord`` from 1, id ``a<ord>``); states without a handler drop out.
     """
-    d = states.where("handler IS NOT NULL")
+    d = ST.decided(states)
     h = F.col("handler")
     mates = F.filter("players", lambda p: (p["side"] == "offense") & (p["player_id"] != F.col("handler.player_id")))
     d = d.withColumn("_mates", mates)
@@ -47,7 +47,7 @@ def enumerate_actions(states: DataFrame) -> DataFrame:
             "SCREEN_WITH", h, target=t["player_id"], screener_dist=rnd(gap(t), 1)))),
         F.array(_candidate("RESET", h)))
     d = d.withColumn("_c", F.array_compact(branches)).drop("_mates")
-    d = d.select("*", F.size("_c").cast("long").alias("n_candidates"), F.posexplode("_c").alias("_pos", "_cand"))
+    d = ST.unnest(d.withColumn("n_candidates", F.size("_c").cast("long")), "_c", "_cand", "_pos")
     return (d.select(*states.columns, "n_candidates", (F.col("_pos") + 1).cast("long").alias("ord"), "_cand.*")
             .withColumn("action_id", F.concat(F.lit("a"), F.col("ord").cast("string"))))
 

@@ -89,8 +89,9 @@ def mean_pool(df: DataFrame, ents: str = "entities") -> DataFrame:
     """Order-free pooling of each state's entities to one mean per dimension and side."""
     mean = lambda a, f: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, e: s + e[f]) / F.size(a)).otherwise(0.0)
     out = {f"pool_{f}": mean(F.col(ents), f) for f in POOLED}
+    marked = lambda flag: F.filter(ents, lambda e: e[flag] > 0.5)
     for side in ("off", "def", "ball", "has_ball"):
-        part = F.filter(ents, lambda e, s=side: e[s] > 0.5)
+        part = marked(side)
         out |= {f"{side}_{f}": mean(part, f) for f in ("x", "y", "vx", "vy")}
     return df.withColumns(out)
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hoopflow import fixed as K
 from hoopflow.functions import geometry as G
 from hoopflow.operators import sequence as Q
+from hoopflow.operators.state import unnest
 
 EVENT = ["game_id", "event_id"]
 MOMENT_ORDER = ["event_pos", "moment_pos", "entity_pos"]
@@ -167,5 +168,4 @@ def possession_frames(moments: DataFrame, hot_rows: int | None = None) -> DataFr
 
 def player_rows(frames: DataFrame) -> DataFrame:
     """Frames back to one row per player."""
-    return frames.select("*", F.explode("players").alias("_p")).select(
-        *[c for c in frames.columns if c != "players"], "_p.*")
+    return unnest(frames, "players", "_p").select(*[c for c in frames.columns if c != "players"], "_p.*")

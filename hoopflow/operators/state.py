@@ -24,6 +24,21 @@ def nearest(defenders: Column, x: Column, y: Column) -> Column:
         q["x"].alias("x"), q["y"].alias("y"))))
 
 
+def unnest(df: DataFrame, array: str | Column, alias: str, pos: str | None = None) -> DataFrame:
+    """Explode without the filter that a plain ``explode`` infers.
+
+    That filter (size > 0) would be pushed below and evaluate the whole array expression a
+    second time.
+    """
+    gen = F.posexplode_outer(array).alias(pos, alias) if pos else F.explode_outer(array).alias(alias)
+    return df.select("*", gen).where(F.col(alias).isNotNull())
+
+
+def decided(states: DataFrame) -> DataFrame:
+    """States with a ball handler, by the plain id column for the same reason."""
+    return states.where("handler_player_id IS NOT NULL")
+
+
 def sorted_median(a: Column) -> Column:
     n = F.size(a)
     mid = (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
@@ -52,7 +67,8 @@ def hull_area(points: Column) -> Column:
     nxt = F.concat(F.slice(ring, 2, 1000000), F.slice(ring, 1, 1))
     twice = F.aggregate(F.zip_with(ring, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]),
                         F.lit(0.0), lambda s, v: s + v)
-    return F.when(F.size(points) >= 3, F.abs(twice) / 2).otherwise(0.0)
+    # Snapped to 1e-6, so that the order of the sum cannot show in later rounding.
+    return F.when(F.size(points) >= 3, rnd(F.abs(twice) / 2, 6)).otherwise(0.0)
 
 
 def scheme(offense: Column, defense: Column) -> Column:
@@ -71,7 +87,7 @@ def with_touches(frames: DataFrame, by: list[str], order) -> DataFrame:
          .rowsBetween(Window.unboundedPreceding, 0))
     rest = [c for c in frames.columns if c not in ("players", *by)]
     keep = F.struct(*rest).alias("_rest")
-    long = frames.select(*by, keep, F.explode("players").alias("_p"))
+    long = unnest(frames.select(*by, keep, "players"), "players", "_p").drop("players")
     held = F.col("_rest.handler_player_id") == F.col("_p.player_id")
     long = (long.select("*", *[F.col(f"_rest.{c}").alias(c) for c in ("frame_idx", "game_clock")])
             .withColumn("_t", F.last(F.when(held, F.col("game_clock")), True).over(w)))
@@ -149,7 +165,7 @@ def with_jersey(states: DataFrame, roster: DataFrame, max_rows: int = 100_000) -
         return (states.join(F.broadcast(m)).withColumn("players", F.transform(
             "players", lambda p: p.withField("jersey", F.try_element_at(F.col("_j"), p["player_id"])))).drop("_j"))
     keys = [c for c in states.columns if c != "players"]
-    long = states.select(*keys, F.explode("players").alias("_p"))
+    long = unnest(states, "players", "_p")
     out = long.join(roster.select(F.col("player_id").alias("_id"), "jersey"), F.col("_p.player_id") == F.col("_id"), "left")
     return out.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p.*", "jersey"))).alias("players"))
 

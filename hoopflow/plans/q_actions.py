@@ -23,7 +23,7 @@ cte("o_mates", """SELECT h.possession_id, h.frame_idx, h.player_id AS actor, h.s
   {R('coalesce(def_dist, 30e0)')} AS closest_defender_dist, {R('coalesce(def_angle, 90e0)')} AS defender_angle_deg, {R('pressure')} AS defender_pressure,
   {R('coalesce(shot_clock, 12e0)')} AS shot_clock, CAST(zone LIKE '%three%' AS DOUBLE) AS is_three, 1e0 AS catch_and_shoot, 0.45e0 AS player_shot_prior FROM o_h""")
 def _(src):
-    s = states(src).where("handler IS NOT NULL")
+    s = ST.decided(states(src))
     f = FT.shot(F.col("handler"), F.col("shot_clock"))
     rounded = {n: (c if n in ("is_three", "catch_and_shoot", "player_shot_prior") else r4(c)) for n, c in f.items()}
     return s.select(*SK, *FT.columns(rounded))
@@ -35,9 +35,9 @@ cte("o_lane", f"""SELECT m.possession_id, m.frame_idx, m.target, count(d.player_
 
 def mates(s):
     """Handler states with each team-mate as struct ``t`` and the defenders as ``_def``."""
-    d = s.where("handler IS NOT NULL").withColumn("_def", ST.of_side("players", "defense"))
+    d = ST.decided(s).withColumn("_def", ST.of_side("players", "defense"))
     m = F.filter("players", lambda p: (p["side"] == "offense") & (p["player_id"] != F.col("handler.player_id")))
-    return d.select(*SK, "handler", "_def", F.explode(m).alias("t"))
+    return ST.unnest(d.select(*SK, "handler", "_def", m.alias("_m")), "_m", "t")
 
 
 @query("join_lane", "SELECT * FROM o_lane")
@@ -69,7 +69,7 @@ cte("o_help", """SELECT h.possession_id, h.frame_idx, direction, count(d.player_
 
 
 def directions(s):
-    d = s.where("handler IS NOT NULL").withColumn("_def", ST.of_side("players", "defense"))
+    d = ST.decided(s).withColumn("_def", ST.of_side("players", "defense"))
     return d.select(*SK, "handler", "_def", F.explode(F.array(*map(F.lit, ("left", "middle", "right")))).alias("direction"))
 
 
@@ -95,10 +95,10 @@ cte("o_ents", """SELECT possession_id, frame_idx, player_id, (sx-5.25e0)/47e0 AS
 
 
 @query("feat_entities", f"""SELECT possession_id, frame_idx, e.player_id, {R('x')} AS x, {R('y')} AS y, {R('vx')} AS vx, {R('vy')} AS vy, off, def, ball, e.has_ball,
-  {R('coalesce(f.shot_clock, 12e0)/24')} AS g_clock, {R('round_even(CASE WHEN n_off >= 3 THEN area ELSE 0e0 END*10, 0)/10/500')} AS g_spacing, {R('n/10e0')} AS g_players
+  {R('coalesce(f.shot_clock, 12e0)/24')} AS g_clock, {R('round_even(round_even(CASE WHEN n_off >= 3 THEN area ELSE 0e0 END*1e6, 0)/1e6*10, 0)/10/500')} AS g_spacing, {R('n/10e0')} AS g_players
 FROM o_ents e JOIN o_frames f USING (possession_id, frame_idx) JOIN o_noff USING (possession_id, frame_idx) LEFT JOIN o_hull USING (possession_id, frame_idx)""")
 def _(src):
-    e = FT.entities(states(src)).select(*SK, "g_clock", "g_spacing", "g_players", F.explode("entities").alias("e"))
+    e = ST.unnest(FT.entities(states(src)).select(*SK, "g_clock", "g_spacing", "g_players", "entities"), "entities", "e")
     return e.select(*SK, "e.player_id", *[r4(f"e.{a}").alias(a) for a in ("x", "y", "vx", "vy")], "e.off", "e.def", "e.ball", "e.has_ball",
                     *[r4(g).alias(g) for g in ("g_clock", "g_spacing", "g_players")])
 
@@ -154,7 +154,7 @@ def _(src):
 @query("flt_action_legal", f"""SELECT possession_id, frame_idx, dist_to_rim <= 32 OR coalesce(shot_clock < 2, false) AS shoot, sy < 47 AS drive_left,
   dist_to_rim > 4 AS drive_middle, sy > 3 AS drive_right FROM o_h""")
 def _(src):
-    s = states(src).where("handler IS NOT NULL")
+    s = ST.decided(states(src))
     h = F.col("handler")
     return s.select(*SK, A.shoot_legal(h["dist_to_rim"], F.col("shot_clock")).alias("shoot"),
                     *[A.drive_legal(h["y"], h["dist_to_rim"], k).alias(f"drive_{k}") for k in ("left", "middle", "right")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hoopflow.functions import geometry as G
 from hoopflow.functions.geometry import r4
 from hoopflow.operators import possessions as P, sequence as Q
+from hoopflow.operators.state import unnest
 from hoopflow.plans.q_geometry import zone_sql
 from hoopflow.plans.registry import R, cte, query
 
@@ -83,7 +84,7 @@ def _(src):
     # The table the sink writes, read back by unnesting its players array.
     from hoopflow.sources import sinks
     t = sinks.frame_table(frames(src))
-    return (t.select("possession_id", "frame_idx", F.explode("players").alias("p"))
+    return (unnest(t, "players", "p")
             .select("possession_id", "frame_idx", "p.player_id", "p.team_id", "p.side",
                     *[r4(f"p.{a}").alias(a) for a in ("x", "y", "vx", "vy")]))
 

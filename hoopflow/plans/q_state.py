@@ -70,7 +70,7 @@ def states(src, touches=False):
 
 
 def state_rows(s):
-    p = s.select("possession_id", "frame_idx", F.explode("players").alias("p"))
+    p = ST.unnest(s.select("possession_id", "frame_idx", "players"), "players", "p")
     return p.select(
         "possession_id", "frame_idx", "p.player_id", *[r4(f"p.{a}").alias(a) for a in ("x", "y", "vx", "vy", "speed", "orientation_deg")],
         "p.has_ball", r4("p.dist_to_rim").alias("dist_to_rim"), r4("p.angle_to_rim_deg").alias("angle_to_rim_deg"), "p.zone",
@@ -92,7 +92,7 @@ def _(src):
 @query("win_since_touch", f"SELECT {', '.join(PK)}, {R('since_touch')} AS since_touch FROM o_states")
 def _(src):
     f = ST.with_touches(frames(src), ["game_id", "event_id", "possession_id"], F.col("frame_idx"))
-    p = f.select("possession_id", "frame_idx", "game_clock", "handler_player_id", F.explode("players").alias("p"))
+    p = ST.unnest(f, "players", "p")
     since = F.when(F.col("p.player_id") == F.col("handler_player_id"), F.lit(0.0)).when(
         F.col("p.touch_clock").isNotNull(), G.rnd(F.greatest(F.lit(0.0), F.col("p.touch_clock") - F.col("game_clock")), 2))
     return p.select("possession_id", "frame_idx", "p.player_id", r4(since).alias("since_touch"))
@@ -102,8 +102,8 @@ def _(src):
 @query("join_nearest_defender", f"SELECT {', '.join(PK)}, def_id, {R('dist')} AS dist FROM o_near")
 def _(src):
     f = frames(src).withColumn("_def", ST.of_side("players", "defense"))
-    p = f.select("possession_id", "frame_idx", F.explode(F.transform(ST.of_side("players", "offense"), lambda p: F.struct(
-        p["player_id"].alias("player_id"), ST.nearest(F.col("_def"), p["x"], p["y"]).alias("n")))).alias("p"))
+    p = ST.unnest(f.select("possession_id", "frame_idx", F.transform(ST.of_side("players", "offense"), lambda p: F.struct(
+        p["player_id"].alias("player_id"), ST.nearest(F.col("_def"), p["x"], p["y"]).alias("n"))).alias("_x")), "_x", "p")
     return (p.where("p.n IS NOT NULL").select("possession_id", "frame_idx", "p.player_id", F.col("p.n.player_id").alias("def_id"),
                                               r4("p.n.d").alias("dist")))
 
@@ -111,8 +111,8 @@ def _(src):
 @query("join_defender_row", f"SELECT {', '.join(PK)}, {R('def_x')} AS def_x, {R('def_y')} AS def_y, {R('abs(def_y - y)')} AS lateral FROM o_near JOIN o_players USING (possession_id, frame_idx, player_id)")
 def _(src):
     f = frames(src).withColumn("_def", ST.of_side("players", "defense"))
-    p = f.select("possession_id", "frame_idx", F.explode(F.transform(ST.of_side("players", "offense"), lambda p: F.struct(
-        p["player_id"].alias("player_id"), p["y"].alias("y"), ST.nearest(F.col("_def"), p["x"], p["y"]).alias("n")))).alias("p"))
+    p = ST.unnest(f.select("possession_id", "frame_idx", F.transform(ST.of_side("players", "offense"), lambda p: F.struct(
+        p["player_id"].alias("player_id"), p["y"].alias("y"), ST.nearest(F.col("_def"), p["x"], p["y"]).alias("n"))).alias("_x")), "_x", "p")
     return (p.where("p.n IS NOT NULL").select("possession_id", "frame_idx", "p.player_id", r4("p.n.x").alias("def_x"),
                                               r4("p.n.y").alias("def_y"), r4(F.abs(F.col("p.n.y") - F.col("p.y"))).alias("lateral")))
 
@@ -163,7 +163,7 @@ cte("o_hull", """SELECT a.possession_id, a.frame_idx, abs(sum(a.x*b.y - b.x*a.y)
 cte("o_noff", "SELECT possession_id, frame_idx, count(*) FILTER (WHERE side = 'offense') AS n_off, count(*) AS n FROM o_players GROUP BY ALL")
 
 
-@query("agg_hull_area", f"SELECT possession_id, frame_idx, {R('CASE WHEN n_off >= 3 THEN area ELSE 0e0 END')} AS area FROM o_noff JOIN o_hull USING (possession_id, frame_idx)")
+@query("agg_hull_area", f"SELECT possession_id, frame_idx, {R('round_even(CASE WHEN n_off >= 3 THEN area ELSE 0e0 END*1e6, 0)/1e6')} AS area FROM o_noff JOIN o_hull USING (possession_id, frame_idx)")
 def _(src):
     xy = F.transform(ST.of_side("players", "offense"), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     return frames(src).select("possession_id", "frame_idx", r4(ST.hull_area(xy)).alias("area"))
