@@ -95,7 +95,7 @@ def next_states(cands: DataFrame) -> DataFrame:
     d = d.withColumns({"handler_player_id": F.when(passed, F.col("target")).otherwise(h["player_id"]),
                        "ball_in_flight": F.col("ball.in_flight"), "ball": ball, "players": F.transform("players", moved)})
     d = d.drop("_r", "_ux", "_uy", "_step", "_lat", "_target", "_guard", "_nx", "_ny", "handler", "context")
-    return ST.build(d)
+    return ST.build_for_handler(d)
 
 
 def expected_points(action, p, v_next, points) -> Column:

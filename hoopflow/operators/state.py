@@ -97,51 +97,81 @@ def with_touches(frames: DataFrame, by: list[str], order) -> DataFrame:
             .select(*by, "_rest.*", "players"))
 
 
+def _player_fields(p, n, d, ang, spd, touch, has, clock) -> list[Column]:
+    """The full per-player record from a raw player, its nearest defender and measures."""
+    near = F.struct(n["player_id"].alias("player_id"), rnd(n["d"], 2).alias("dist"),
+                    rnd(G.angle_between(K.RIM[0] - p["x"], K.RIM[1] - p["y"], n["x"] - p["x"], n["y"] - p["y"]), 1).alias("angle_deg"))
+    since = rnd(F.greatest(F.lit(0.0), touch - clock), 2)
+    return [*_basic_fields(p, has), rnd(spd, 2).alias("speed"), rnd(G.heading(p["vx"], p["vy"]), 1).alias("orientation_deg"),
+            G.heading_source(p["vx"], p["vy"]).alias("orientation_source"),
+            rnd(d, 2).alias("dist_to_rim"), rnd(ang, 1).alias("angle_to_rim_deg"), G.zone(p["x"], p["y"], d, ang).alias("zone"),
+            F.when(n.isNotNull(), near).alias("nearest_defender"),
+            F.when(n.isNotNull(), rnd(G.pressure(p["x"], p["y"], n["x"], n["y"]), 3)).otherwise(0.0).alias("defender_pressure"),
+            F.when(has, F.lit(0.0)).when(touch.isNotNull(), since).alias("seconds_since_touch")]
+
+
+def _basic_fields(p, has) -> list[Column]:
+    return [p["player_id"].alias("player_id"), p["team_id"].alias("team_id"), p["side"].alias("side"),
+            *[rnd(p[c], 2).alias(c) for c in ("x", "y", "vx", "vy")], has.alias("has_ball")]
+
+
+def _holds(p) -> Column:
+    return F.coalesce(p["player_id"] == F.col("handler_player_id"), F.lit(False))
+
+
+def _finish(d: DataFrame, scheme_col: Column, screen: Column, confidence: Column | None) -> DataFrame:
+    return d.withColumns({
+        "ball": F.struct(*[rnd(F.col(f"ball.{a}"), 2).alias(a) for a in ("x", "y", "z", "vx", "vy")],
+                         F.col("ball_in_flight").alias("in_flight")),
+        "context": F.struct(
+            F.size("players").alias("n_players_observed"), F.col("_spacing").alias("spacing_area_sqft"),
+            scheme_col.alias("defense_scheme"), screen.alias("active_screen"),
+            (confidence if confidence is not None else F.lit(1.0)).alias("confidence"))})
+
+
+def _spacing(off: Column) -> Column:
+    return rnd(hull_area(F.transform(off, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))), 1)
+
+
 def build(frames: DataFrame, touches: bool = False, confidence: Column | None = None) -> DataFrame:
     """Frames to states. Needs handler_player_id, game_clock, ball, players; keeps the rest."""
     d = frames.withColumns({"_def": of_side("players", "defense"), "_off": of_side("players", "offense")})
 
     def measured(p):
         dist, ang = G.polar(p["x"], p["y"])
-        touch = ([p["touch_clock"].alias("touch_clock")] if touches
-                 else [F.lit(None).cast("double").alias("touch_clock")])
+        touch = p["touch_clock"] if touches else F.lit(None).cast("double")
         return F.struct(
-            p["player_id"].alias("player_id"), p["team_id"].alias("team_id"), p["side"].alias("side"),
-            p["x"].alias("x"), p["y"].alias("y"), p["vx"].alias("vx"), p["vy"].alias("vy"),
-            dist.alias("d"), ang.alias("a"), G.speed(p["vx"], p["vy"]).alias("s"), *touch,
+            *[p[c].alias(c) for c in ("player_id", "team_id", "side", "x", "y", "vx", "vy")],
+            dist.alias("d"), ang.alias("a"), G.speed(p["vx"], p["vy"]).alias("s"), touch.alias("touch_clock"),
             F.when(p["side"] == "offense", nearest(F.col("_def"), p["x"], p["y"])).alias("n"))
 
-    def finished(p):
-        n = p["n"]
-        has = F.coalesce(p["player_id"] == F.col("handler_player_id"), F.lit(False))
-        since = rnd(F.greatest(F.lit(0.0), p["touch_clock"] - F.col("game_clock")), 2)
-        near = F.struct(n["player_id"].alias("player_id"), rnd(n["d"], 2).alias("dist"),
-                        rnd(G.angle_between(K.RIM[0] - p["x"], K.RIM[1] - p["y"], n["x"] - p["x"], n["y"] - p["y"]), 1).alias("angle_deg"))
-        return F.struct(
-            p["player_id"].alias("player_id"), p["team_id"].alias("team_id"), p["side"].alias("side"),
-            rnd(p["x"], 2).alias("x"), rnd(p["y"], 2).alias("y"), rnd(p["vx"], 2).alias("vx"), rnd(p["vy"], 2).alias("vy"),
-            rnd(p["s"], 2).alias("speed"), rnd(G.heading(p["vx"], p["vy"]), 1).alias("orientation_deg"),
-            G.heading_source(p["vx"], p["vy"]).alias("orientation_source"), has.alias("has_ball"),
-            rnd(p["d"], 2).alias("dist_to_rim"), rnd(p["a"], 1).alias("angle_to_rim_deg"),
-            G.zone(p["x"], p["y"], p["d"], p["a"]).alias("zone"),
-            F.when(n.isNotNull(), near).alias("nearest_defender"),
-            F.when(n.isNotNull(), rnd(G.pressure(p["x"], p["y"], n["x"], n["y"]), 3)).otherwise(0.0).alias("defender_pressure"),
-            F.when(has, F.lit(0.0)).when(p["touch_clock"].isNotNull(), since).alias("seconds_since_touch"))
-
-    xy = lambda a: F.transform(a, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    d = d.withColumns({
-        "_n": F.size("players"), "_spacing": rnd(hull_area(xy(F.col("_off"))), 1),
-        "_scheme": scheme(F.col("_off"), F.col("_def")), "players": F.transform("players", measured)})
-    d = d.withColumn("players", F.transform("players", finished))
+    d = d.withColumns({"_spacing": _spacing(F.col("_off")), "_scheme": scheme(F.col("_off"), F.col("_def")),
+                       "players": F.transform("players", measured)})
+    d = d.withColumn("players", F.transform("players", lambda p: F.struct(*_player_fields(
+        p, p["n"], p["d"], p["a"], p["s"], p["touch_clock"], _holds(p), F.col("game_clock")))))
     d = d.withColumn("handler", F.get(F.filter("players", lambda p: p["has_ball"]), F.lit(0)))
-    return d.withColumns({
-        "ball": F.struct(*[rnd(F.col(f"ball.{a}"), 2).alias(a) for a in ("x", "y", "z", "vx", "vy")],
-                         F.col("ball_in_flight").alias("in_flight")),
-        "context": F.struct(
-            F.col("_n").alias("n_players_observed"), F.col("_spacing").alias("spacing_area_sqft"),
-            F.col("_scheme").alias("defense_scheme"), active_screen(F.col("players"), F.col("handler")).alias("active_screen"),
-            (confidence if confidence is not None else F.lit(1.0)).alias("confidence"))}
-    ).drop("_def", "_off", "_n", "_spacing", "_scheme")
+    d = _finish(d, F.col("_scheme"), active_screen(F.col("players"), F.col("handler")), confidence)
+    return d.drop("_def", "_off", "_spacing", "_scheme")
+
+
+def build_for_handler(frames: DataFrame) -> DataFrame:
+    """States in which only the ball handler carries the full record.
+
+    Enough to value a hypothetical state (handler's shot plus pooled entities), and its
+    handler columns are generated code instead of lambdas over all players.
+    """
+    d = frames.withColumns({"_def": of_side("players", "defense"), "_off": of_side("players", "offense"),
+                            "_h": F.get(F.filter("players", _holds), F.lit(0))})
+    h = F.col("_h")
+    dist, ang = G.polar(h["x"], h["y"])
+    d = d.withColumns({"_d": dist, "_a": ang, "_s": G.speed(h["vx"], h["vy"]), "_spacing": _spacing(F.col("_off")),
+                       "_n": F.when(h["side"] == "offense", nearest(F.col("_def"), h["x"], h["y"]))})
+    full = F.struct(*_player_fields(h, F.col("_n"), F.col("_d"), F.col("_a"), F.col("_s"), F.lit(None).cast("double"),
+                                    F.lit(True), F.col("game_clock")))
+    d = d.withColumns({"handler": F.when(h.isNotNull(), full),
+                       "players": F.transform("players", lambda p: F.struct(*_basic_fields(p, _holds(p))))})
+    d = _finish(d, F.lit("unknown"), F.lit(None).cast("struct<screener_id: bigint, phase: string, source: string>"), None)
+    return d.drop("_def", "_off", "_h", "_d", "_a", "_s", "_n", "_spacing")
 
 
 def active_screen(players: Column, handler: Column) -> Column:
