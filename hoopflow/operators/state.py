@@ -174,10 +174,10 @@ def build_for_handler(frames: DataFrame) -> DataFrame:
     return d.drop("_def", "_off", "_h", "_d", "_a", "_s", "_n", "_spacing")
 
 
-def active_screen(players: Column, handler: Column) -> Column:
-    """First offensive team-mate within 3.5 ft of the handler."""
+def active_screen(players: Column, handler: Column, within: float = K.SCREEN_DIST) -> Column:
+    """First offensive team-mate within 3.5 ft (by default) of the handler."""
     mates = F.filter(players, lambda p: (p["side"] == "offense") & (p["player_id"] != handler["player_id"])
-                     & (G.dist(p["x"], p["y"], handler["x"], handler["y"]) <= K.SCREEN_DIST))
+                     & (G.dist(p["x"], p["y"], handler["x"], handler["y"]) <= within))
     return F.when(F.size(mates) > 0, F.struct(F.get(mates, F.lit(0))["player_id"].alias("screener_id"),
                                               F.lit("approach").alias("phase"), F.lit("heuristic").alias("source")))
 

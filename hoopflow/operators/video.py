@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hoopflow import fixed as K
 from hoopflow.functions import geometry as G
-from hoopflow.operators import sequence as Q
+from hoopflow.operators import joins as J, sequence as Q
 
 
 def landmark_array() -> Column:
@@ -75,3 +78,103 @@ def cut_distance(df: DataFrame, by: list[str], order: list[str], hist: str, out:
     """Histogram distance to the previous frame; NULL on the first."""
     d = Q.scan(df, Q.seq(by, order), lag={"_ph": hist})
     return d.withColumn(out, F.when(F.col("_ph").isNotNull(), G.hist_distance("_ph", hist))).drop("_ph")
+
+
+def recommendation_at(pauses: DataFrame, recs: DataFrame, by: list[str], t: str, rec_id: str,
+                      snap: float = K.SNAP_SECONDS, hot_rows: int | None = Q.HOT_ROWS) -> DataFrame:
+    """The recommendation to show at a pause: the nearest that has actions within the snap
+    window, else the nearest gated one within it, else none."""
+    shown = F.when(F.col("has_actions"), F.col(rec_id))
+    d = J.around(pauses, recs, by, t, t, {"shown": shown, "any": F.col(rec_id)}, [rec_id], hot_rows)
+    a, b = J.nearest_of(t, "shown", snap), J.nearest_of(t, "any", snap)
+    d = d.withColumns({"_a": a, "_b": b})
+    return d.withColumns({rec_id: F.coalesce("_a.v", "_b.v"),
+                          "has_actions": F.when(F.col("_a").isNotNull() | F.col("_b").isNotNull(), F.col("_a").isNotNull())}
+                         ).drop("_a", "_b", "prev_shown", "next_shown", "prev_any", "next_any")
+
+
+def contiguous_velocity(df: DataFrame, by: list[str], frame: str, x: str, y: str, dt: float) -> DataFrame:
+    """Velocity only where the track was also seen in the previous frame."""
+    d = Q.scan(df, Q.seq(by, [frame]), lag={"_p": F.struct(F.col(frame).alias("f"), F.col(x).alias("x"), F.col(y).alias("y"))})
+    near = F.col(frame) - F.col("_p.f") == 1
+    return d.withColumns({"vx": F.when(near, (F.col(x) - F.col("_p.x")) / dt), "vy": F.when(near, (F.col(y) - F.col("_p.y")) / dt)}).drop("_p")
+
+
+# Fixed values of the shot-clock reader check: reset targets, tolerance, highest value a
+# reset may start from, slack up and drop down per frame.
+CLOCK_RESETS, CLOCK_TOL, CLOCK_FROM, CLOCK_UP, CLOCK_DROP = (24.0, 14.0), 1.5, 8.0, 0.5, 2.0
+
+
+def clock_accepts(last: float | None, r: float, dt: float) -> bool:
+    if last is None:
+        return True
+    if last <= CLOCK_FROM and r > last and any(abs(r - t) <= CLOCK_TOL for t in CLOCK_RESETS):
+        return True
+    return last - dt - CLOCK_DROP <= r <= last + CLOCK_UP
+
+
+def validate_clock(frames: DataFrame, by: list[str] = ("clip_id",), frame: str = "frame_idx", read: str = "clock_read",
+                   dt: float = 0.2, out: str = "clock") -> DataFrame:
+    """Drop impossible clock readings, then fill the gaps linearly with held ends.
+
+    What is accepted depends on the last accepted value, so this is a carried state; the
+    fill is a window pass again.
+    """
+    by = list(by)
+    cols = frames.columns
+
+    def step(last, batch):
+        kept = []
+        for r in batch[read]:
+            good = r == r and r is not None and clock_accepts(last, r, dt)
+            kept.append(r if good else None)
+            last = r if good else last
+        return last, batch.assign(_ok=pd.array(kept, dtype="Float64"))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields)
+    d = Q.carried_state(frames, by, [frame], step, f"{types}, _ok double")
+    return Q.linear_fill(d, Q.seq(by, [frame]), ["_ok"], frame, [out]).select(*cols, out)
+
+
+# Fixed values of the ball tracker: share of the old velocity kept, share of the detection
+# in the position, and the damping of the velocity while coasting.
+VEL_KEEP, POS_DET, COAST = 0.4, 0.85, 0.7
+
+
+def ball_step(state, det):
+    """One frame of the constant-velocity tracker; state is (x, y, vx, vy, missed)."""
+    if state is None:
+        return None if det is None else (det[0], det[1], 0.0, 0.0, 0)
+    x, y, vx, vy, missed = state
+    px, py = x + vx, y + vy
+    if det is not None and (math.hypot(det[0] - px, det[1] - py) <= K.BALL_GATE_PX or missed >= K.BALL_REACQUIRE):
+        return (POS_DET * det[0] + (1 - POS_DET) * px, POS_DET * det[1] + (1 - POS_DET) * py,
+                VEL_KEEP * vx + (1 - VEL_KEEP) * (det[0] - x), VEL_KEEP * vy + (1 - VEL_KEEP) * (det[1] - y), 0)
+    return px, py, vx * COAST, vy * COAST, missed + 1
+
+
+def track_ball(frames: DataFrame, by: list[str], frame: str, x: str, y: str) -> DataFrame:
+    """Smoothed, gap-free ball path: outliers are gated, gaps coast, a leading gap is held."""
+    def step(state, batch):
+        xs, ys = [], []
+        for a, b in zip(batch[x], batch[y]):
+            state = ball_step(state, None if a is None or a != a else (a, b))
+            xs.append(None if state is None else state[0])
+            ys.append(None if state is None else state[1])
+        return state, batch.assign(_bx=pd.array(xs, dtype="Float64"), _by=pd.array(ys, dtype="Float64"))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields)
+    d = Q.carried_state(frames, by, [frame], step, f"{types}, _bx double, _by double")
+    d = Q.scan(d, Q.seq(by, [frame]), bfill={"_f": F.when(F.col("_bx").isNotNull(), F.struct("_bx", "_by"))})
+    return d.withColumns({"ball_x": F.coalesce("_bx", "_f._bx"), "ball_y": F.coalesce("_by", "_f._by")}).drop("_bx", "_by", "_f")
+
+
+def drift(df: DataFrame, s: Q.Seq, error: str, ends: str) -> DataFrame:
+    """Median error of the first and second half of each group, and its first and last value."""
+    n = df.groupBy(*s.by).agg(F.count(F.lit(1)).alias("n"), F.min_by(ends, s.point).alias("first_v"), F.max_by(ends, s.point).alias("last_v"))
+    d, sp = Q.split_hot(df, s)
+    d = Q.unsplit(Q.scan(d, sp, index="_i")).join(n, list(s.by))
+    early = F.col("_i") <= F.floor(F.col("n") / 2)
+    med = lambda c: F.median(F.when(c, F.col(error)))
+    return d.groupBy(*s.by, "n", "first_v", "last_v").agg(
+        G.r4(med(early)).alias("first_half"), G.r4(med(~early)).alias("second_half"))

@@ -142,15 +142,16 @@ def _(src):
 
 cte("o_screen", """SELECT h.possession_id, h.frame_idx, min(t.player_id) AS screener_id FROM o_states0 h JOIN o_states0 t
   ON h.possession_id = t.possession_id AND h.frame_idx = t.frame_idx AND t.side = 'offense' AND t.player_id <> h.player_id
-  WHERE h.has_ball AND sqrt((t.sx-h.sx)*(t.sx-h.sx)+(t.sy-h.sy)*(t.sy-h.sy)) <= 3.5e0 GROUP BY ALL""")
+  WHERE h.has_ball AND sqrt((t.sx-h.sx)*(t.sx-h.sx)+(t.sy-h.sy)*(t.sy-h.sy)) <= 10 GROUP BY ALL""")
 
 
+# The view keeps players apart: a wider reach than the default, so that rows exist.
 @query("join_screen", "SELECT * FROM o_screen")
 def _(src):
     rr = F.transform("players", lambda p: p.withField("x", G.rnd(p["x"], 2)).withField("y", G.rnd(p["y"], 2)))
     f = frames(src).withColumn("players", rr)
     f = f.withColumn("_h", F.get(F.filter("players", lambda p: p["player_id"] == F.col("handler_player_id")), F.lit(0)))
-    return (f.select("possession_id", "frame_idx", ST.active_screen(F.col("players"), F.col("_h"))["screener_id"].alias("screener_id"))
+    return (f.select("possession_id", "frame_idx", ST.active_screen(F.col("players"), F.col("_h"), 10.0)["screener_id"].alias("screener_id"))
             .where("screener_id IS NOT NULL"))
 
 

@@ -35,10 +35,12 @@ def cte(name: str, sql: str) -> None:
 def with_ctes(sql: str) -> str:
     """Prefix the named sub-queries that ``sql`` mentions, dependencies first."""
     order: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for w in _WORD.findall(text):
-            if w in CTES and w not in order:
+            if w in CTES and w not in order and w not in open_:
+                open_.add(w)
                 visit(CTES[w])
                 if w not in order:
                     order.append(w)
@@ -46,7 +48,7 @@ def with_ctes(sql: str) -> str:
     visit(sql)
     if not order:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + sql
 
 
 def query(name: str, sql: str | None = None):
