@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hoopflow import fixed as K
-from hoopflow.operators import actions as A
+from hoopflow.operators import actions as A, sequence as Q
 
 
 def eb_rate(df: DataFrame, player: str, made: str, k: float = K.PRIOR_STRENGTH) -> DataFrame:
@@ -63,17 +63,21 @@ def regret(scored: DataFrame, state: list[str], policies: list[str] = POLICIES,
 
 
 def coverage(recs: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Pause coverage of a recommendations table; ``actions`` is NULL or empty when gated."""
+    """Pause coverage of a recommendations table; ``actions`` is NULL or empty when gated.
+
+    Shares are percent of all pauses (coverage) or of shown ones; the player median is over
+    a handful of counts, so its histogram stays tiny in any group.
+    """
     shown = F.coalesce(F.size("actions") > 0, F.lit(False))
-    only = lambda c: F.when(shown, c)
-    share = lambda c: F.round(100 * F.count_if(shown & c) / F.greatest(F.count_if(shown), F.lit(1)), 1)
+    only = lambda c: F.when(shown, F.col(c))
+    pct = lambda c: 100 * F.count_if(shown & F.col(c).isNotNull()) / F.greatest(F.count_if(shown), F.lit(1))
     return recs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("pause_points"), F.count_if(shown).alias("recommended"),
-        F.round(100 * F.count_if(shown) / F.greatest(F.count(F.lit(1)), F.lit(1)), 1).alias("coverage_pct"),
-        F.min(only(F.col("video_time"))).alias("first_s"), F.max(only(F.col("video_time"))).alias("last_s"),
-        F.median(only(F.col("n_players"))).alias("players_median"), F.min(only(F.col("n_players"))).alias("players_min"),
-        F.max(only(F.col("n_players"))).alias("players_max"), share(F.col("ball_px").isNotNull()).alias("live_ball_pct"),
-        share(F.col("handler_id").isNotNull()).alias("handler_pct"), share(F.col("rim_px").isNotNull()).alias("rim_pct"))
+        (100 * F.count_if(shown) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("coverage_share"),
+        F.min(only("video_time")).alias("first_s"), F.max(only("video_time")).alias("last_s"),
+        F.median(only("n_players")).alias("players_median"), F.min(only("n_players")).alias("players_min"),
+        F.max(only("n_players")).alias("players_max"), pct("ball_px").alias("ball_share"),
+        pct("handler_id").alias("handler_share"), pct("rim_px").alias("rim_share"))
 
 
 def top_action_mix(recs: DataFrame) -> DataFrame:
@@ -100,3 +104,25 @@ def domain_gap(recovered: DataFrame, truth: DataFrame, key: list[str], by: list[
 
 def share(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, named: dict[str, float], hot_rows: int = Q.HOT_ROWS) -> DataFrame:
+    """Exact interpolated quantiles by rank, for groups of any size.
+
+    Rows are ranked with the block-wise index, so a huge group is neither collected nor
+    sorted in one task; only the two rows around each quantile survive.
+    """
+    keys = list(by) or ["_all"]
+    d = df.where(F.col(value).isNotNull())
+    d = d.select(*(by or [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
+    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    d, s = Q.split_hot(d, Q.seq(keys, ["_v"]), hot_rows)
+    d = Q.unsplit(Q.scan(d, s, index="_i")).join(n, keys)
+    out = []
+    for name, q in named.items():
+        pos = (F.col("_n") - 1) * q
+        lo, frac = F.floor(pos), pos - F.floor(pos)
+        at = lambda k: F.max(F.when(F.col("_i") == F.least(k, F.col("_n") - 1) + 1, F.col("_v")))
+        a, b = at(lo), at(lo + 1)
+        out.append((a + (b - a) * F.max(frac)).alias(name))
+    return d.groupBy(*keys).agg(*out).drop("_all")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hoopflow import fixed as K
 from hoopflow.functions import geometry as G
-from hoopflow.operators import joins as J, sequence as Q
+from hoopflow.operators import aggregates as AG, joins as J, sequence as Q
 
 
 def landmark_array() -> Column:
@@ -178,3 +179,324 @@ def drift(df: DataFrame, s: Q.Seq, error: str, ends: str) -> DataFrame:
     med = lambda c: F.median(F.when(c, F.col(error)))
     return d.groupBy(*s.by, "n", "first_v", "last_v").agg(
         G.r4(med(early)).alias("first_half"), G.r4(med(~early)).alias("second_half"))
+
+
+# Identity ------------------------------------------------------------------------
+TRACK = ["clip_id", "track_id"]
+
+
+def jersey_votes(points: DataFrame) -> DataFrame:
+    """Voted jersey per track and the share of its detections that agree."""
+    size = points.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("_len"), F.first("team_label").alias("team_label"))
+    vote = J.ordered_vote(points, TRACK, "jersey_read", F.col("frame_idx"), "jersey")
+    return (size.join(vote, TRACK, "left")
+            .withColumn("agreement", F.coalesce(F.col("jersey_n") / F.col("_len"), F.lit(0.0))).drop("_len", "jersey_n"))
+
+
+def jersey_sets(votes: DataFrame) -> DataFrame:
+    """Distinct voted jerseys per cluster: at most one per track of the clip."""
+    return votes.where("jersey IS NOT NULL").groupBy("clip_id", "team_label").agg(F.array_sort(F.collect_set("jersey")).alias("jerseys"))
+
+
+def cluster_teams(sets: DataFrame, roster: DataFrame) -> DataFrame:
+    """Map the two clusters of a clip to two teams by jersey overlap; a tie keeps the order.
+
+    Team sets come from one roster, so the one-row side is bounded by it.
+    """
+    r = roster.where("jersey IS NOT NULL").groupBy("team_id").agg(F.collect_set("jersey").alias("j"))
+    teams = r.groupBy().agg(F.array_sort(F.collect_list(F.struct("team_id", "j"))).alias("t"))
+    none = F.array().cast("array<bigint>")
+    pick = lambda k: F.coalesce(F.first(F.when(F.col("team_label") == k, F.col("jerseys")), True), none)
+    c = sets.groupBy("clip_id").agg(pick(0).alias("j0"), pick(1).alias("j1")).join(F.broadcast(teams))
+    t = lambda i: F.get("t", F.lit(i))
+    hit = lambda j, i: F.size(F.array_intersect(F.col(j), t(i)["j"]))
+    straight, crossed = hit("j0", 0) + hit("j1", 1), hit("j0", 1) + hit("j1", 0)
+    pair = lambda a, b: F.array(F.struct(F.lit(0).cast("long").alias("team_label"), t(a)["team_id"].alias("team_id")),
+                                F.struct(F.lit(1).cast("long").alias("team_label"), t(b)["team_id"].alias("team_id")))
+    m = F.when(straight >= crossed, pair(0, 1)).otherwise(pair(1, 0))
+    return c.select("clip_id", F.explode(m).alias("m")).select("clip_id", "m.*")
+
+
+def identities(points: DataFrame, roster: DataFrame) -> DataFrame:
+    """Track -> player by (team of its cluster, voted jersey); unsure ones stay NULL."""
+    votes = jersey_votes(points)
+    teams = cluster_teams(jersey_sets(votes), roster)
+    known = roster.where("jersey IS NOT NULL").select("team_id", "jersey", "player_id")
+    d = votes.join(teams, ["clip_id", "team_label"], "left").join(known, ["team_id", "jersey"], "left")
+    conf = F.when(F.col("player_id").isNotNull(), F.col("agreement")).otherwise(F.least(F.col("agreement"), F.lit(0.3)))
+    return d.select(*TRACK, "team_label", "team_id", "jersey", "player_id", G.rnd(conf, 3).alias("confidence"))
+
+
+def true_ids(points: DataFrame, value: str, out: str) -> DataFrame:
+    return J.ordered_vote(points, TRACK, value, F.col("frame_idx"), out).select(*TRACK, out)
+
+
+def weighted_jersey(points: DataFrame, top: int = 5, need: float = 1.0) -> DataFrame:
+    """Confidence-weighted vote over a track's largest boxes; weak winners abstain."""
+    w = Window.partitionBy(*TRACK).orderBy((F.col("y2") - F.col("y1")).desc(), "frame_idx")
+    big = points.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= top)
+    v = J.ordered_vote(big, TRACK, "jersey_read", F.col("_rk"), "jersey", F.col("conf"))
+    return v.where(F.col("jersey_n") >= need).withColumnRenamed("jersey_n", "weight")
+
+
+def on_floor_tracks(points: DataFrame, frames: DataFrame) -> DataFrame:
+    """Tracks present in a quarter of the clip whose median position is inside the lines."""
+    n = frames.groupBy("clip_id").agg(F.count(F.lit(1)).alias("_frames"))
+    t = points.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("mx"), F.median("y").alias("my"))
+    return (t.join(n, "clip_id").where((F.col("n") / F.col("_frames") >= K.PRESENCE) & G.on_court("mx", "my", 3.0)
+                                       & F.col("my").between(K.INSET, K.WIDTH - K.INSET)).select(*TRACK, "n", "mx", "my"))
+
+
+def roster_override(players: DataFrame, link: DataFrame) -> DataFrame:
+    """Relabel clusters of a frame with roster teams by the jerseys read in them.
+
+    ``players``: clip_id, frame_idx, track_id, team_id, jersey; ``link``: jersey, team. A
+    cluster without evidence takes the first team no other cluster took.
+    """
+    fr = ["clip_id", "frame_idx"]
+    j = players.join(link.select("jersey", F.col("team").alias("_rt")), "jersey", "left")
+    votes = J.ordered_vote(j, [*fr, "team_id"], "_rt", F.col("track_id"), "_won").drop("_won_n")
+    clusters = players.select(*fr, "team_id").distinct().join(votes, [*fr, "team_id"], "left")
+    w = Window.partitionBy(*fr)
+    teams = link.groupBy().agg(F.array_sort(F.collect_set("team")).alias("_teams"))
+    c = clusters.withColumn("_used", F.collect_set("_won").over(w)).join(F.broadcast(teams))
+    left = F.get(F.array_except("_teams", "_used"), F.lit(0))
+    c = c.select(*fr, "team_id", F.when(F.size("_used") == 0, F.col("team_id").cast("string"))
+                 .otherwise(F.coalesce("_won", left, F.get("_teams", F.lit(0)))).alias("team"))
+    return players.join(c, [*fr, "team_id"])
+
+
+# Homography ----------------------------------------------------------------------
+def _fit(px, py, cx, cy):
+    """Least-squares homography (normalised linear system) from pixel to court points."""
+    def norm(a, b):
+        s = math.sqrt(2) / max(float(np.mean(np.hypot(a - a.mean(), b - b.mean()))), 1e-9)
+        return np.array([[s, 0, -s * a.mean()], [0, s, -s * b.mean()], [0, 0, 1.0]])
+    tp, tc = norm(px, py), norm(cx, cy)
+    u, v = tp[0, 0] * px + tp[0, 2], tp[1, 1] * py + tp[1, 2]
+    x, y = tc[0, 0] * cx + tc[0, 2], tc[1, 1] * cy + tc[1, 2]
+    z, o = np.zeros_like(u), np.ones_like(u)
+    rows = np.concatenate([np.stack([u, v, o, z, z, z, -x * u, -x * v, -x], 1), np.stack([z, z, z, u, v, o, -y * u, -y * v, -y], 1)])
+    h = np.linalg.inv(tc) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ tp
+    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h
+
+
+def _residual(h, px, py, cx, cy):
+    w = h[2, 0] * px + h[2, 1] * py + h[2, 2]
+    return np.hypot((h[0, 0] * px + h[0, 1] * py + h[0, 2]) / w - cx, (h[1, 0] * px + h[1, 1] * py + h[1, 2]) / w - cy)
+
+
+FIT_SCHEMA = "struct<h: array<double>, median_ft: double, n_points: int, ok: boolean>"
+
+
+def fit_homographies(keypoints: DataFrame, by: list[str], conf_floor: float = 0.5, inlier_ft: float = 8.0, max_ft: float = 2.0) -> DataFrame:
+    """Pixel -> court map per frame from at least four confident landmarks.
+
+    Landmarks are nested per frame (a fixed list bounds them) and solved in Arrow batches,
+    many frames per call. Deterministic: fit, drop outliers, fit again.
+    """
+    nested = (keypoints.where(F.col("conf") >= conf_floor).groupBy(*by)
+              .agg(F.sort_array(F.collect_list(F.array("px", "py", "court_x", "court_y"))).alias("_pts")))
+
+    @F.pandas_udf(FIT_SCHEMA)
+    def solve(pts: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in pts:
+            a = np.array([list(q) for q in p], float)
+            h, med, n, ok = None, None, len(a), False
+            if len(a) >= 4:
+                keep = np.ones(len(a), bool)
+                for _ in range(3):
+                    h = _fit(*a[keep].T)
+                    nxt = _residual(h, *a.T) <= inlier_ft
+                    if nxt.sum() < 4 or (nxt == keep).all():
+                        break
+                    keep = nxt
+                med, n = float(np.median(_residual(h, *a[keep].T))), int(keep.sum())
+                ok = med <= max_ft and n >= 4
+            out.append((None if h is None else h.ravel().tolist(), med, n, ok))
+        return pd.DataFrame(out, columns=["h", "median_ft", "n_points", "ok"])
+
+    return nested.select(*by, solve("_pts").alias("_r")).select(*by, "_r.*")
+
+
+CORNERS = [(0.0, 0.0), (0.0, 50.0), (94.0, 0.0), (94.0, 50.0)]
+
+
+def smooth_corners(fits: DataFrame, by: list[str], frame: str, window: int = 5) -> DataFrame:
+    """Average the corners' pixels over the last valid frames and refit; gaps reuse the last."""
+    valid = fits.where("ok").withColumn("_hi", G.invert_h("h"))
+    px = {f"_c{i}{a}": v for i, (x, y) in enumerate(CORNERS) for a, v in zip("xy", G.project("_hi", F.lit(x), F.lit(y)))}
+    valid = valid.withColumns(px)
+    s = Q.seq(by, [frame])
+    means = Q.rolling(valid, s, window - 1, 0, {c: (lambda w, c=c: F.avg(c).over(w)) for c in px})
+    pts = means.select(*by, frame, F.explode(F.array(*[F.struct(F.col(f"_c{i}x").alias("px"), F.col(f"_c{i}y").alias("py"), F.lit(x).alias("court_x"),
+                                                                F.lit(y).alias("court_y"), F.lit(1.0).alias("conf")) for i, (x, y) in enumerate(CORNERS)])).alias("k")).select(*by, frame, "k.*")
+    smooth = fit_homographies(pts, [*by, frame]).select(*by, frame, F.col("h").alias("_sm"))
+    d = fits.join(smooth, [*by, frame], "left")
+    return Q.scan(d, s, ffill={"h_smooth": "_sm"}).withColumn("h_smooth", F.coalesce("h_smooth", "h")).drop("_sm")
+
+
+def pick_homography(model: DataFrame, calibration: DataFrame, by: list[str], img_w: int, img_h: int, min_points: int = 6, max_ft: float = 2.0) -> DataFrame:
+    """Per frame: the model's map if it stands on its own, else the propagated one."""
+    m = plausible(model, img_w, img_h)
+    ok = (F.col("n_inliers") >= min_points) & (F.col("reproj_ft") <= max_ft) & F.col("plausible")
+    d = m.withColumn("accepted", ok).join(calibration.select(*by, F.col("h").alias("_cal")), by, "left")
+    return d.withColumns({"source": F.when(F.col("accepted"), "model").otherwise("calibration"),
+                          "h": F.when(F.col("accepted"), F.col("h")).otherwise(F.col("_cal"))}).drop("_cal")
+
+
+# Tracks and teams ------------------------------------------------------------------
+def _greedy(state, xs, ys):
+    """Match one frame's feet to live tracks; state is (next id, {id: [x, y, vx, vy, missed]})."""
+    nxt, live = state if state else (0, {})
+    ids, n = list(live), len(xs)
+    got = [-1] * n
+    if ids and n:
+        t = np.array([live[i] for i in ids])
+        cost = np.hypot(t[:, None, 0] + t[:, None, 2] - xs[None], t[:, None, 1] + t[:, None, 3] - ys[None])
+        used = set()
+        for flat in np.argsort(cost, axis=None, kind="stable"):
+            a, b = divmod(int(flat), n)
+            if cost[a, b] > K.TRACK_GATE_PX:
+                break
+            if a in used or got[b] >= 0:
+                continue
+            used.add(a)
+            got[b] = ids[a]
+    for b, i in enumerate(got):
+        if i >= 0:
+            x, y, vx, vy, _ = live[i]
+            live[i] = [xs[b], ys[b], 0.5 * vx + 0.5 * (xs[b] - x), 0.5 * vy + 0.5 * (ys[b] - y), 0]
+    for i in set(ids) - set(got):
+        live[i][4] += 1
+        if live[i][4] > K.TRACK_MISSED:
+            del live[i]
+    for b in range(n):
+        if got[b] < 0:
+            got[b], live[nxt] = nxt, [xs[b], ys[b], 0.0, 0.0, 0]
+            nxt += 1
+    return (nxt, live), got
+
+
+def assign_tracks(dets: DataFrame, frames: DataFrame) -> DataFrame:
+    """Track ids for player boxes: greedy nearest feet, restarted at every camera cut.
+
+    One row per frame, streamed in order with only the live tracks as state; a camera shot
+    is the unit, as ids never cross a cut.
+    """
+    s = Q.seq(["clip_id"], ["frame_idx"])
+    shots = Q.scan(frames.withColumn("_cut", F.col("cut").cast("long")), s, total={"shot": "_cut"}).select("clip_id", "frame_idx", "shot")
+    foot = G.box_foot("x1", "y1", "x2", "y2")
+    nested = (dets.where("cls = 'player'").groupBy("clip_id", "frame_idx")
+              .agg(F.array_sort(F.collect_list(F.struct("det_no", foot[0].alias("x"), foot[1].alias("y")))).alias("d")))
+    f = shots.join(nested, ["clip_id", "frame_idx"], "left").select(
+        "clip_id", "shot", "frame_idx", F.transform("d", lambda v: v["det_no"]).alias("no"),
+        F.transform("d", lambda v: v["x"]).alias("xs"), F.transform("d", lambda v: v["y"]).alias("ys"))
+
+    def step(state, batch):
+        out = []
+        for xs, ys in zip(batch["xs"], batch["ys"]):
+            state, got = _greedy(state, np.array(xs if xs is not None else [], float), np.array(ys if ys is not None else [], float))
+            out.append(got)
+        return state, batch[["clip_id", "shot", "frame_idx", "no"]].assign(ids=out)
+
+    d = Q.carried_state(f, ["clip_id", "shot"], ["frame_idx"], step,
+                        "clip_id long, shot long, frame_idx long, no array<long>, ids array<long>")
+    z = d.select("clip_id", "shot", "frame_idx", F.explode(F.arrays_zip("no", "ids")).alias("z"))
+    return z.select("clip_id", "frame_idx", F.col("z.no").alias("det_no"), "shot", (F.col("shot") * 1_000_000 + F.col("z.ids")).alias("track_id"))
+
+
+def team_clusters(points: DataFrame, embedding: str = "embedding", rounds: int = 4) -> DataFrame:
+    """Two appearance clusters per clip and the majority label of each track.
+
+    Two-means with per-clip centres as a small table: each round is a map over the points
+    and one partially aggregated sum per (clip, cluster, dimension). Starts from the two
+    extreme points of the first dimension, so it is deterministic.
+    """
+    d = points.where(F.col(embedding).isNotNull()).select("clip_id", "track_id", "frame_idx", F.col(embedding).alias("_e"))
+    first = F.get("_e", F.lit(0))
+    cen = d.groupBy("clip_id").agg(F.min_by("_e", F.struct(first, "track_id", "frame_idx")).alias("c0"), F.max_by("_e", F.struct(first, "track_id", "frame_idx")).alias("c1"))
+    gap = lambda c: F.aggregate(F.zip_with("_e", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    label = lambda cs: d.join(cs, "clip_id").withColumn("label", F.when(gap("c0") <= gap("c1"), 0).otherwise(1).cast("long"))
+    for _ in range(rounds):
+        m = (label(cen).select("clip_id", "label", "c0", "c1", F.posexplode("_e").alias("_k", "_v"))
+             .groupBy("clip_id", "label", "_k").agg(F.avg("_v").alias("_m"), F.first("c0").alias("c0"), F.first("c1").alias("c1")))
+        m = m.groupBy("clip_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == k, F.struct("_k", "_m")))), lambda v: v["_m"]).alias(f"n{k}") for k in (0, 1)],
+                                     F.first("c0").alias("c0"), F.first("c1").alias("c1"))
+        keep = lambda k: F.when(F.size(f"n{k}") > 0, F.col(f"n{k}")).otherwise(F.col(f"c{k}")).alias(f"c{k}")
+        cen = m.select("clip_id", keep(0), keep(1))
+    return J.ordered_vote(label(cen), TRACK, "label", F.col("frame_idx"), "team_label").select(*TRACK, "team_label")
+
+
+def spread_top(df: DataFrame, by: list[str], rank: str, t: str, n: int = 4, gap: float = 8.0) -> DataFrame:
+    """Greedy best-first picks at least ``gap`` apart; the state is the picks made so far."""
+    def step(picks, batch):
+        picks = picks or []
+        keep = []
+        for v in batch[t]:
+            good = len(picks) < n and all(abs(v - p) >= gap for p in picks)
+            keep.append(good)
+            if good:
+                picks = [*picks, v]
+        return picks, batch[keep]
+
+    return Q.carried_state(df, by, [rank], step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+
+
+def placeholder_clips(dets: DataFrame, conf: float = 0.0) -> DataFrame:
+    """A clip whose probe frames never show more than one player is a placeholder card."""
+    hit = (F.col("cls") == "player") & (F.col("conf") >= conf)
+    n = dets.groupBy("clip_id", "frame_idx").agg(F.count_if(hit).alias("n"))
+    return n.groupBy("clip_id").agg((F.max("n") <= 1).alias("placeholder"))
+
+
+def keypoint_residuals(d: DataFrame) -> DataFrame:
+    """Pixel error against the label and court error under the map ``h`` per landmark."""
+    x, y = G.project("h", "px", "py")
+    return d.withColumns({"px_err": G.dist("px", "py", "true_px", "true_py"), "ft": G.dist(x, y, "court_x", "court_y")})
+
+
+def keypoint_eval(res: DataFrame, conf: float = 0.5, min_points: int = 6, max_ft: float = 2.0) -> DataFrame:
+    """Median pixel and court error, solve rate and points used over confident landmarks.
+
+    The global pixel median is taken by rank, the per-frame ones over a landmark list.
+    """
+    good = F.col("conf") >= conf
+    f = res.groupBy("clip_id", "frame_idx").agg(F.count_if(good).alias("used"), F.median(F.when(good, F.col("ft"))).alias("m"))
+    usable = F.col("used") >= min_points
+    tot = f.agg((F.count_if(usable & (F.col("m") <= max_ft)) / F.count(F.lit(1))).alias("solve_rate"), F.avg("used").alias("mean_used"))
+    px = AG.quantiles(res.where(good), [], "px_err", {"px_median": 0.5})
+    ft = AG.quantiles(f.where(usable), [], "m", {"ft_median": 0.5})
+    return tot.join(F.broadcast(px)).join(F.broadcast(ft))
+
+
+def diagnostics(frames: DataFrame, dets: DataFrame, by: list[str]) -> DataFrame:
+    per = dets.groupBy(*by, "frame_idx").agg(F.count_if(F.col("cls") == "player").alias("_p"), F.count_if(F.col("cls") == "ball").alias("_b"))
+    d = frames.join(per, [*by, "frame_idx"], "left")
+    return d.groupBy(*by).agg(F.avg(F.col("homog_ok").cast("double")).alias("homog_valid_rate"), F.avg(F.coalesce("_p", F.lit(0))).alias("mean_players"),
+                              F.avg((F.coalesce("_b", F.lit(0)) > 0).cast("double")).alias("ball_recall"))
+
+
+def shot_quality(samples: DataFrame, min_frac: float, min_players: int) -> DataFrame:
+    """Best (most court) sample per camera shot, gated and ranked for calibration."""
+    w = Window.partitionBy("clip_id", "shot").orderBy(F.col("frac").desc(), "t")
+    best = samples.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
+    best = best.where((F.col("frac") >= min_frac) & (F.col("n_players") >= min_players))
+    r = Window.partitionBy("clip_id").orderBy(-F.least(F.col("n_players"), F.lit(12)), -F.col("frac"), "t")
+    return best.withColumn("rank", F.row_number().over(r))
+
+
+def pause_context(pauses: DataFrame, rows: DataFrame, half: int) -> DataFrame:
+    """Rows within +-half frames of each pause: the pause fans out to exact frame keys."""
+    near = pauses.withColumn("frame_idx", F.explode(F.sequence(F.col("pause") - half, F.col("pause") + half)))
+    return near.join(rows, ["clip_id", "frame_idx"]).select("clip_id", "pause", *[c for c in rows.columns if c != "clip_id"])
+
+
+def seed_ball(dets: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Replace the first frame's ball detections of a clip by a supplied point."""
+    first_ball = (F.col("cls") == "ball") & (F.col("frame_idx") == 0)
+    keep = dets.where(~first_ball).unionByName(dets.where(first_ball).join(seeds.select("clip_id"), "clip_id", "left_anti"))
+    new = seeds.select("clip_id", F.lit(0).cast("long").alias("frame_idx"), F.lit(-2).cast("long").alias("det_no"), F.lit("ball").alias("cls"),
+                       (F.col("sx") - 8).alias("x1"), (F.col("sy") - 8).alias("y1"), (F.col("sx") + 8).alias("x2"), (F.col("sy") + 8).alias("y2"), F.lit(1.0).alias("conf"))
+    return keep.unionByName(new, allowMissingColumns=True)

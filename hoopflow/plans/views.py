@@ -258,7 +258,37 @@ def _vectors(d: Dialect) -> str:
 SELECT vec_id, {idiv('vec_id', 40)} AS clip_id, label, embedding FROM embeddings"""
 
 
+def _track_points(d: Dialect) -> str:
+    """Player detections as tracks (the entity number) with their foot in court feet."""
+    h = [f"({v!r}e0)" if "e" not in repr(v) else f"({v!r})" for v in PIXEL_TO_COURT]
+    w = f"({h[6]}*fx + {h[7]}*fy + {h[8]})"
+    return f"""
+SELECT clip_id, frame_idx, det_no AS track_id, CAST((CASE WHEN det_no < 5 THEN 0 ELSE 1 END + clip_id) % 2 AS BIGINT) AS team_label,
+       conf, jersey_read, true_player_id, true_team, true_x, true_y, x1, y1, x2, y2,
+       ({h[0]}*fx + {h[1]}*fy + {h[2]})/{w} AS x, ({h[3]}*fx + {h[4]}*fy + {h[5]})/{w} AS y
+FROM (SELECT *, (x1 + x2)/2 AS fx, y2 AS fy FROM fx_detections WHERE cls = 'player') AS t0"""
+
+
+def _shot_frames(d: Dialect) -> str:
+    """Sampled frames with a court fraction, a player count and a camera-shot number."""
+    return f"""
+SELECT vec_id, clip_id, vec_id*2e0 AS t, {idiv('vec_id % 40', 4)} AS shot, ((vec_id*37) % 100)/100e0 AS frac, (vec_id*7) % 15 AS n_players
+FROM fx_vectors"""
+
+
+def _recs(d: Dialect) -> str:
+    """Exported pauses: every third one is gated (no actions)."""
+    return f"""
+SELECT event_id, user_id % 5 AS clip_id, {d.micros('ts')}/1e6 AS video_time,
+       CASE WHEN event_id % 3 > 0 THEN 6 + event_id % 7 END AS n_players,
+       CASE WHEN event_id % 10 < 9 THEN value END AS ball_x, CASE WHEN event_id % 11 > 0 THEN user_id END AS handler_id,
+       value AS rim_x, CASE WHEN event_id % 3 > 0 THEN event_type END AS action FROM events"""
+
+
 VIEWS = {
+    "fx_track_points": _track_points,
+    "fx_shot_frames": _shot_frames,
+    "fx_recs": _recs,
     "fx_tracking": _tracking(8),
     "fx_tracking_b": _tracking(4),
     "fx_tracking_c": _tracking(8, "WHERE NOT (k >= 0 AND (src + k) % 211 = 0)"),

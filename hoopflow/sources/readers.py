@@ -141,7 +141,7 @@ REC_SCHEMA = ("video_time double, frame_idx bigint, gate boolean, confidence dou
 def recommendations(spark: SparkSession, path) -> DataFrame:
     sch = f"video string, fps double, duration double, recommendations array<struct<{', '.join(p.strip().replace(' ', ': ', 1) for p in _split_ddl(REC_SCHEMA))}>>"
     d = spark.read.schema(sch).option("multiLine", True).json(path)
-    return d.select(F.col("_metadata.file_name").alias("file"), "duration", F.explode("recommendations").alias("r")).select("file", "duration", "r.*")
+    return d.select(F.col("_metadata.file_name").alias("file"), "video", "duration", F.explode("recommendations").alias("r")).select("file", "video", "duration", "r.*")
 
 
 def _split_ddl(ddl: str) -> list[str]:
@@ -155,10 +155,11 @@ def priors(spark: SparkSession, path) -> DataFrame:
                     F.coalesce("min_epv_to_recommend", F.lit(0.0)).alias("min_epv_to_recommend"))
 
 
-def keypoint_labels(spark: SparkSession, path) -> DataFrame:
+def keypoint_labels(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    """Label manifests, one document per file or (not ``multi_line``) one per line."""
     sch = ("keypoint_names array<string>, records array<struct<image: string, kp_px: array<array<double>>, visible: array<boolean>, "
            "source: string, reproj_ft: double>>")
-    d = spark.read.schema(sch).option("multiLine", True).json(path)
+    d = spark.read.schema(sch).option("multiLine", multi_line).json(path)
     r = d.select("keypoint_names", F.explode("records").alias("r"))
     k = r.select("keypoint_names", "r.image", "r.source", "r.reproj_ft", "r.visible", F.posexplode("r.kp_px").alias("pos", "px"))
     return k.select("image", "source", S.group_key("source").alias("grp"), "reproj_ft", F.get("keypoint_names", "pos").alias("name"),
