@@ -1,6 +1,6 @@
 """Loads every query module so that the registry is complete."""
 
-from hoopflow.plans import q_geometry, q_possessions, q_state, q_actions, q_labels, q_series, q_video, q_models, q_text  # noqa: F401
+from hoopflow.plans import q_geometry, q_possessions, q_state, q_actions, q_labels, q_series, q_video, q_models, q_text, q_streaming  # noqa: F401
 from hoopflow.plans.registry import Source
 
 

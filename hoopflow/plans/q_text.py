@@ -22,7 +22,8 @@ def _(src):
                     T.has_coordinate("text").alias("has_coordinate"), (F.size(T.leaked_ids("text", F.array("n_chars"))) > 0).alias("leaks_id"))
 
 
-_ROUTE = " ".join(f"WHEN regexp_matches(q, '{p}'){' AND NOT contains(q, chr(119) || chr(104) || chr(121) || chr(32) || chr(110) || chr(111) || chr(116))' if n == 'why' else ''} THEN '{n}'" for n, p in T.ROUTES)
+_NOT = {"why": " AND NOT contains(q, 'why not')"}
+_ROUTE = " ".join(f"WHEN regexp_matches(q, '{p}'){_NOT.get(n, '')} THEN '{n}'" for n, p in T.ROUTES)
 _DIR = " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{n}'" for n, p in T.DIRECTIONS)
 
 
