@@ -2,11 +2,12 @@
 
 Layout: long rows (one per entity) are nested once into frames with a ``players`` array
 (at most the roster), hash-partitioned by event. Every later step is a window inside that
-partitioning or an array expression inside a frame, so the whole pipeline has one exchange
-of the tracking rows plus one of a tiny per-event table.
+partitioning or an array expression inside a frame, so the whole pipeline reads the rows
+once and exchanges them once.
 
-An event is one play, a few hundred frames; pass ``hot_rows`` when that cannot be trusted
-and the sequence steps are cut into blocks (see ``sequence.split_hot``).
+An event is one play, a few hundred frames; pass ``hot_rows`` when that cannot be trusted:
+event facts then come from partially aggregated joins and the sequence steps are cut into
+blocks (see ``sequence.split_hot``).
 """
 
 from __future__ import annotations
@@ -33,9 +34,36 @@ def dedup_moments(moments: DataFrame, order: list[str] | None = None) -> DataFra
     return moments.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def with_team_means(moments: DataFrame) -> DataFrame:
+    """Add each row's team mean x of the event (mean over players of their mean)."""
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    wp = Window.partitionBy(*EVENT, "player_id").orderBy("game_clock")
+    d = moments.repartition(*EVENT).withColumns({"_m": F.avg("x").over(wp.rowsBetween(*whole)), "_r": F.row_number().over(wp)})
+    per_team = F.avg(F.when(F.col("_r") == 1, F.col("_m"))).over(Window.partitionBy(*EVENT, "team_id"))
+    return d.withColumn("team_mean_x", per_team).drop("_m", "_r")
+
+
+def with_offense(frames: DataFrame, s: Q.Seq) -> DataFrame:
+    """Offense and mirror flag of each frame's event, by windows on the frame partitioning.
+
+    Same rule as ``offense_of_events``, but without reading the moments again and without
+    a join; needs ``team_mean_x`` in the players.
+    """
+    event = s.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = nearest_to_ball(F.col("players"), F.col("ball"))
+    d = frames.withColumn("_near", near).withColumn("_vote", F.when(F.col("_near.d") < K.VOTE_DIST, F.col("_near.team_id")))
+    votes = Window.partitionBy(*EVENT, "_vote")
+    tally = F.struct(F.count(F.lit(1)).over(votes).alias("n"), F.max("game_clock").over(votes).alias("seen"), (-F.col("_vote")).alias("t"))
+    d = d.withColumn("_tally", F.when(F.col("_vote").isNotNull(), tally))
+    lowest = F.array_min(F.transform("players", lambda p: p["team_id"]))
+    d = d.withColumn("offense_team_id", F.coalesce(-F.max("_tally").over(event)["t"], F.min(lowest).over(event)))
+    mean = F.array_max(F.transform("players", lambda p: F.when(p["team_id"] == F.col("offense_team_id"), p["team_mean_x"])))
+    return d.withColumn("flip", F.max(mean).over(event) > K.HALF_X).drop("_near", "_vote", "_tally")
+
+
 def to_frames(moments: DataFrame) -> DataFrame:
     """One row per (event, moment) with the ball and an ordered array of players."""
-    player = F.struct("player_id", "team_id", "x", "y")
+    player = F.struct("player_id", "team_id", "x", "y", *[c for c in ("team_mean_x",) if c in moments.columns])
     ball = F.struct("x", "y", "z")
     return (moments.repartition(*EVENT)
             .groupBy(*EVENT, "quarter", "game_clock")
@@ -141,10 +169,12 @@ def frame_key() -> Column:
 def possession_frames(moments: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Frames of every possession, mirrored, with velocities, slices and ball handler."""
     s = frame_seq()
-    raw = to_frames(moments)
-    frames = mirror(raw.join(offense_of_events(raw, moments), EVENT))
     if hot_rows:
+        raw = to_frames(moments)
+        frames = mirror(raw.join(offense_of_events(raw, moments), EVENT))
         frames, s = Q.split_hot(frames, s, hot_rows)
+    else:
+        frames = mirror(with_offense(to_frames(with_team_means(moments)), s))
     d = with_motion(frames, s)
     run = Window.partitionBy(*EVENT)
     per_slice = Window.partitionBy(*EVENT, "slice")

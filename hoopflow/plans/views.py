@@ -309,6 +309,20 @@ VIEWS = {
     "fx_vectors": _vectors,
 }
 
+# Views that turn one event row into eleven entity rows.
+EXPANDING = {"fx_tracking", "fx_tracking_b", "fx_tracking_c"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a table that arrives in fewer splits than there are cores.
+
+    Only then is the (narrow, not yet expanded) input shuffled; a table of many splits is
+    left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _WORD = re.compile(r"\b[A-Za-z_]\w*\b")
 
 
@@ -319,6 +333,8 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name](SPARK)
     used = {w for w in _WORD.findall(sql) if w in VIEWS or w in TABLES} - {name}
     args = {w: spark_view(spark, sf_dir, w) for w in used}
+    if name in EXPANDING:
+        args["events"] = spread(args["events"].select("event_id"))
     text = _WORD.sub(lambda m: "{" + m.group(0) + "}" if m.group(0) in used else m.group(0), sql)
     return spark.sql(text, **args)
 
