@@ -286,6 +286,28 @@ def _residual(h, px, py, cx, cy):
     return np.hypot((h[0, 0] * px + h[0, 1] * py + h[0, 2]) / w - cx, (h[1, 0] * px + h[1, 1] * py + h[1, 2]) / w - cy)
 
 
+def _robust(a, inlier_ft):
+    """Fit, and while a landmark disagrees drop the one whose absence helps most.
+
+    Deterministic; the landmark list is fixed and short. At the end every landmark that
+    agrees with the final map counts, also one dropped on the way.
+    """
+    keep = np.ones(len(a), bool)
+    h = _fit(*a.T)
+    while keep.sum() > 4 and _residual(h, *a[keep].T).max() > inlier_ft:
+        best = None
+        for i in np.flatnonzero(keep):
+            trial = keep.copy()
+            trial[i] = False
+            g = _fit(*a[trial].T)
+            cost = float(np.sum(_residual(g, *a[trial].T) ** 2))
+            if best is None or cost < best[0]:
+                best = (cost, trial, g)
+        _, keep, h = best
+    agrees = _residual(h, *a.T) <= inlier_ft
+    return h, agrees if agrees.sum() >= 4 else keep
+
+
 FIT_SCHEMA = "struct<h: array<double>, median_ft: double, n_points: int, ok: boolean>"
 
 
@@ -293,7 +315,7 @@ def fit_homographies(keypoints: DataFrame, by: list[str], conf_floor: float = 0.
     """Pixel -> court map per frame from at least four confident landmarks.
 
     Landmarks are nested per frame (a fixed list bounds them) and solved in Arrow batches,
-    many frames per call. Deterministic: fit, drop outliers, fit again.
+    many frames per call.
     """
     nested = (keypoints.where(F.col("conf") >= conf_floor).groupBy(*by)
               .agg(F.sort_array(F.collect_list(F.array("px", "py", "court_x", "court_y"))).alias("_pts")))
@@ -305,13 +327,7 @@ def fit_homographies(keypoints: DataFrame, by: list[str], conf_floor: float = 0.
             a = np.array([list(q) for q in p], float)
             h, med, n, ok = None, None, len(a), False
             if len(a) >= 4:
-                keep = np.ones(len(a), bool)
-                for _ in range(3):
-                    h = _fit(*a[keep].T)
-                    nxt = _residual(h, *a.T) <= inlier_ft
-                    if nxt.sum() < 4 or (nxt == keep).all():
-                        break
-                    keep = nxt
+                h, keep = _robust(a, inlier_ft)
                 med, n = float(np.median(_residual(h, *a[keep].T))), int(keep.sum())
                 ok = med <= max_ft and n >= 4
             out.append((None if h is None else h.ravel().tolist(), med, n, ok))

@@ -71,8 +71,15 @@ PBP_SCHEMA = ("GAME_ID string, SEQ bigint, EVENTMSGTYPE bigint, PERIOD bigint, P
 
 
 def read_csv(spark: SparkSession, path, schema: str) -> DataFrame:
-    """CSV with a header; columns are matched by name through the header order check."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    """CSV with a header: the wanted columns by name, cast without inference.
+
+    Other columns are pruned, absent ones are NULL; an absent SEQ becomes the row position,
+    which breaks ties between equal clocks in file order.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    pick = lambda f: F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else (
+        F.monotonically_increasing_id() if f.name == "SEQ" else F.lit(None).cast(f.dataType))
+    return raw.select(*[pick(f).alias(f.name) for f in T.StructType.fromDDL(schema).fields])
 
 
 def shots(raw: DataFrame, game_ids=None) -> DataFrame:
