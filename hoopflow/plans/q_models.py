@@ -122,7 +122,7 @@ def _(src):
     return AP.overlay_spec(s, q, KEY, names=src("fx_roster"))
 
 
-@query("sink_recommendations")
+@query("sink_recommendations", "SELECT clip_id, count(*) AS pauses, count(*) FILTER (WHERE action IS NULL) AS gated FROM fx_recs GROUP BY clip_id")
 def _(src):
     r = src("fx_recs").select("clip_id", "event_id", "video_time", "n_players", "handler_id", F.when(F.col("action").isNotNull(), F.array(F.struct("action"))).alias("actions"))
     path = fresh_path(src.spark, "recs")

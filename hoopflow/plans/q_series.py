@@ -144,7 +144,18 @@ def _(src):
     return d.agg(r4(F.avg((F.abs(F.col("clock") - F.col("clock_true")) <= 0.75).cast("double"))).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-@query("win_gate_track")
+cte("o_ball", """SELECT v.clip_id, v.frame_idx, (d.x1 + d.x2)/2 AS bx0, (d.y1 + d.y2)/2 AS by0, row_number() OVER (PARTITION BY v.clip_id ORDER BY v.frame_idx) AS i
+  FROM fx_video_frames v LEFT JOIN fx_detections d ON v.clip_id = d.clip_id AND v.frame_idx = d.frame_idx AND d.cls = 'ball'""")
+_HIT = "(bx0 IS NOT NULL AND (sqrt((bx0-x-vx)*(bx0-x-vx)+(by0-y-vy)*(by0-y-vy)) <= 280 OR missed >= 2))"
+cte("o_bfold", f"""SELECT clip_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, 0e0 AS vx, 0e0 AS vy, 0 AS missed FROM (SELECT DISTINCT clip_id FROM o_ball)
+  UNION ALL SELECT f.clip_id, b.i, b.frame_idx,
+   CASE WHEN x IS NULL THEN bx0 WHEN {_HIT} THEN 0.85e0*bx0 + (1 - 0.85e0)*(x+vx) ELSE x+vx END, CASE WHEN x IS NULL THEN by0 WHEN {_HIT} THEN 0.85e0*by0 + (1 - 0.85e0)*(y+vy) ELSE y+vy END,
+   CASE WHEN x IS NULL THEN 0e0 WHEN {_HIT} THEN 0.4e0*vx + 0.6e0*(bx0-x) ELSE vx*0.7e0 END, CASE WHEN x IS NULL THEN 0e0 WHEN {_HIT} THEN 0.4e0*vy + 0.6e0*(by0-y) ELSE vy*0.7e0 END,
+   CASE WHEN x IS NULL OR {_HIT} THEN 0 ELSE missed + 1 END FROM o_bfold f JOIN o_ball b ON f.clip_id = b.clip_id AND b.i = f.i + 1""")
+
+
+@query("win_gate_track", f"""SELECT clip_id, frame_idx, {R('coalesce(x, first_value(x IGNORE NULLS) OVER w)')} AS ball_x, {R('coalesce(y, first_value(y IGNORE NULLS) OVER w)')} AS ball_y FROM o_bfold WHERE i > 0
+  WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
 def _(src):
     d = src("fx_detections").where("cls = 'ball'").selectExpr("clip_id", "frame_idx", "(x1 + x2)/2 AS bx", "(y1 + y2)/2 AS b_y")
     f = src("fx_video_frames").select("clip_id", "frame_idx").join(d, ["clip_id", "frame_idx"], "left")

@@ -66,11 +66,11 @@ def _(src):
     return drained(ST.clock_validate(stream_of(f, "frame_idx >= 12", "clock"), "clip_id", "frame_idx", "clock_read"), "clock")
 
 
-@query("st_gate_track")
+@query("st_gate_track", f"SELECT clip_id, frame_idx, {R('x')} AS ball_x, {R('y')} AS ball_y FROM o_bfold WHERE i > 0")
 def _(src):
     b = src("fx_detections").where("cls = 'ball'").selectExpr("clip_id", "frame_idx", "(x1 + x2)/2 AS bx", "(y1 + y2)/2 AS b_y")
     f = src("fx_video_frames").select("clip_id", "frame_idx").join(b, ["clip_id", "frame_idx"], "left")
-    return drained(ST.gate_track(stream_of(f, "frame_idx >= 12", "ball"), "clip_id", "frame_idx", "bx", "b_y"), "ball")
+    return drained(ST.gate_track(stream_of(f, "frame_idx >= 12", "ball"), "clip_id", "frame_idx", "bx", "b_y"), "ball").select("clip_id", "frame_idx", r4("ball_x").alias("ball_x"), r4("ball_y").alias("ball_y"))
 
 
 cte("o_sess", """SELECT user_id, sid, min(us) AS start_us, max(us) + 7200000000 AS end_us, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us, event_id) AS sid FROM

@@ -73,10 +73,15 @@ def _(src):
     return briefs(src).select("state", F.col("rec.action").alias("rec_action"), F.col("alt.action").alias("alt_action"))
 
 
-@query("txt_template")
+_LET = "translate(CAST({} AS VARCHAR), '0123456789', 'abcdefghij')"
+
+
+@query("txt_template", f"""SELECT state, CASE action WHEN 'SHOOT' THEN 'Let ' || me || ' shoot from the ' || CASE WHEN state % 3 = 0 THEN 'above break three left' ELSE 'mid range center' END
+  WHEN 'PASS_TO' THEN me || ' should pass to P' || {_LET.format('action_id')} WHEN 'DRIVE' THEN me || ' should drive left' ELSE me || ' should reset the offense' END AS headline, 0 AS n_violations
+  FROM (SELECT *, 'H' || {_LET.format('state % 10')} AS me FROM o_rank WHERE rnk = 1)""")
 def _(src):
     t = RA.audit(RA.template(briefs(src)))
-    return t.select("state", *RA.FIELDS, F.size("violations").alias("n_violations"))
+    return t.select("state", "headline", F.size("violations").alias("n_violations"))
 
 
 @query("txt_generate_validate", """SELECT state, CASE WHEN state % 2 = 0 AND state % 5 <> 0 THEN 'model' ELSE 'template_fallback' END AS source FROM (SELECT DISTINCT state FROM fx_cands)""")
