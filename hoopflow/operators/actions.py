@@ -34,7 +34,8 @@ def enumerate_actions(states: DataFrame) -> DataFrame:
     d = ST.decided(states)
     h = F.col("handler")
     mates = F.filter("players", lambda p: (p["side"] == "offense") & (p["player_id"] != F.col("handler.player_id")))
-    d = d.withColumn("_mates", mates)
+    # The guard is the nearest defender by stated positions, found once per state.
+    d = d.withColumns({"_mates": mates, "guard_id": ST.nearest(ST.of_side("players", "defense"), h["x"], h["y"])["player_id"]})
     gap = lambda t: G.dist(t["x"], t["y"], h["x"], h["y"])
     branches = F.concat(
         F.array(F.when(shoot_legal(h["dist_to_rim"], F.col("shot_clock")),
@@ -48,7 +49,7 @@ def enumerate_actions(states: DataFrame) -> DataFrame:
         F.array(_candidate("RESET", h)))
     d = d.withColumn("_c", F.array_compact(branches)).drop("_mates")
     d = ST.unnest(d.withColumn("n_candidates", F.size("_c").cast("long")), "_c", "_cand", "_pos")
-    return (d.select(*states.columns, "n_candidates", (F.col("_pos") + 1).cast("long").alias("ord"), "_cand.*")
+    return (d.select(*states.columns, "n_candidates", "guard_id", (F.col("_pos") + 1).cast("long").alias("ord"), "_cand.*")
             .withColumn("action_id", F.concat(F.lit("a"), F.col("ord").cast("string"))))
 
 
@@ -66,8 +67,7 @@ def next_states(cands: DataFrame) -> DataFrame:
     d = d.withColumns({"_ux": F.when(ok, dx / F.col("_r")).otherwise(0.0), "_uy": F.when(ok, dy / F.col("_r")).otherwise(0.0),
                        "_step": F.least(F.lit(K.DRIVE_STEP), F.greatest(F.lit(0.0), F.col("_r") - 2.0)),
                        "_lat": F.when(dirn == "left", K.DRIVE_LATERAL).when(dirn == "right", -K.DRIVE_LATERAL).otherwise(0.0),
-                       "_target": F.get(F.filter("players", lambda p: p["player_id"] == F.col("target")), F.lit(0)),
-                       "_guard": ST.nearest(ST.of_side("players", "defense"), h["x"], h["y"])["player_id"]})
+                       "_target": F.get(F.filter("players", lambda p: p["player_id"] == F.col("target")), F.lit(0))})
     act = F.col("action")
     d = d.withColumns({
         "_nx": F.when(act == "DRIVE", h["x"] + F.col("_ux") * F.col("_step") - F.col("_uy") * F.col("_lat"))
@@ -79,7 +79,7 @@ def next_states(cands: DataFrame) -> DataFrame:
 
     def moved(p):
         is_h = moves & (p["player_id"] == h["player_id"])
-        is_g = moves & (p["player_id"] == F.col("_guard"))
+        is_g = moves & (p["player_id"] == F.col("guard_id"))
         drive = is_h & (act == "DRIVE")
         pos = lambda a, n: (F.when(is_h, F.col(n)).when(is_g, p[a] + (F.col(n) - h[a]) * share).otherwise(p[a]))
         return F.struct(p["player_id"].alias("player_id"), p["team_id"].alias("team_id"), p["side"].alias("side"),
@@ -94,7 +94,7 @@ def next_states(cands: DataFrame) -> DataFrame:
         F.col("ball.z").alias("z"), F.col("ball.vx").alias("vx"), F.col("ball.vy").alias("vy"))
     d = d.withColumns({"handler_player_id": F.when(passed, F.col("target")).otherwise(h["player_id"]),
                        "ball_in_flight": F.col("ball.in_flight"), "ball": ball, "players": F.transform("players", moved)})
-    d = d.drop("_r", "_ux", "_uy", "_step", "_lat", "_target", "_guard", "_nx", "_ny", "handler", "context")
+    d = d.drop("_r", "_ux", "_uy", "_step", "_lat", "_target", "guard_id", "_nx", "_ny", "handler", "context")
     return ST.build_for_handler(d)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hoopflow.plans import views
+from hoopflow.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +54,11 @@ def with_ctes(sql: str) -> str:
 
 def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Source], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Source(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(Source(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_ctes(sql)
         return fn
