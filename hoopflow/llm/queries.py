@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoopflow.llm import minhash, substrings, suffix
+from hoopflow.llm import decontam, langid, lines, minhash, packing, pii, quality, rules, substrings, suffix
 from hoopflow.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,19 +30,116 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_minhash")
+SQL_OP1 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM t UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.id)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, t.doc_id = c.c AS kept, coalesce(d.k, 0) AS n_links_sql
+FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) c ON c.id = t.doc_id
+LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) d ON d.a = t.doc_id
+"""
+SQL_OP1 = "SELECT doc_id, n_shingles, component_id, kept FROM (" + SQL_OP1 + ")"
+
+SQL_OP2 = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS p FROM t),
+s AS (SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS x, CASE WHEN p <= n - 50 THEN min(doc_id) OVER (PARTITION BY CASE WHEN p <= n - 50 THEN substring(h, 2 * p + 1, 100) END) < doc_id ELSE false END AS bad FROM p),
+c AS (SELECT doc_id, p, x, coalesce(max(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM s),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+SQL_OP7 = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS p FROM t),
+s AS (SELECT doc_id, p, w[p] AS x, n - p >= 19 AS full_window, CASE WHEN n - p >= 19 THEN array_to_string(w[p:p + 19], ' ') END AS s FROM p),
+b AS (SELECT doc_id, p, x, full_window AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS bad FROM s),
+c AS (SELECT doc_id, p, x, max(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM b),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN g USING (doc_id)
+"""
+
+SQL_OP9 = r"""
+WITH l AS (SELECT doc_id, source, i, line FROM (SELECT doc_id, source, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+hosts AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+bad AS (SELECT f.source, f.line FROM (SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line) f JOIN hosts h USING (source) WHERE n >= 5 AND n > 0.05 * pages),
+k AS (SELECT l.doc_id, l.i, l.line, b.line IS NOT NULL AS gone FROM l LEFT JOIN bad b ON b.source = l.source AND b.line = l.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id
+"""
+
+
+@query("op1_minhash", SQL_OP1)
 def op1(spark, sf_dir):
     """Components of documents whose 4-word shingle sets have a similarity of 0.8 or more."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("n_links")
 
 
-@query("op2_suffix_array")
+@query("op2_suffix_array", SQL_OP2)
 def op2(spark, sf_dir):
     """Bytes left after 50-byte strings of documents with smaller ids are removed."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept")
 
 
-@query("op7_substring")
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    """Base measures and the posterior verdict of the quality rules."""
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op4_personal_data")
+def op4(spark, sf_dir):
+    """Spans of personal data."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark, sf_dir):
+    """Pieces of documents in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language")
+def op6(spark, sf_dir):
+    """Predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_substring", SQL_OP7)
 def op7(spark, sf_dir):
     """Words left after 20-word windows that start earlier are removed."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=20).drop("kept")
+
+
+@query("op8_decontamination")
+def op8(spark, sf_dir):
+    """Documents that hold at least half of a benchmark item in tiles of five words or more."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_line_dedup", SQL_OP9)
+def op9(spark, sf_dir):
+    """Lines on more than 5 % of a source's documents are removed."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    """Quality score of every document."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    """All stages of corpus_pipeline.py, each on what the one before kept."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
