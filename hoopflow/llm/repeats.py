@@ -5,6 +5,7 @@ its k-grams, leftmost first. Equal windows have equal anchors, so only windows o
 that occur more than once can repeat. The job is one plan over documents dealt into groups
 of about ``GROUP_BYTES`` of text:
 
+0. exact copies of texts with smaller ids are set aside: all their windows repeat;
 1. each group sends its distinct anchors, packed by anchor bucket;
 2. each bucket tells the groups which of their anchors occur elsewhere as well;
 3. each group sends the phrases (runs of windows with one anchor) of those anchors;
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,7 +119,8 @@ class Method:
     """What differs between the operators that look for repeated windows.
 
     symbols(data, offsets) -> (hash per symbol, symbol offsets of the rows)
-    content(data, offsets, h, symbol offsets, phrases) -> (bytes end to end, byte count of each phrase)
+    content(data, offsets, h, symbol offsets, phrases) -> bytes of all phrases end to end
+    size(count) -> bytes of the content of phrases of so many windows
     repeated(doc, start, count, content, sizes) -> per window of every phrase, is it a repeat
     finish(table, covered) -> result rows; covered(row, n) is a mask over the row's n symbols
     """
@@ -127,6 +130,7 @@ class Method:
     within: bool
     symbols: Callable
     content: Callable
+    size: Callable
     repeated: Callable
     finish: Callable
     schema: str
@@ -144,6 +148,24 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[part[0]]), part
 
 
+def _pack(ids: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
+    """Phrases of a few rows: the rows and their ids once, then 7 bytes a phrase."""
+    used, at = np.unique(row, return_inverse=True)
+    return b"".join([np.array([len(used), len(row)], np.int32).tobytes(), ids[used].astype(np.int64).tobytes(), used.astype(np.int32).tobytes(),
+                     at.astype(np.uint16 if len(used) < 65536 else np.int32).tobytes(), start.astype(np.int32).tobytes(), count.astype(np.uint16).tobytes()])
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    """doc, row, start, count."""
+    (n, m), at = np.frombuffer(raw, np.int32, 2), 8
+    parts = []
+    for kind, size in ((np.int64, n), (np.int32, n), (np.uint16 if n < 65536 else np.int32, m), (np.int32, m), (np.uint16, m)):
+        parts.append(np.frombuffer(raw, kind, size, at).astype(np.int64))
+        at += size * np.dtype(kind).itemsize
+    ids, used, which, start, count = parts
+    return np.stack([ids[which], used[which], start, count])
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     return table.column("_id").to_numpy()
 
@@ -153,34 +175,59 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
     """One row of ``method.schema`` per row of ``docs``; a null id counts as larger than any other."""
     m, length, k = method, method.length, method.k
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+                        F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     total = plain.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     n_groups = max(1, total // group_bytes)
     n_buckets = max(8, total // (200_000 * 15))
-    grouped = plain.withColumn("_g", F.pmod(F.xxhash64("_id", "_text"), F.lit(n_groups))).groupBy("_g")
-
-    def found(table: pa.Table):
-        data, offsets = utf8(table.column("_text"))
+    dealt = plain.withColumn("_g", F.pmod(F.xxhash64("_id", "_h"), F.lit(n_groups)))
+    grouped = dealt.groupBy("_g")
+    same = ["_h", "_n", "_c"]
+    narrow = dealt.select("_g", "_id", "_h", F.octet_length("_text").alias("_n"), F.hash("_text").alias("_c"))
+    originals = narrow.groupBy(*same).agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
+    copies = narrow.join(originals, same).where("_id > _first").select(F.col("_g").alias("_to"), F.lit(0).alias("k"), F.col("_id").alias("i"), F.col("_h").alias("_of"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("m")).toDF("_to", "k", "i", "_h", "a", "m").withColumnRenamed("_to", "_g")
+
+    def own(table: pa.Table, messages: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """The group's rows in order, and which of them are exact copies."""
+        table = _sorted_rows(table)
+        said = messages.filter(pa.array(messages.column("k").to_numpy() == 0)) if messages.num_rows else messages
+        known = set(zip(said.column("i").to_pylist(), said.column("_h").to_pylist()))
+        if not known:
+            return table, np.zeros(table.num_rows, bool)
+        return table, np.fromiter(map(known.__contains__, zip(table.column("_id").to_pylist(), table.column("_h").to_pylist())), bool, table.num_rows)
+
+    def said(messages: pa.Table, column: str) -> list:
+        return [x for k, x in zip(messages.column("k").to_pylist(), messages.column(column).to_pylist()) if k]
+
+    def found(table: pa.Table, copy: np.ndarray):
+        texts = table.column("_text")
+        data, offsets = utf8(pc.if_else(pa.array(copy), "", texts) if copy.any() else texts)
         h, rows = m.symbols(data, offsets)
         return data, offsets, h, rows, phrases(h, rows, length, k)
 
-    def send_anchors(table: pa.Table) -> pa.Table:
-        *_, p = found(_sorted_rows(table))
+    def short(anchor: np.ndarray) -> np.ndarray:
+        """Bucket and 32 bits of an anchor: this only selects candidates, so a rare clash costs time, not results."""
+        return (anchor % np.uint64(n_buckets)) << np.uint64(32) | anchor >> np.uint64(32)
+
+    def send_anchors(table: pa.Table, messages: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"b": pa.array([], pa.int64()), "_g": pa.array([], pa.int64()), "a": pa.array([], pa.binary()), "m": pa.array([], pa.binary())})
+        *_, p = found(*own(table, messages))
+        key = short(p.anchor)
         if m.within:  # occurrences; a phrase cut at a piece's end only adds one
-            a, c = np.unique(p.anchor, return_counts=True)
+            a, c = np.unique(key, return_counts=True)
         else:
-            order = np.lexsort((p.row, p.anchor))
-            x, r = p.anchor[order], p.row[order]
+            order = np.lexsort((p.row, key))
+            x, r = key[order], p.row[order]
             keep = np.ones(len(x), bool)
             keep[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
             a, c = np.unique(x[keep], return_counts=True)
-        out = [(b, a[i].tobytes(), np.packbits(c[i] > 1).tobytes()) for b, i in _by_bucket((a % np.uint64(n_buckets)).astype(np.int64))]
+        out = [(b, a[i].astype(np.uint32).tobytes(), np.packbits(c[i] > 1).tobytes()) for b, i in _by_bucket((a >> np.uint64(32)).astype(np.int64))]
         g = table.column("_g")[0].as_py()
         return pa.table({"b": pa.array([o[0] for o in out], pa.int64()), "_g": pa.array([g] * len(out), pa.int64()),
                          "a": pa.array([o[1] for o in out], pa.binary()), "m": pa.array([o[2] for o in out], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
+        lists = [np.frombuffer(x, np.uint32) for x in table.column("a").to_pylist()]
         many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)).astype(bool) for x, a in zip(table.column("m").to_pylist(), lists)]
         every, inverse, groups = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         twice = groups > 1
@@ -194,21 +241,27 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
                 g.append(gid)
                 a.append(x[keep].tobytes())
                 hots.append(np.packbits(hot[at[keep]]).tobytes())
-        return pa.table({"_g": pa.array(g, pa.int64()), "a": pa.array(a, pa.binary()), "m": pa.array(hots, pa.binary())})
+        return message(g, a, hots, table.column("b")[0].as_py())
+
+    def message(g: list, a: list, m: list, bucket: int = 0) -> pa.Table:
+        n = len(g)
+        return pa.table({"_g": pa.array(g, pa.int64()), "k": pa.array([1] * n, pa.int32()), "i": pa.array([bucket] * n, pa.int64()), "_h": pa.array([0] * n, pa.int64()),
+                         "a": pa.array(a, pa.binary()), "m": pa.array(m, pa.binary())})
 
     def send_phrases(table: pa.Table, known: pa.Table) -> pa.Table:
         empty = {n: pa.array([], t) for n, t in (("b", pa.int64()), ("_g", pa.int64()), ("h", pa.binary()), ("c", pa.binary()))}
-        if not known.num_rows or not table.num_rows:
+        lists = [np.uint64(b << 32) | np.frombuffer(x, np.uint32) for b, x in zip(said(known, "i"), said(known, "a"))]
+        if not lists or not table.num_rows:
             return pa.table(empty)
-        lists = [np.frombuffer(x, np.uint64) for x in known.column("a").to_pylist()]
-        hot = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)).astype(bool) for x, a in zip(known.column("m").to_pylist(), lists)])
+        hot = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)).astype(bool) for x, a in zip(said(known, "m"), lists)])
         known_a = np.concatenate(lists)
         order = np.argsort(known_a)
         known_a, hot = known_a[order], hot[order]
-        table = _sorted_rows(table)
-        data, offsets, h, rows, p = found(table)
-        at = np.minimum(np.searchsorted(known_a, p.anchor), len(known_a) - 1)
-        keep = known_a[at] == p.anchor
+        table, copy = own(table, known)
+        data, offsets, h, rows, p = found(table, copy)
+        key = short(p.anchor)
+        at = np.minimum(np.searchsorted(known_a, key), len(known_a) - 1)
+        keep = known_a[at] == key
         p, is_hot = Phrases(p.row[keep], p.start[keep], p.count[keep], p.anchor[keep]), hot[at[keep]]
         bucket = p.anchor % np.uint64(n_buckets)
         if is_hot.any():  # these go as single windows, by the hash of the window
@@ -220,21 +273,21 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
                 grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[first + j]
             bucket = np.concatenate([bucket[~is_hot], (grams >> np.uint64(20)) % np.uint64(n_buckets)])
             p = Phrases(*(np.concatenate([getattr(p, f)[~is_hot], getattr(one, f)]) for f in ("row", "start", "count", "anchor")))
-        blob, sizes = m.content(data, offsets, h, rows, p)
+        blob, sizes = m.content(data, offsets, h, rows, p), m.size(p.count)
         ids = _ids(table)
         cut = np.cumsum(sizes) - sizes
         out = []
         for b, i in _by_bucket(bucket.astype(np.int64)):
-            head = np.stack([ids[p.row[i]], p.row[i], p.start[i], p.count[i], sizes[i]])
-            out.append((b, head.astype(np.int64).tobytes(), blob[expand(cut[i], sizes[i])].tobytes()))
+            out.append((b, _pack(ids, p.row[i], p.start[i], p.count[i]), blob[expand(cut[i], sizes[i])].tobytes()))
         g = table.column("_g")[0].as_py()
         return pa.table({"b": pa.array([o[0] for o in out], pa.int64()), "_g": pa.array([g] * len(out), pa.int64()),
                          "h": pa.array([o[1] for o in out], pa.binary()), "c": pa.array([o[2] for o in out], pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
-        heads = [np.frombuffer(x, np.int64).reshape(5, -1) for x in table.column("h").to_pylist()]
+        heads = [_unpack(x) for x in table.column("h").to_pylist()]
         group = np.repeat(np.arange(len(heads)), [x.shape[1] for x in heads])
-        doc, row, start, count, sizes = np.concatenate(heads, axis=1)
+        doc, row, start, count = np.concatenate(heads, axis=1)
+        sizes = m.size(count)
         content = np.frombuffer(b"".join(table.column("c").to_pylist()), np.uint8)
         bad = m.repeated(doc, start, count, content, sizes)
         e = np.repeat(np.arange(len(doc)), count)[bad]
@@ -246,28 +299,33 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
         for x, i in _by_bucket(key >> 32):
             g.append(names[x])
             out.append(np.stack([key[i] & 0xFFFFFFFF, at[i], size[i]]).astype(np.int64).tobytes())
-        return pa.table({"_g": pa.array(g, pa.int64()), "r": pa.array(out, pa.binary())})
+        return message(g, out, [None] * len(g))
 
     def finish(table: pa.Table, found_runs: pa.Table) -> pa.Table:
         if not table.num_rows:
             return m.finish(table, None)
-        table = _sorted_rows(table)
-        lists = [np.frombuffer(x, np.int64).reshape(3, -1) for x in found_runs.column("r").to_pylist()]
+        table, copy = own(table, found_runs)
+        lists = [np.frombuffer(x, np.int64).reshape(3, -1) for x in said(found_runs, "a")]
         row, at, size = np.concatenate(lists, axis=1) if lists else np.zeros((3, 0), np.int64)
         order = np.argsort(row, kind="stable")
         row, at, size = row[order], at[order], size[order]
 
-        def covered(i: int, n: int) -> np.ndarray:
+        def covered(i: int, n: int) -> np.ndarray | None:
+            if copy[i]:
+                return np.ones(n, bool) if n >= length else None
             a, b = np.searchsorted(row, [i, i + 1])
+            if a == b:
+                return None
             edge = np.zeros(n + 1, np.int64)
             np.add.at(edge, at[a:b], 1)
             np.subtract.at(edge, at[a:b] + size[a:b] + length - 1, 1)
             return np.cumsum(edge[:-1]) > 0
 
-        return m.finish(table, lambda i, n: covered(i, n) if np.searchsorted(row, i) < np.searchsorted(row, i + 1) else None)
+        return m.finish(table, covered)
 
-    anchors = grouped.applyInArrow(send_anchors, "b long, _g long, a binary, m binary")
-    known = anchors.groupBy("b").applyInArrow(answer, "_g long, a binary, m binary")
-    sent = grouped.cogroup(known.groupBy("_g")).applyInArrow(send_phrases, "b long, _g long, h binary, c binary")
-    bad = sent.groupBy("b").applyInArrow(compare, "_g long, r binary")
-    return grouped.cogroup(bad.groupBy("_g")).applyInArrow(finish, m.schema)
+    told = "_g long, k int, i long, _h long, a binary, m binary"
+    anchors = grouped.cogroup(copies.groupBy("_g")).applyInArrow(send_anchors, "b long, _g long, a binary, m binary")
+    known = anchors.groupBy("b").applyInArrow(answer, told)
+    sent = grouped.cogroup(known.union(copies).groupBy("_g")).applyInArrow(send_phrases, "b long, _g long, h binary, c binary")
+    bad = sent.groupBy("b").applyInArrow(compare, told)
+    return grouped.cogroup(bad.union(copies).groupBy("_g")).applyInArrow(finish, m.schema)

@@ -52,7 +52,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
         acc = np.zeros(len(at), np.uint64)
         for j in range(length):
             acc = acc * np.uint64(0xA24BAED4963EE407) + h[at + j]
-        return mix(acc).view(np.uint8), p.count * 8
+        return mix(acc).view(np.uint8)
 
     def finish(table: pa.Table, covered) -> pa.Table:
         ids = [None if x == LAST else x for x in table.column("_id").to_pylist()]
@@ -67,7 +67,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(c[0], pa.int64()), "n_removed": pa.array(c[1], pa.int64()),
                          "kept_sha256": pa.array(c[2], pa.string()), "kept": pa.array(c[3], pa.string())})
 
-    method = Method(length, max(1, min(SEED_WORDS, length // 2)), True, word_hashes, content,
+    method = Method(length, max(1, min(SEED_WORDS, length // 2)), True, word_hashes, content, lambda count: count * 8,
                     lambda doc, start, count, content, sizes: repeated_earlier(doc, start, count, content), finish,
                     "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return repeated_windows(docs, method, id_col, text_col, group_bytes, hot_groups)

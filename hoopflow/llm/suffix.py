@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from hoopflow.llm.repeats import GROUP_BYTES, HOT_GROUPS, LAST, Method, expand, repeated_windows
 
 _CODE = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
-TRIGGER = 16
+TRIGGER = 24
 
 
 def _symbols(data, offsets):
@@ -76,8 +76,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError("length must be at least 2")
 
     def content(data, offsets, h, rows, p):
-        sizes = p.count + length - 1
-        return data[expand(rows[p.row] + p.start, sizes)], sizes
+        return data[expand(rows[p.row] + p.start, p.count + length - 1)]
 
     def finish(table: pa.Table, covered) -> pa.Table:
         ids = [None if x == LAST else x for x in table.column("_id").to_pylist()]
@@ -95,7 +94,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         return pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c[j], pa.int64()) for j, n in enumerate(("n_bytes", "n_removed", "n_spans"))},
                          "kept_sha256": pa.array(c[3], pa.string()), "kept": pa.array(c[4], pa.binary())})
 
-    method = Method(length, max(1, min(TRIGGER, length // 2)), False, _symbols, content,
+    method = Method(length, max(1, min(TRIGGER, length // 2)), False, _symbols, content, lambda count: count + length - 1,
                     lambda doc, start, count, content, sizes: repeated_in_smaller(doc, count, content, sizes, length), finish,
                     "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return repeated_windows(docs, method, id_col, text_col, group_bytes, hot_groups)
