@@ -10,9 +10,10 @@ what is far below the threshold goes, the rest is confirmed on the full sets.
 32 bands of 4 registers miss a pair of similarity 0.8 with a probability below 5e-8.
 
 No group is expanded into pairs. Equal sets are one class first. Each band bucket compares
-its members with its first class only; confirmed links make components. What is left are
-pairs of one bucket and two components; those go that cannot be links by the triangle
-inequality of the Jaccard distance over the bucket's first class, and by size.
+its members with one of its classes; confirmed links make components, and further
+steps repeat this, with other classes, for members of other components. Buckets that still
+hold two components go through an exact prefix join: only classes of different
+components that share one of their rarest shingles are compared.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoopflow.llm.graph import components
@@ -31,8 +32,11 @@ from hoopflow.session import cut_lineage
 
 BASE, BANDS, ROWS = 1.05, 32, 4
 REGISTERS = BANDS * ROWS
-#: An estimate this far below the threshold excludes a pair (over 6 standard errors of 128 registers).
-MARGIN = 0.3
+#: An estimate this far below the threshold excludes a pair (over 5 standard errors of 128 registers).
+MARGIN = 0.2
+STEPS = 2
+#: Id lists up to this long (16 MB) are broadcast; longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _R = np.random.default_rng(1)
 _MUL = _R.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _R.integers(0, 2**32, REGISTERS, dtype=np.uint32)
@@ -98,11 +102,6 @@ def estimate(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray) ->
     return at
 
 
-def _ints(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    off = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
-
-
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +115,24 @@ def _sketch(n: int):
                     hi[full] = np.add.reduceat(mix(values), off[:-1][full])
                     lo[full] = np.bitwise_xor.reduceat(mix(values + np.uint64(77)), off[:-1][full])
                 yield pa.record_batch({"_id": batch.column("_id").slice(i, j - i), "n": pa.array(sizes.astype(np.int64)), "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)),
-                                       "k": pa.array([r.tobytes() for r in k], pa.binary()), "bands": _ints(list(bands(k).view(np.int64)), pa.int64())})
+                                       "k": pa.array([r.tobytes() for r in k], pa.binary())})
     return run
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = bands(np.frombuffer(b"".join(b.column("k").to_pylist()), np.uint16).reshape(-1, REGISTERS))
+        rep, n = (np.repeat(b.column(c).to_numpy(), BANDS) for c in ("rep", "n"))
+        yield pa.record_batch({"rep": pa.array(rep), "n": pa.array(n), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), "key": pa.array(keys.ravel().view(np.int64))})
+
+
+def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = [np.frombuffer(x, np.int64) for x in b.column("s").to_pylist()]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        yield pa.record_batch({"rep": pa.array(np.repeat(b.column("_id").to_numpy(), sizes)), "n": pa.array(np.repeat(sizes, sizes)), "s": pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))})
+
+
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
@@ -164,54 +177,73 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     empty table gives no rows. Other columns are ignored.
     """
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sketch = cut_lineage(plain.mapInArrow(_sketch(words), "_id long, n long, hi long, lo long, k binary, bands array<long>"))
+    sketch = cut_lineage(plain.mapInArrow(_sketch(words), "_id long, n long, hi long, lo long, k binary"))
     filled = sketch.where("n > 0")
-    classes = cut_lineage(filled.groupBy("n", "hi", "lo").agg(F.min("_id").alias("rep"), F.min_by("k", "_id").alias("k"), F.min_by("bands", "_id").alias("bands")))
+    classes = cut_lineage(filled.groupBy("n", "hi", "lo").agg(F.min("_id").alias("rep"), F.min_by("k", "_id").alias("k")))
+    tied = cut_lineage(filled.select("_id", "n", "hi", "lo").join(classes.select("n", "hi", "lo", "rep"), ["n", "hi", "lo"]).select("_id", "rep"))
     # Rows of one id may have different sets: the id ties their classes.
-    tied = filled.select("_id", "n", "hi", "lo").join(classes.select("n", "hi", "lo", "rep"), ["n", "hi", "lo"]).select("_id", "rep")
-    tied = cut_lineage(tied)
-    keys = classes.groupBy("rep", "n").agg(F.min("k").alias("k"), F.flatten(F.collect_set("bands")).alias("bands"), F.count("*").alias("c"))
-    members = keys.select("rep", "n", F.explode(F.array_distinct("bands")).alias("key"))
-    first = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
-    near = cut_lineage(members.join(first, "key"))
-    regs = keys.select("rep", "n", "k")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        """(a, b, e): likelihood estimate of the similarity of each pair."""
-        a, b = regs.toDF("a", "na", "ka"), regs.toDF("b", "nb", "kb")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_estimates, "a long, b long, e double")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        fit = cut_lineage(pairs.where(F.col("e") >= percent / 100 - MARGIN).select("a", "b"))
-        wanted = fit.select(F.col("a").alias("_id")).union(fit.select(F.col("b").alias("_id"))).distinct()
-        sets = plain.join(wanted, "_id", "left_semi").mapInArrow(_full_sets(words), "_id long, s binary")
-        return cut_lineage(fit.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(_confirm(percent), "a long, b long"))
-
-    stars = cut_lineage(judged(near.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()))
-    links = confirmed(stars)
     many = tied.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("_id", "a")
     own = tied.join(many, "_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    comp = cut_lineage(components(links.union(own)))
-
-    # Pairs of one bucket and two components; d is the estimated distance to the bucket's first class.
-    far = stars.select(F.col("a").alias("lead"), F.col("b").alias("rep"), (1 - F.col("e")).alias("d"))
-    placed = (near.join(far, ["lead", "rep"], "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-              .select("key", "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("d", F.lit(0.0)).alias("d"), "lead"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    placed = cut_lineage(placed.join(mixed, "key", "left_semi"))
-    x, y = placed.alias("x"), placed.alias("y")
-    limit = 1 - percent / 100 + MARGIN
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (F.col("x.rep") != F.col("x.lead")) & (F.col("y.rep") != F.col("y.lead"))
-                   & (F.abs(F.col("x.d") - F.col("y.d")) <= limit) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
+    members = classes.select("rep", "n", "k").mapInArrow(_bands, "rep long, n long, band int, key long")
+    shared = members.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
+    near = cut_lineage(members.join(shared, "key"))
+    wanted = cut_lineage(near.select(F.col("rep").alias("_id")).distinct())
+    sets = cut_lineage(_only(plain, wanted).mapInArrow(_full_sets(words), "_id long, s binary"))
+    regs = classes.select("rep", "n", "k").join(wanted.toDF("rep"), "rep", "left_semi")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that the likelihood estimate doesn't exclude and the full sets confirm."""
+        a, b = regs.toDF("a", "na", "ka"), regs.toDF("b", "nb", "kb")
+        sized = pairs.join(a, "a").join(b, "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
+        fit = cut_lineage(sized.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_estimates, "a long, b long, e double").where(F.col("e") >= percent / 100 - MARGIN).select("a", "b"))
+        sa, sb = (_only(sets, fit.select(F.col(c).alias("_id")).distinct()).toDF(c, f"s{c}") for c in ("a", "b"))
+        return cut_lineage(fit.join(sa, "a").join(sb, "b").mapInArrow(_confirm(percent), "a long, b long"))
+
+    links, comp = own, None
+    for step in range(STEPS):
+        placed = near.withColumn("component", F.col("rep")) if comp is None else (
+            near.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+        # The first class of a bucket, in another order at each step.
+        lead = (placed.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(step))).alias("lead"),
+                                          F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "lead"))
+        pairs = (placed.join(lead, "key").where("component <> lead.component")
+                 .select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct())
+        links = cut_lineage(links.union(confirmed(pairs)))
+        comp = components(links)
+
+    placed = near.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    left = cut_lineage(placed.join(mixed, "key", "left_semi").select("rep", "component").distinct())
+    rare = cut_lineage(_rare_shingles(sets, left, percent))
+    x, y = rare.alias("x"), rare.alias("y")
+    rest = (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    more = confirmed(judged(rest))
-    every = links.union(more)
+    more = confirmed(rest)
     if not more.isEmpty():
-        comp = cut_lineage(components(every.union(own)))
-    degree = every.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+        links = links.union(more)
+        comp = components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     of_id = (tied.groupBy("_id").agg(F.min("rep").alias("rep")).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
              .select("_id", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("n_links")))
     out = sketch.select("_id", F.col("n").alias("n_shingles")).join(of_id, "_id", "left")
     null = lambda c: F.nullif(c, F.lit(LAST))
     component = F.coalesce("component", "_id")
     return out.select(null(F.col("_id")).alias("doc_id"), "n_shingles", null(component).alias("component_id"), (F.col("_id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose _id is in ``ids`` (distinct)."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
+
+
+def _rare_shingles(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, component, s): the rarest shingles of each class, enough of them that two similar sets share one.
+
+    Of n shingles in one common order, sets with a similarity of t share one of the first n - ceil(t n) + 1.
+    """
+    each = _only(sets, left.select(F.col("rep").alias("_id")).distinct()).mapInArrow(_explode_sets, "rep long, n long, s long")
+    counts = each.groupBy("s").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("rep", "n").orderBy("c", "s"))
+    first = each.join(counts, "s").withColumn("r", rank).where(f"r <= n - ceil(n * {percent} / 100) + 1 and c > 1").select("rep", "n", "s")
+    return first.join(left, "rep")
