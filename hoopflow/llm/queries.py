@@ -41,16 +41,16 @@ links AS (
   JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
 reach AS (SELECT doc_id AS id, doc_id AS c FROM t UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.id)
-SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, t.doc_id = c.c AS kept, coalesce(d.k, 0) AS n_links_sql
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, t.doc_id = c.c AS kept
 FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) c ON c.id = t.doc_id
-LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) d ON d.a = t.doc_id
 """
-SQL_OP1 = "SELECT doc_id, n_shingles, component_id, kept FROM (" + SQL_OP1 + ")"
 
 SQL_OP2 = """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS p FROM t),
-s AS (SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS x, CASE WHEN p <= n - 50 THEN min(doc_id) OVER (PARTITION BY CASE WHEN p <= n - 50 THEN substring(h, 2 * p + 1, 100) END) < doc_id ELSE false END AS bad FROM p),
+p AS MATERIALIZED (SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS x, CASE WHEN p <= n - 50 THEN substring(h, 2 * p + 1, 100) END AS w
+  FROM (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS p FROM t)),
+m AS (SELECT w, min(doc_id) AS first FROM p WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT p.doc_id, p.p, p.x, coalesce(m.first < p.doc_id, false) AS bad FROM p LEFT JOIN m ON p.w = m.w),
 c AS (SELECT doc_id, p, x, coalesce(max(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM s),
 e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
 g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
