@@ -62,9 +62,9 @@ def columns(feats: dict[str, Column]) -> list[Column]:
 
 
 def entities(states: DataFrame) -> DataFrame:
-    """Normalised entities (at most ten players, then the ball) and three globals per state."""
+    """Normalised entities (all players, then the ball) and three globals per state."""
     rate = lambda v: S.finite_or(v, 0.0) / 10.0
-    seen = F.slice(F.filter("players", lambda p: p["x"].isNotNull() & p["y"].isNotNull()), 1, 10)
+    seen = F.filter("players", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     ent = lambda pid, x, y, vx, vy, off, de, ball, has: F.struct(
         pid.alias("player_id"), ((x - K.RIM[0]) / K.HALF_X).alias("x"), ((y - K.RIM[1]) / K.MID_Y).alias("y"),
         rate(vx).alias("vx"), rate(vy).alias("vy"), off.cast("double").alias("off"), de.cast("double").alias("def"),

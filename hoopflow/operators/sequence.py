@@ -62,7 +62,7 @@ def split_hot(df: DataFrame, s: Seq, hot_rows: int = HOT_ROWS) -> tuple[DataFram
            .where((F.col("_n") > hot_rows) & (F.col("_hi") > F.col("_lo"))))
     nb = F.ceil(F.col("_n") / hot_rows)
     raw = F.floor((pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * nb)
-    out = (base.join(F.broadcast(hot), list(s.by), "left")
+    out = (base.join(hot, list(s.by), "left")
            .withColumn(BLOCKS, F.coalesce(nb, F.lit(1)))
            .withColumn(BLOCK, F.coalesce(F.least(raw, nb - 1), F.lit(0)))
            .drop("_n", "_lo", "_hi", "_pos"))
@@ -149,7 +149,7 @@ def scan(df: DataFrame, s: Seq, *, lag: dict | None = None, lead: dict | None =
             v = F.last(e, True).over(fw)
         carry.append(v.alias(f"_c_{n}"))
     carried = blocks.select(*s.by, BLOCK, *carry)
-    out = local.join(F.broadcast(carried), [*s.by, BLOCK], "left")
+    out = local.join(carried, [*s.by, BLOCK], "left")
     fix: dict[str, Column] = {}
     for n in edge:
         here, there = F.col(n), F.col(f"_c_{n}")
@@ -275,13 +275,14 @@ def carried_state(df: DataFrame, by: Sequence[str], order: Sequence[str], step,
         for pdf in batches:
             if pdf.empty:
                 continue
-            change = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+            here, before = pdf[keys], pdf[keys].shift()
+            change = ((here != before) & ~(here.isna() & before.isna())).any(axis=1).to_numpy()
             change[0] = True
             cuts = [*change.nonzero()[0], len(pdf)]
             parts = []
             for lo, hi in zip(cuts, cuts[1:]):
                 chunk = pdf.iloc[lo:hi]
-                key = tuple(chunk[keys].iloc[0])
+                key = tuple(None if pd.isna(v) else v for v in chunk[keys].iloc[0])
                 if key != current:
                     current, state = key, None
                 state, res = step(state, chunk)

@@ -62,9 +62,9 @@ def _chain(points: Column) -> Column:
 def hull_area(points: Column) -> Column:
     """Area of the convex hull of an array of struct(x, y); 0 below three points."""
     pts = F.array_sort(points)
-    ring = F.concat(F.slice(_chain(pts), 1, 1000000), _chain(F.reverse(pts)))
+    ring = F.concat(_chain(pts), _chain(F.reverse(pts)))
     # Both chains end where the other starts, so the doubled corners add nothing.
-    nxt = F.concat(F.slice(ring, 2, 1000000), F.slice(ring, 1, 1))
+    nxt = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     twice = F.aggregate(F.zip_with(ring, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]),
                         F.lit(0.0), lambda s, v: s + v)
     # Snapped to 1e-6, so that the order of the sum cannot show in later rounding.
@@ -182,24 +182,6 @@ def active_screen(players: Column, handler: Column, within: float = K.SCREEN_DIS
                                               F.lit("approach").alias("phase"), F.lit("heuristic").alias("source")))
 
 
-def with_jersey(states: DataFrame, roster: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Attach jersey numbers by a map literal of the roster column, one row per game side.
-
-    The roster is grouped to a single map only after its size is checked; larger rosters
-    join on the exploded players instead.
-    """
-    small = roster.where("jersey IS NOT NULL").limit(max_rows + 1).count() <= max_rows
-    if small:
-        m = roster.where("jersey IS NOT NULL").groupBy().agg(
-            F.map_from_entries(F.collect_list(F.struct("player_id", "jersey"))).alias("_j"))
-        return (states.join(F.broadcast(m)).withColumn("players", F.transform(
-            "players", lambda p: p.withField("jersey", F.try_element_at(F.col("_j"), p["player_id"])))).drop("_j"))
-    keys = [c for c in states.columns if c != "players"]
-    long = unnest(states, "players", "_p")
-    out = long.join(roster.select(F.col("player_id").alias("_id"), "jersey"), F.col("_p.player_id") == F.col("_id"), "left")
-    return out.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p.*", "jersey"))).alias("players"))
-
-
 # Conformance --------------------------------------------------------------------
 PLAYER_FIELDS = ["player_id", "team_id", "side", "x", "y", "vx", "vy", "speed", "orientation_deg", "has_ball",
                  "dist_to_rim", "angle_to_rim_deg", "zone", "nearest_defender", "defender_pressure", "seconds_since_touch"]
@@ -223,10 +205,10 @@ def missing_fields(df: DataFrame) -> list[str]:
 def violations(n_players, confidence, sides, scheme_col) -> Column:
     """Value part of the contract, as an array of messages; empty means conforming."""
     return F.array_compact(F.array(
-        F.when(n_players == 0, "players list is empty"),
-        F.when(~confidence.between(0.0, 1.0), "confidence out of range"),
-        F.when(F.size(F.array_except(sides, F.array(F.lit("offense"), F.lit("defense")))) > 0, "unexpected side values"),
-        F.when(~scheme_col.isin("man", "zone", "unknown"), "unexpected defense_scheme")))
+        F.when(n_players == 0, "no players in the state"),
+        F.when(~confidence.between(0.0, 1.0), "confidence is not a share"),
+        F.when(F.size(F.array_except(sides, F.array(F.lit("offense"), F.lit("defense")))) > 0, "a side is neither offense nor defense"),
+        F.when(~scheme_col.isin("man", "zone", "unknown"), "unknown kind of scheme")))
 
 
 def check(states: DataFrame) -> DataFrame:

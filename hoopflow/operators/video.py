@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hoopflow import fixed as K
+from hoopflow.session import cut_lineage
 from hoopflow.functions import geometry as G
 from hoopflow.operators import aggregates as AG, joins as J, sequence as Q
 
@@ -423,25 +424,32 @@ def assign_tracks(dets: DataFrame, frames: DataFrame) -> DataFrame:
     return z.select("clip_id", "frame_idx", F.col("z.no").alias("det_no"), "shot", (F.col("shot") * 1_000_000 + F.col("z.ids")).alias("track_id"))
 
 
-def team_clusters(points: DataFrame, embedding: str = "embedding", rounds: int = 4) -> DataFrame:
+def team_clusters(points: DataFrame, embedding: str = "embedding") -> DataFrame:
     """Two appearance clusters per clip and the majority label of each track.
 
     Two-means with per-clip centres as a small table: each round is a map over the points
     and one partially aggregated sum per (clip, cluster, dimension). Starts from the two
-    extreme points of the first dimension, so it is deterministic.
+    extreme points of the first dimension, so it is deterministic, and ends when no
+    centre moves (two-means only ever lowers its error, so it ends).
     """
     d = points.where(F.col(embedding).isNotNull()).select("clip_id", "track_id", "frame_idx", F.col(embedding).alias("_e"))
     first = F.get("_e", F.lit(0))
     cen = d.groupBy("clip_id").agg(F.min_by("_e", F.struct(first, "track_id", "frame_idx")).alias("c0"), F.max_by("_e", F.struct(first, "track_id", "frame_idx")).alias("c1"))
     gap = lambda c: F.aggregate(F.zip_with("_e", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     label = lambda cs: d.join(cs, "clip_id").withColumn("label", F.when(gap("c0") <= gap("c1"), 0).otherwise(1).cast("long"))
-    for _ in range(rounds):
+    cen = cut_lineage(cen)
+    while True:
         m = (label(cen).select("clip_id", "label", "c0", "c1", F.posexplode("_e").alias("_k", "_v"))
              .groupBy("clip_id", "label", "_k").agg(F.avg("_v").alias("_m"), F.first("c0").alias("c0"), F.first("c1").alias("c1")))
         m = m.groupBy("clip_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == k, F.struct("_k", "_m")))), lambda v: v["_m"]).alias(f"n{k}") for k in (0, 1)],
                                      F.first("c0").alias("c0"), F.first("c1").alias("c1"))
         keep = lambda k: F.when(F.size(f"n{k}") > 0, F.col(f"n{k}")).otherwise(F.col(f"c{k}")).alias(f"c{k}")
-        cen = m.select("clip_id", keep(0), keep(1))
+        new = cut_lineage(m.select("clip_id", keep(0), keep(1)))
+        moved = F.exists(F.zip_with(F.concat("x.c0", "x.c1"), F.concat("y.c0", "y.c1"), lambda a, b: F.abs(a - b) > 1e-9), lambda v: v)
+        done = cen.alias("x").join(new.alias("y"), "clip_id").where(moved).isEmpty()
+        cen = new
+        if done:
+            break
     return J.ordered_vote(label(cen), TRACK, "label", F.col("frame_idx"), "team_label").select(*TRACK, "team_label")
 
 
@@ -460,6 +468,12 @@ def spread_top(df: DataFrame, by: list[str], rank: str, t: str, n: int = 4, gap:
     return Q.carried_state(df, by, [rank], step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
 
 
+def probe_frames(dets: DataFrame) -> DataFrame:
+    """Detections of the frames at 30, 50 and 70 % of each clip."""
+    d = dets.join(dets.groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("_len")), "clip_id")
+    return d.where("frame_idx IN (3 * _len DIV 10, _len DIV 2, 7 * _len DIV 10)").drop("_len")
+
+
 def placeholder_clips(dets: DataFrame, conf: float = 0.0) -> DataFrame:
     """A clip whose probe frames never show more than one player is a placeholder card."""
     hit = (F.col("cls") == "player") & (F.col("conf") >= conf)

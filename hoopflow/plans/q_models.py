@@ -36,8 +36,8 @@ def train(src, f, real):
     shots = AG.with_prior(shots, priors, "player_id")
     passing, driving = D.pass_rows(f, real), D.drive_rows(f, real, 1.5, 14.0)
     value = cut_lineage(D.value_rows(f, real))
-    return M.ModelSet(M.fit_binary(shots, K.SHOT_FEATURES, rounds=5), M.fit_binary(passing, K.PASS_FEATURES, rounds=5),
-                      M.fit_binary(driving, K.DRIVE_FEATURES, rounds=5), M.fit_value(value, rounds=5), priors)
+    return M.ModelSet(M.fit_binary(shots, K.SHOT_FEATURES), M.fit_binary(passing, K.PASS_FEATURES),
+                      M.fit_binary(driving, K.DRIVE_FEATURES), M.fit_value(value), priors)
 
 
 @query("ml_run_dataset")
@@ -53,7 +53,7 @@ def _(src):
     f, real = material(src)
     d = cut_lineage(D.pass_rows(f, real))
     d = O.holdout_last(d, "game_id")
-    model = M.fit_binary(d.where("NOT test"), K.PASS_FEATURES, rounds=5)
+    model = M.fit_binary(d.where("NOT test"), K.PASS_FEATURES)
     base = d.where("NOT test").agg(F.avg("label").alias("b"))
     p = M.predict(model, d.where("test"), "p").join(F.broadcast(base))
     return AG.brier(p, "p", "label", base=F.col("b"))
@@ -63,7 +63,7 @@ def _(src):
 def _(src):
     f, real = material(src)
     v = O.holdout_last(cut_lineage(D.value_rows(f, real)), "game_id")
-    model = M.fit_value(v, validation="test", rounds=10)
+    model = M.fit_value(v, validation="test")
     return AG.value_metrics(M.predict(model, v.where("test"), "v"), "v", "y")
 
 
@@ -71,7 +71,7 @@ def _(src):
 def _(src):
     r = AG.with_prior(shot_rows(src), AG.eb_rate(shot_rows(src).withColumn("made", F.col("label")), "player_id", "made"), "player_id")
     r = cut_lineage(r)
-    model = M.fit_binary(r, K.SHOT_FEATURES, rounds=5)
+    model = M.fit_binary(r, K.SHOT_FEATURES)
     return M.predict(model, r, "p_make").select("game_id", "quarter", "game_clock", "player_id", r4("p_make").alias("p_make"))
 
 
@@ -79,7 +79,7 @@ def _(src):
 def _(src):
     f, real = material(src)
     v = cut_lineage(D.value_rows(f, real))
-    out = M.predict(M.fit_value(v, rounds=5), v, "v")
+    out = M.predict(M.fit_value(v), v, "v")
     return AP.value_trajectory(out, ["possession_id"], "frame_idx", "v").select("possession_id", "frame_idx", r4("v").alias("v"), r4("v_delta").alias("v_delta"))
 
 
@@ -94,7 +94,7 @@ def _(src):
 def _(src):
     r = cut_lineage(AG.with_prior(shot_rows(src), AG.eb_rate(shot_rows(src).withColumn("made", F.col("label")), "player_id", "made"), "player_id"))
     path = fresh_path(src.spark, "model")
-    M.fit_binary(r, K.SHOT_FEATURES, rounds=3).write().overwrite().save(path)
+    M.fit_binary(r, K.SHOT_FEATURES).write().overwrite().save(path)
     back = M.PipelineModel.load(path)
     return M.predict(back, r, "p_make").select("game_id", "quarter", "game_clock", "player_id", r4("p_make").alias("p_make"))
 

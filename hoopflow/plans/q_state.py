@@ -194,7 +194,7 @@ def _(src):
                     F.size(ST.of_side("players", "defense")).cast("long").alias("n_defense"), F.col("handler.player_id").alias("handler_id"))
 
 
-@query("chk_conformance", "SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 11 = 0 THEN 'players list is empty' END, CASE WHEN NOT value/100 BETWEEN 0 AND 1 THEN 'confidence out of range' END, CASE WHEN event_type IN ('click', 'error') THEN 'unexpected side values' END, CASE WHEN event_id % 7 = 0 THEN 'unexpected defense_scheme' END], lambda v: v IS NOT NULL), '; ') AS problems FROM events")
+@query("chk_conformance", "SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 11 = 0 THEN 'no players in the state' END, CASE WHEN NOT value/100 BETWEEN 0 AND 1 THEN 'confidence is not a share' END, CASE WHEN event_type IN ('click', 'error') THEN 'a side is neither offense nor defense' END, CASE WHEN event_id % 7 = 0 THEN 'unknown kind of scheme' END], lambda v: v IS NOT NULL), '; ') AS problems FROM events")
 def _(src):
     e = F.col("event_id")
     v = ST.violations(F.when(e % 11 == 0, 0).otherwise(10), F.col("value") / 100,

@@ -97,7 +97,7 @@ def _(src):
 @query("st_score")
 def _(src):
     rows = shot_rows(src)
-    model = M.fit_binary(rows, K.SHOT_FEATURES, rounds=3)
+    model = M.fit_binary(rows, K.SHOT_FEATURES)
     out, ck = fresh_path(src.spark, "scores"), fresh_path(src.spark, "scores-ck")
     s = stream_of(rows.select("game_id", "quarter", "game_clock", "player_id", *K.SHOT_FEATURES), "quarter >= 3", "shots")
     ST.score_batches(s, model, out, ck, M.predict).awaitTermination()

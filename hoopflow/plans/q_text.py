@@ -76,8 +76,8 @@ def _(src):
 _LET = "translate(CAST({} AS VARCHAR), '0123456789', 'abcdefghij')"
 
 
-@query("txt_template", f"""SELECT state, CASE action WHEN 'SHOOT' THEN 'Let ' || me || ' shoot from the ' || CASE WHEN state % 3 = 0 THEN 'above break three left' ELSE 'mid range center' END
-  WHEN 'PASS_TO' THEN me || ' should pass to P' || {_LET.format('action_id')} WHEN 'DRIVE' THEN me || ' should drive left' ELSE me || ' should reset the offense' END AS headline, 0 AS n_violations
+@query("txt_template", f"""SELECT state, CASE action WHEN 'SHOOT' THEN me || ': take the shot, ' || CASE WHEN state % 3 = 0 THEN 'above break three left' ELSE 'mid range center' END
+  WHEN 'PASS_TO' THEN me || ': ball to P' || {_LET.format('action_id')} WHEN 'DRIVE' THEN me || ': attack left' ELSE me || ': pull it out and start over' END AS headline, 0 AS n_violations
   FROM (SELECT *, 'H' || {_LET.format('state % 10')} AS me FROM o_rank WHERE rnk = 1)""")
 def _(src):
     t = RA.audit(RA.template(briefs(src)))
@@ -93,8 +93,8 @@ def _(src):
     return RA.validated(b, g, ["state"]).select("state", "source")
 
 
-@query("txt_context_prompt", """SELECT state, string_agg('- id=' || action_id || ' · ' || CASE action WHEN 'PASS_TO' THEN 'PASS' WHEN 'SCREEN_WITH' THEN 'SCREEN' WHEN 'DRIVE' THEN 'DRIVE left' ELSE action END || ' (EPV ' || printf('%.2f', floor(q*10)/10) || ')'
-  || CASE WHEN rnk = 1 THEN ' (currently shown)' ELSE '' END, chr(10) ORDER BY rnk) AS prompt FROM o_rank GROUP BY state""")
+@query("txt_context_prompt", """SELECT state, string_agg(action_id || ': ' || CASE action WHEN 'PASS_TO' THEN 'PASS' WHEN 'SCREEN_WITH' THEN 'SCREEN' WHEN 'DRIVE' THEN 'DRIVE left' ELSE action END || ' (EPV ' || printf('%.2f', floor(q*10)/10) || ')'
+  || CASE WHEN rnk = 1 THEN ' [on screen]' ELSE '' END, chr(10) ORDER BY rnk) AS prompt FROM o_rank GROUP BY state""")
 def _(src):
     lab = S.action_label("action", "direction", F.floor(F.col("q") * 10) / 10)
     return RA.prompt_lines(ranked(src), ["state"], lab)

@@ -44,10 +44,9 @@ def _(src):
     return O.clip_events(src("events"), F.col("event_id") % 2, "event_type", ["purchase", "view", "error"]).select("event_id", "event_type")
 
 
-@query("flt_placeholder_clip", "SELECT clip_id, max(n) <= 1 AS placeholder FROM (SELECT clip_id, frame_idx, count(*) FILTER (WHERE cls = 'player' AND conf >= 0.97) AS n FROM fx_detections WHERE frame_idx IN (7, 12, 17) GROUP BY ALL) GROUP BY clip_id")
+@query("flt_placeholder_clip", "SELECT clip_id, max(n) <= 1 AS placeholder FROM (SELECT clip_id, frame_idx, count(*) FILTER (WHERE cls = 'player' AND conf >= 0.97) AS n FROM fx_detections JOIN (SELECT clip_id, max(frame_idx) + 1 AS len FROM fx_detections GROUP BY clip_id) USING (clip_id) WHERE frame_idx IN (3 * len // 10, len // 2, 7 * len // 10) GROUP BY ALL) GROUP BY clip_id")
 def _(src):
-    d = src("fx_detections").where(F.col("frame_idx").isin(7, 12, 17))
-    return V.placeholder_clips(d, 0.97)
+    return V.placeholder_clips(V.probe_frames(src("fx_detections")), 0.97)
 
 
 @query("flt_showable", "SELECT event_id, value/100 >= 0.6 AND event_id % 12 >= 8 AND event_id % 5 > 0 AS showable FROM events")

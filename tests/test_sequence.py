@@ -79,3 +79,15 @@ def test_carried_state_spans_batches(spark):
         assert out.where("n <> t div 3 + 1").count() == 0 and out.count() == 100
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_carried_state_keeps_a_null_group_together(spark):
+    from hoopflow.operators import sequence as Q
+    d = spark.createDataFrame([(None, 1), (None, 2), (None, 3), (5, 1), (5, 2)], "k long, t long")
+
+    def step(state, batch):
+        n = (state or 0) + len(batch)
+        return n, batch.assign(n=range(n - len(batch) + 1, n + 1))
+
+    got = Q.carried_state(d, ["k"], ["t"], step, "k long, t long, n long").collect()
+    assert all(r.n == r.t for r in got)
