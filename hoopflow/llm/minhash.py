@@ -216,7 +216,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     left = cut_lineage(placed.join(mixed, "key", "left_semi").select("rep", "component").distinct())
     rare = cut_lineage(_rare_shingles(sets, left, percent))
     x, y = rare.alias("x"), rare.alias("y")
-    rest = (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
+    # A linked pair's first common shingle leaves enough of both sets behind it for the overlap that its sizes need.
+    room = (1 + F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r"))) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    rest = (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & room)
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     more = confirmed(rest)
     if not more.isEmpty():
@@ -238,12 +240,13 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, component, s): the rarest shingles of each class, enough of them that two similar sets share one.
+    """(rep, n, s, r, component): the rarest shingles of each class, enough of them that two similar sets share one.
 
     Of n shingles in one common order, sets with a similarity of t share one of the first n - ceil(t n) + 1.
+    r is the place of a shingle in that order, from 1.
     """
     each = _only(sets, left.select(F.col("rep").alias("_id")).distinct()).mapInArrow(_explode_sets, "rep long, n long, s long")
     counts = each.groupBy("s").agg(F.count("*").alias("c"))
     rank = F.row_number().over(Window.partitionBy("rep", "n").orderBy("c", "s"))
-    first = each.join(counts, "s").withColumn("r", rank).where(f"r <= n - ceil(n * {percent} / 100) + 1 and c > 1").select("rep", "n", "s")
+    first = each.join(counts, "s").withColumn("r", rank).where(f"r <= n - ceil(n * {percent} / 100) + 1 and c > 1").select("rep", "n", "s", "r")
     return first.join(left, "rep")
