@@ -10,8 +10,8 @@ what is far below the threshold goes, the rest is confirmed on the full sets.
 32 bands of 4 registers miss a pair of similarity 0.8 with a probability below 5e-8.
 
 No group is expanded into pairs. Equal sets are one class first. Each band bucket compares
-its members with one of its classes; confirmed links make components, and further
-steps repeat this, with other classes, for members of other components. Buckets that still
+its members with one of its classes, which then leaves it; confirmed links make components, and
+further steps repeat this in buckets of two components or more. Buckets that still
 hold two components go through an exact prefix join: only classes of different
 components that share one of their rarest shingles are compared.
 """
@@ -34,7 +34,7 @@ BASE, BANDS, ROWS = 1.05, 32, 4
 REGISTERS = BANDS * ROWS
 #: An estimate this far below the threshold excludes a pair (over 5 standard errors of 128 registers).
 MARGIN = 0.2
-STEPS = 2
+STEPS = 3
 #: Id lists up to this long (16 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _R = np.random.default_rng(1)
@@ -203,11 +203,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     for step in range(STEPS):
         placed = near.withColumn("component", F.col("rep")) if comp is None else (
             near.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-        # The first class of a bucket, in another order at each step.
+        # Any class may lead. It leaves the bucket after its comparison; a bucket of one component has no more to find.
         lead = (placed.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(step))).alias("lead"),
                                           F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "lead"))
-        pairs = (placed.join(lead, "key").where("component <> lead.component")
+        led = cut_lineage(placed.join(lead, "key").where("rep <> lead.rep").select("key", "rep", "component", "lead"))
+        pairs = (led.where("component <> lead.component")
                  .select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct())
+        near = led.select("key", "rep")
         links = cut_lineage(links.union(confirmed(pairs)))
         comp = components(links)
 
