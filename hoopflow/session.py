@@ -21,14 +21,18 @@ def local_session(cores: str | int = 8, app: str = "hoopflow") -> SparkSession:
             .getOrCreate())
 
 
+#: Folders of local sessions that name none; the setting itself can't be changed once a session runs.
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; local sessions may go without and get a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _LOCAL[spark.sparkContext.applicationId] = path
     return path
 
 
