@@ -18,6 +18,7 @@ components that share one of their rarest shingles are compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from hoopflow.llm.graph import components
 from hoopflow.llm.repeats import LAST
 from hoopflow.llm.text import gram_hashes, mix, row_slices, utf8, word_hashes
-from hoopflow.session import cut_lineage
+from hoopflow.session import checkpoint_root, cut_lineage
 
 BASE, BANDS, ROWS = 1.05, 32, 4
 REGISTERS = BANDS * ROWS
@@ -148,7 +149,31 @@ def _full_sets(n: int):
             data, offsets = utf8(batch.column("_text"))
             for i, j in row_slices(offsets):
                 values, off = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], n)
-                yield pa.record_batch({"_id": batch.column("_id").slice(i, j - i), "s": pa.array([values[off[r]:off[r + 1]].tobytes() for r in range(j - i)], pa.binary())})
+                yield pa.record_batch({"_id": batch.column("_id").slice(i, j - i), "s": pa.array([values[off[r]:off[r + 1]].tobytes() for r in range(j - i)], pa.binary()),
+                                       "f": pa.array([np.sort(values[off[r]:off[r + 1]].astype(np.uint16)).tobytes() for r in range(j - i)], pa.binary())})
+    return run
+
+
+def common_at_most(p: np.ndarray, q: np.ndarray, p_rows: np.ndarray, q_rows: np.ndarray, rows: int) -> np.ndarray:
+    """For each row, the size of the multiset intersection of its 16-bit values in p and q.
+
+    Every common shingle has one value in both, so this is no less than the sets have in common.
+    """
+    (x, m), (y, n) = (np.unique((r.astype(np.int64) << 16) | v, return_counts=True) for v, r in ((p, p_rows), (q, q_rows)))
+    keys, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return np.bincount(keys >> 16, np.minimum(m[i], n[j]), rows).astype(np.int64)
+
+
+def _possible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([[len(x) // 2, len(y) // 2] for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())], np.int64).reshape(-1, 2)
+            for i, j in row_slices(np.append(0, np.cumsum(sizes.sum(1)))):
+                b, n, rows = batch.slice(i, j - i), sizes[i:j], np.arange(j - i)
+                p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16) for c in ("fa", "fb"))
+                both = common_at_most(p, q, np.repeat(rows, n[:, 0]), np.repeat(rows, n[:, 1]), j - i)
+                keep = pa.array(100 * both >= percent * (n.sum(1) - both), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
     return run
 
 
@@ -165,6 +190,13 @@ def _confirm(percent: int):
     return run
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written compressed to the shared checkpoint folder and read again: for wide rows, of which later steps need some columns."""
+    path = f"{checkpoint_root(df.sparkSession)}/near-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents by chains of links of Jaccard similarity ``percent`` / 100 or more.
 
@@ -177,9 +209,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     empty table gives no rows. Other columns are ignored.
     """
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sketch = cut_lineage(plain.mapInArrow(_sketch(words), "_id long, n long, hi long, lo long, k binary"))
+    sketch = stored(plain.mapInArrow(_sketch(words), "_id long, n long, hi long, lo long, k binary"))
     filled = sketch.where("n > 0")
-    classes = cut_lineage(filled.groupBy("n", "hi", "lo").agg(F.min("_id").alias("rep"), F.min_by("k", "_id").alias("k")))
+    classes = stored(filled.groupBy("n", "hi", "lo").agg(F.min("_id").alias("rep"), F.min_by("k", "_id").alias("k")))
     tied = cut_lineage(filled.select("_id", "n", "hi", "lo").join(classes.select("n", "hi", "lo", "rep"), ["n", "hi", "lo"]).select("_id", "rep"))
     # Rows of one id may have different sets: the id ties their classes.
     many = tied.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("_id", "a")
@@ -188,16 +220,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = members.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
     near = cut_lineage(members.join(shared, "key"))
     wanted = cut_lineage(near.select(F.col("rep").alias("_id")).distinct())
-    sets = cut_lineage(_only(plain, wanted).mapInArrow(_full_sets(words), "_id long, s binary"))
+    sets = stored(_only(plain, wanted).mapInArrow(_full_sets(words), "_id long, s binary, f binary"))
     regs = classes.select("rep", "n", "k").join(wanted.toDF("rep"), "rep", "left_semi")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that the likelihood estimate doesn't exclude and the full sets confirm."""
+        """Pairs (a, b) that neither the likelihood estimate nor the 16-bit values exclude and the full sets confirm."""
         a, b = regs.toDF("a", "na", "ka"), regs.toDF("b", "nb", "kb")
         sized = pairs.join(a, "a").join(b, "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
         fit = cut_lineage(sized.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_estimates, "a long, b long, e double").where(F.col("e") >= percent / 100 - MARGIN).select("a", "b"))
-        sa, sb = (_only(sets, fit.select(F.col(c).alias("_id")).distinct()).toDF(c, f"s{c}") for c in ("a", "b"))
-        return cut_lineage(fit.join(sa, "a").join(sb, "b").mapInArrow(_confirm(percent), "a long, b long"))
+        for column, check in (("f", _possible), ("s", _confirm)):
+            sa, sb = (_only(sets.select("_id", column), fit.select(F.col(c).alias("_id")).distinct()).toDF(c, f"{column}{c}") for c in ("a", "b"))
+            fit = cut_lineage(fit.join(sa, "a").join(sb, "b").mapInArrow(check(percent), "a long, b long"))
+        return fit
 
     links, comp = own, None
     for step in range(STEPS):
@@ -247,8 +281,10 @@ def _rare_shingles(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     Of n shingles in one common order, sets with a similarity of t share one of the first n - ceil(t n) + 1.
     r is the place of a shingle in that order, from 1.
     """
-    each = _only(sets, left.select(F.col("rep").alias("_id")).distinct()).mapInArrow(_explode_sets, "rep long, n long, s long")
-    counts = each.groupBy("s").agg(F.count("*").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("rep", "n").orderBy("c", "s"))
-    first = each.join(counts, "s").withColumn("r", rank).where(f"r <= n - ceil(n * {percent} / 100) + 1 and c > 1").select("rep", "n", "s", "r")
+    each = _only(sets.select("_id", "s"), left.select(F.col("rep").alias("_id")).distinct()).mapInArrow(_explode_sets, "rep long, n long, s long")
+    counts = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    # Shingles of one class alone come first, so their number is n less the others.
+    own = Window.partitionBy("rep", "n")
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "s"))
+    first = each.join(counts, "s").withColumn("r", rank).where(f"r <= n - ceil(n * {percent} / 100) + 1").select("rep", "n", "s", "r")
     return first.join(left, "rep")
