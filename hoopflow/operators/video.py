@@ -199,23 +199,35 @@ def jersey_sets(votes: DataFrame) -> DataFrame:
     return votes.where("jersey IS NOT NULL").groupBy("clip_id", "team_label").agg(F.array_sort(F.collect_set("jersey")).alias("jerseys"))
 
 
+def jersey_hits(sets: DataFrame, roster: DataFrame) -> DataFrame:
+    """How many jerseys of a cluster each team of the roster has; teams without one are absent."""
+    known = roster.where("jersey IS NOT NULL").select("team_id", "jersey").distinct()
+    seen = sets.select("clip_id", "team_label", F.explode("jerseys").alias("jersey"))
+    return seen.join(known, "jersey").groupBy("clip_id", "team_label", "team_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def cluster_teams(sets: DataFrame, roster: DataFrame) -> DataFrame:
-    """Map the two clusters of a clip to two teams by jersey overlap; a tie keeps the order.
+    """Map the two clusters of a clip to two different teams by jersey overlap; a tie goes to the smaller ids.
 
-    Team sets come from one roster, so the one-row side is bounded by it.
+    Any number of teams. The best pair is among the two best teams of each cluster, where the
+    two smallest ids stand for all teams without an overlap. With fewer than two teams both stay NULL.
     """
-    r = roster.where("jersey IS NOT NULL").groupBy("team_id").agg(F.collect_set("jersey").alias("j"))
-    teams = r.groupBy().agg(F.array_sort(F.collect_list(F.struct("team_id", "j"))).alias("t"))
-    none = F.array().cast("array<bigint>")
-    pick = lambda k: F.coalesce(F.first(F.when(F.col("team_label") == k, F.col("jerseys")), True), none)
-    c = sets.groupBy("clip_id").agg(pick(0).alias("j0"), pick(1).alias("j1")).join(F.broadcast(teams))
-    t = lambda i: F.get("t", F.lit(i))
-    hit = lambda j, i: F.size(F.array_intersect(F.col(j), t(i)["j"]))
-    straight, crossed = hit("j0", 0) + hit("j1", 1), hit("j0", 1) + hit("j1", 0)
-    pair = lambda a, b: F.array(F.struct(F.lit(0).cast("long").alias("team_label"), t(a)["team_id"].alias("team_id")),
-                                F.struct(F.lit(1).cast("long").alias("team_label"), t(b)["team_id"].alias("team_id")))
-    m = F.when(straight >= crossed, pair(0, 1)).otherwise(pair(1, 0))
-    return c.select("clip_id", F.explode(m).alias("m")).select("clip_id", "m.*")
+    pair = roster.where("jersey IS NOT NULL").select("team_id").distinct().orderBy("team_id").limit(2)
+    smallest = pair.groupBy().agg(F.collect_list("team_id").alias("_ids"))
+    labels = F.explode(F.array(*[F.lit(k).cast("long") for k in (0, 1)]))
+    none = (sets.select("clip_id").distinct().withColumn("team_label", labels).join(F.broadcast(smallest))
+            .select("clip_id", "team_label", F.explode("_ids").alias("team_id"), F.lit(0).cast("long").alias("hits")))
+    hits = (jersey_hits(sets, roster).where("team_label IN (0, 1)").unionByName(none)
+            .groupBy("clip_id", "team_label", "team_id").agg(F.sum("hits").alias("hits")))
+    w = Window.partitionBy("clip_id", "team_label").orderBy(F.col("hits").desc(), "team_id")
+    best = hits.withColumn("_rk", F.row_number().over(w)).where("_rk <= 2")
+    of = lambda k: F.collect_list(F.when(F.col("team_label") == k, F.struct("hits", "team_id"))).alias(f"t{k}")
+    c = sets.select("clip_id").distinct().join(best.groupBy("clip_id").agg(of(0), of(1)), "clip_id", "left")
+    pairs = F.flatten(F.transform("t0", lambda a: F.transform("t1", lambda b: F.struct(
+        (-a["hits"] - b["hits"]).alias("n"), a["team_id"].alias("a"), b["team_id"].alias("b")))))
+    c = c.select("clip_id", F.get(F.array_sort(F.filter(pairs, lambda p: p["a"] != p["b"])), F.lit(0)).alias("p"))
+    return (c.withColumn("team_label", labels)
+            .select("clip_id", "team_label", F.when(F.col("team_label") == 0, F.col("p.a")).otherwise(F.col("p.b")).alias("team_id")))
 
 
 def identities(points: DataFrame, roster: DataFrame) -> DataFrame:
@@ -251,8 +263,8 @@ def on_floor_tracks(points: DataFrame, frames: DataFrame) -> DataFrame:
 def roster_override(players: DataFrame, link: DataFrame) -> DataFrame:
     """Relabel clusters of a frame with roster teams by the jerseys read in them.
 
-    ``players``: clip_id, frame_idx, track_id, team_id, jersey; ``link``: jersey, team. A
-    cluster without evidence takes the first team no other cluster took.
+    ``players``: clip_id, frame_idx, track_id, team_id, jersey; ``link``: jersey, team.
+    Clusters without evidence take, one after the other, the teams no cluster took.
     """
     fr = ["clip_id", "frame_idx"]
     j = players.join(link.select("jersey", F.col("team").alias("_rt")), "jersey", "left")
@@ -261,7 +273,10 @@ def roster_override(players: DataFrame, link: DataFrame) -> DataFrame:
     w = Window.partitionBy(*fr)
     teams = link.groupBy().agg(F.array_sort(F.collect_set("team")).alias("_teams"))
     c = clusters.withColumn("_used", F.collect_set("_won").over(w)).join(F.broadcast(teams))
-    left = F.get(F.array_except("_teams", "_used"), F.lit(0))
+    # The n-th cluster without evidence takes the n-th team that is left.
+    nth = F.count(F.when(F.col("_won").isNull(), 1)).over(w.orderBy("team_id"))
+    c = c.withColumn("_nth", nth.cast("int"))
+    left = F.get(F.array_except("_teams", "_used"), F.col("_nth") - 1)
     c = c.select(*fr, "team_id", F.when(F.size("_used") == 0, F.col("team_id").cast("string"))
                  .otherwise(F.coalesce("_won", left, F.get("_teams", F.lit(0)))).alias("team"))
     return players.join(c, [*fr, "team_id"])

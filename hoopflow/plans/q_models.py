@@ -35,7 +35,7 @@ def train(src, f, real):
     priors = AG.eb_rate(shots.withColumn("made", F.col("label")), "player_id", "made")
     shots = AG.with_prior(shots, priors, "player_id")
     passing, driving = D.pass_rows(f, real), D.drive_rows(f, real, 1.5, 14.0)
-    value = cut_lineage(D.value_rows(f, real))
+    value = cut_lineage(D.value_rows(f, real, every=15))
     return M.ModelSet(M.fit_binary(shots, K.SHOT_FEATURES), M.fit_binary(passing, K.PASS_FEATURES),
                       M.fit_binary(driving, K.DRIVE_FEATURES), M.fit_value(value), priors)
 
@@ -62,7 +62,7 @@ def _(src):
 @query("ml_fit_value")
 def _(src):
     f, real = material(src)
-    v = O.holdout_last(cut_lineage(D.value_rows(f, real)), "game_id")
+    v = O.holdout_last(cut_lineage(D.value_rows(f, real, every=15)), "game_id")
     model = M.fit_value(v, validation="test")
     return AG.value_metrics(M.predict(model, v.where("test"), "v"), "v", "y")
 
@@ -79,7 +79,8 @@ def _(src):
 def _(src):
     f, real = material(src)
     v = cut_lineage(D.value_rows(f, real))
-    out = M.predict(M.fit_value(v), v, "v")
+    # Neighbouring states hardly differ: every 15th trains, every state is scored.
+    out = M.predict(M.fit_value(v.where("frame_idx % 15 = 0")), v, "v")
     return AP.value_trajectory(out, ["possession_id"], "frame_idx", "v").select("possession_id", "frame_idx", r4("v").alias("v"), r4("v_delta").alias("v_delta"))
 
 
@@ -103,8 +104,8 @@ KEY = ["possession_id", "frame_idx"]
 
 
 def scored_states(src, f, real):
-    """Candidates of the sampled states of every matched possession, scored by fitted models."""
-    picked = f.where("frame_idx % 15 = 0").join(real.select(*D.POSS), D.POSS, "left_semi")
+    """Candidates of every state of every matched possession, scored by fitted models."""
+    picked = f.join(real.select(*D.POSS), D.POSS, "left_semi")
     s = cut_lineage(ST.build(picked))
     return s, cut_lineage(M.score(s, train(src, f, real), KEY))
 

@@ -1,4 +1,4 @@
-"""Streaming queries: views are written in two time-ordered parts and read as a stream."""
+"""Streaming queries: views are written in two time-ordered appends; the stream is drained after each."""
 
 from __future__ import annotations
 
@@ -13,20 +13,21 @@ from hoopflow.plans.staging import fresh_path
 from hoopflow.streaming import operators as ST
 
 
-def stream_of(df, cut: str, name: str, per_trigger: int = 100):
-    """Two appends, earlier rows first, so that state crosses micro-batches."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    d = df.coalesce(1)
-    d.where(f"NOT ({cut})").write.parquet(path)
-    d.where(cut).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def appended(df, cut: str, name: str):
+    """Write the rows before the cut, then those after it; after each write, a stream over all files so far."""
+    path = fresh_path(df.sparkSession, name)
+    for part in (f"NOT ({cut})", cut):
+        df.where(part).write.mode("append").parquet(path)
+        yield df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-def drained(stream, name: str):
-    spark = stream.sparkSession
+def drained(df, cut: str, name: str, operator):
+    """Rows of a streaming operator that is started again after each append, so that state crosses restarts and micro-batches."""
+    spark = df.sparkSession
     out, ck = fresh_path(spark, name + "-out"), fresh_path(spark, name + "-ck")
-    ST.run_to_table(stream, out, ck)
+    for rows in appended(df, cut, name):
+        stream = operator(rows)
+        ST.run_to_table(stream, out, ck)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -38,15 +39,15 @@ def series(src):
 @query("st_moments_dedup", "SELECT DISTINCT game_id, quarter, game_clock, player_id FROM fx_tracking_b")
 def _(src):
     t = src("fx_tracking_b").select("game_id", "event_id", "quarter", "game_clock", "player_id", F.timestamp_millis("unix_ms").alias("ts"))
-    s = stream_of(t, "event_id % 40 >= 20 AND event_id >= 40", "moments")
-    return drained(ST.dedup(s, ["game_id", "quarter", "game_clock", "player_id"], "ts", "4 hours"), "dedup").select("game_id", "quarter", "game_clock", "player_id")
+    once = lambda s: ST.dedup(s, ["game_id", "quarter", "game_clock", "player_id"], "ts", "4 hours")
+    return drained(t, "event_id % 40 >= 20 AND event_id >= 40", "moments", once).select("game_id", "quarter", "game_clock", "player_id")
 
 
 @query("st_ffill_diff", f"""SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS filled,
   {R('v - lag(v) OVER (PARTITION BY user_id ORDER BY us, event_id)')} AS diff FROM fx_series""")
 def _(src):
     d, cut = series(src)
-    return drained(ST.ffill_diff(stream_of(d, cut, "series"), "user_id", "us", "event_id", "v"), "ffill").select("event_id", "filled", r4("diff").alias("diff"))
+    return drained(d, cut, "ffill", lambda s: ST.ffill_diff(s, "user_id", "us", "event_id", "v")).select("event_id", "filled", r4("diff").alias("diff"))
 
 
 cte("o_hold7", "SELECT *, count(*) OVER (PARTITION BY user_id, run) AS len, max(run) OVER (PARTITION BY user_id) AS last_run FROM o_r7t")
@@ -57,20 +58,20 @@ cte("o_r7t", """SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY us, event
 @query("st_min_hold", "SELECT event_id, CASE WHEN len >= 3 THEN event_type END AS held FROM o_hold7 WHERE len >= 3 OR run < last_run")
 def _(src):
     d, cut = series(src)
-    return drained(ST.min_hold(stream_of(d, cut, "series"), "user_id", "us", "event_id", "event_type", 3), "hold").select("event_id", "held")
+    return drained(d, cut, "hold", lambda s: ST.min_hold(s, "user_id", "us", "event_id", "event_type", 3)).select("event_id", "held")
 
 
 @query("st_clock_validate", "SELECT clip_id, frame_idx, acc AS clock FROM o_cacc")
 def _(src):
     f = src("fx_video_frames").select("clip_id", "frame_idx", "clock_read")
-    return drained(ST.clock_validate(stream_of(f, "frame_idx >= 12", "clock"), "clip_id", "frame_idx", "clock_read"), "clock")
+    return drained(f, "frame_idx >= 12", "clock", lambda s: ST.clock_validate(s, "clip_id", "frame_idx", "clock_read"))
 
 
 @query("st_gate_track", f"SELECT clip_id, frame_idx, {R('x')} AS ball_x, {R('y')} AS ball_y FROM o_bfold WHERE i > 0")
 def _(src):
     b = src("fx_detections").where("cls = 'ball'").selectExpr("clip_id", "frame_idx", "(x1 + x2)/2 AS bx", "(y1 + y2)/2 AS b_y")
     f = src("fx_video_frames").select("clip_id", "frame_idx").join(b, ["clip_id", "frame_idx"], "left")
-    return drained(ST.gate_track(stream_of(f, "frame_idx >= 12", "ball"), "clip_id", "frame_idx", "bx", "b_y"), "ball").select("clip_id", "frame_idx", r4("ball_x").alias("ball_x"), r4("ball_y").alias("ball_y"))
+    return drained(f, "frame_idx >= 12", "ball", lambda s: ST.gate_track(s, "clip_id", "frame_idx", "bx", "b_y")).select("clip_id", "frame_idx", r4("ball_x").alias("ball_x"), r4("ball_y").alias("ball_y"))
 
 
 cte("o_sess", """SELECT user_id, sid, min(us) AS start_us, max(us) + 7200000000 AS end_us, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us, event_id) AS sid FROM
@@ -80,7 +81,7 @@ cte("o_sess", """SELECT user_id, sid, min(us) AS start_us, max(us) + 7200000000
 @query("st_possession_sessions", "SELECT user_id, start_us, end_us, n FROM o_sess WHERE end_us < (SELECT max(us) FROM fx_series) - 1000")
 def _(src):
     d, cut = series(src)
-    s = drained(ST.sessions(stream_of(d, cut, "series"), ["user_id"], "ts", "2 hours", "0 seconds"), "sess")
+    s = drained(d, cut, "sess", lambda s: ST.sessions(s, ["user_id"], "ts", "2 hours", "0 seconds"))
     us = lambda c: F.unix_micros(c)
     return s.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "n")
 
@@ -89,9 +90,8 @@ def _(src):
   FROM (SELECT *, CAST(floor(us/21600000000e0) AS BIGINT) AS w FROM fx_series) WHERE (w + 1)*21600000000 < (SELECT max(us) FROM fx_series) - 1000 GROUP BY w""")
 def _(src):
     d, cut = series(src)
-    q = ST.quality_windows(stream_of(d, cut, "series"), "ts", "6 hours", "0 seconds",
-                           {"n": F.count(F.lit(1)), "mean_v": F.avg("v"), "view_rate": F.avg((F.col("event_type") == "view").cast("double"))})
-    return drained(q, "win").select(F.unix_micros("start").alias("start_us"), "n", r4("mean_v").alias("mean_v"), r4("view_rate").alias("view_rate"))
+    aggs = {"n": F.count(F.lit(1)), "mean_v": F.avg("v"), "view_rate": F.avg((F.col("event_type") == "view").cast("double"))}
+    return drained(d, cut, "win", lambda s: ST.quality_windows(s, "ts", "6 hours", "0 seconds", aggs)).select(F.unix_micros("start").alias("start_us"), "n", r4("mean_v").alias("mean_v"), r4("view_rate").alias("view_rate"))
 
 
 @query("st_score")
@@ -99,6 +99,6 @@ def _(src):
     rows = shot_rows(src)
     model = M.fit_binary(rows, K.SHOT_FEATURES)
     out, ck = fresh_path(src.spark, "scores"), fresh_path(src.spark, "scores-ck")
-    s = stream_of(rows.select("game_id", "quarter", "game_clock", "player_id", *K.SHOT_FEATURES), "quarter >= 3", "shots")
-    ST.score_batches(s, model, out, ck, M.predict).awaitTermination()
+    for s in appended(rows.select("game_id", "quarter", "game_clock", "player_id", *K.SHOT_FEATURES), "quarter >= 3", "shots"):
+        ST.score_batches(s, model, out, ck, M.predict).awaitTermination()
     return src.spark.read.parquet(out).select("game_id", "quarter", "game_clock", "player_id", r4("p").alias("p"))

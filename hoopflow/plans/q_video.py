@@ -92,10 +92,7 @@ def _(src):
 @query("set_intersect_jerseys", "SELECT clip_id, team_label, team_id, hits FROM o_hits")
 def _(src):
     s = V.jersey_sets(V.jersey_votes(src("fx_track_points")))
-    teams = src("fx_roster").where("jersey IS NOT NULL").groupBy("team_id").agg(F.collect_set("jersey").alias("tj"))
-    pair = s.join(F.broadcast(teams.groupBy().agg(F.collect_list(F.struct("team_id", "tj")).alias("ts"))))
-    d = pair.select("clip_id", "team_label", "jerseys", F.explode("ts").alias("t"))
-    return d.select("clip_id", "team_label", "t.team_id", F.size(F.array_intersect("jerseys", "t.tj")).cast("long").alias("hits")).where("hits > 0")
+    return V.jersey_hits(s, src("fx_roster"))
 
 
 @query("agg_identity_accuracy", f"SELECT count(*) AS n, {R('avg(CAST(player_id = truth AS DOUBLE))')} AS accuracy FROM o_ident JOIN (SELECT DISTINCT {TRK}, true_player_id AS truth FROM fx_track_points) USING ({TRK}) WHERE player_id IS NOT NULL")
@@ -113,9 +110,9 @@ def _(src):
     return d.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), r4(F.greatest(hit, 1 - hit)).alias("accuracy"))
 
 
-@query("agg_track_purity", f"SELECT {R('avg(m/CAST(n AS DOUBLE))')} AS purity, count(*) AS tracks FROM (SELECT {TRK}, max(c) AS m, sum(c) AS n FROM (SELECT {TRK}, coalesce(jersey_read, -1) AS j, count(*) AS c FROM fx_track_points GROUP BY ALL) GROUP BY {TRK})")
+@query("agg_track_purity", f"SELECT {R('avg(m/CAST(n AS DOUBLE))')} AS purity, count(*) AS tracks FROM (SELECT {TRK}, max(c) AS m, sum(c) AS n FROM (SELECT {TRK}, coalesce(true_player_id, -1) AS j, count(*) AS c FROM fx_track_points GROUP BY ALL) GROUP BY {TRK})")
 def _(src):
-    c = src("fx_track_points").groupBy(*V.TRACK, F.coalesce("jersey_read", F.lit(-1)).alias("j")).agg(F.count(F.lit(1)).alias("c"))
+    c = src("fx_track_points").groupBy(*V.TRACK, F.coalesce("true_player_id", F.lit(-1)).alias("j")).agg(F.count(F.lit(1)).alias("c"))
     t = c.groupBy(*V.TRACK).agg((F.max("c") / F.sum("c")).alias("p"))
     return t.agg(r4(F.avg("p")).alias("purity"), F.count(F.lit(1)).alias("tracks"))
 

@@ -169,3 +169,20 @@ def test_conformance(spark):
     s = ST.build(P.possession_frames(Source(spark, SF)("fx_tracking_c")))
     assert ST.missing_fields(s) == []
     assert ST.check(s).where("size(violations) > 0").count() == 0
+
+
+def test_clusters_map_to_any_two_of_many_teams(spark):
+    roster = spark.createDataFrame([(t, 10 * t + k, 100 * t + k) for t in (1, 2, 3, 4) for k in range(4)], "team_id long, jersey long, player_id long")
+    sets = spark.createDataFrame([("a", 0, [40, 41, 42]), ("a", 1, [30, 31, 10]), ("b", 0, [20, 21]), ("b", 1, [20, 21, 22]), ("c", 1, [30]), ("d", 0, [99]), ("d", 1, [98])],
+                                 "clip_id string, team_label long, jerseys array<long>")
+    got = {(r.clip_id, r.team_label): r.team_id for r in V.cluster_teams(sets, roster).collect()}
+    assert got == {("a", 0): 4, ("a", 1): 3, ("b", 0): 1, ("b", 1): 2, ("c", 0): 1, ("c", 1): 3, ("d", 0): 1, ("d", 1): 2}
+    one = V.cluster_teams(sets, roster.where("team_id = 1")).select("team_id").distinct().collect()
+    assert [r.team_id for r in one] == [None]
+
+
+def test_clusters_without_evidence_take_different_teams(spark):
+    link = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "jersey long, team string")
+    p = spark.createDataFrame([("x", 1, 1, 0, 2), ("x", 1, 2, 1, None), ("x", 1, 3, 2, None), ("y", 1, 1, 0, None)], "clip_id string, frame_idx long, track_id long, team_id long, jersey long")
+    got = {(r.clip_id, r.track_id): r.team for r in V.roster_override(p, link).collect()}
+    assert got == {("x", 1): "B", ("x", 2): "A", ("x", 3): "C", ("y", 1): "0"}
