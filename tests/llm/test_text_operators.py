@@ -142,6 +142,14 @@ def test_registers_are_mergeable_and_estimate():
     assert abs(minhash.estimate(ka, kb, np.array([2000.0]), np.array([2500.0]))[0] - 0.5) < 0.15
 
 
+def test_common_values_are_counted_as_multisets():
+    rng = np.random.default_rng(5)
+    p, q = [[rng.integers(0, 40, n).astype(np.uint16) for n in sizes] for sizes in ((0, 5, 30, 200), (7, 0, 30, 150))]
+    rows = lambda x: np.repeat(np.arange(4), [len(v) for v in x])
+    got = minhash.common_at_most(np.concatenate(p), np.concatenate(q), rows(p), rows(q), 4)
+    assert got.tolist() == [sum((Counter(x.tolist()) & Counter(y.tolist())).values()) for x, y in zip(p, q)]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5)], "a long, b long")
     assert {r.id: r.component for r in graph.components(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7}
