@@ -323,6 +323,22 @@ def test_pipeline_matches_its_parts(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == want
 
 
+def test_stages_take_each_row_as_a_document(spark):
+    """Null and repeated ids neither lose documents nor tie unrelated ones."""
+    import corpus_pipeline
+    ship(spark)
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy(F.length("text").desc()).first().text
+    rows = [(10, text("a")), (None, text("a") + " end"), (20, text("b")), (None, text("b") + " end"), (None, text("c")), (None, text("d")),
+            (30, text("e")), (30, text("e")), (40, text("f")), (40, text("g")), (None, text("h")), (None, text("h")), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, d, SF).collect())
+    assert got == Counter([rows[0], rows[2], rows[4], rows[5], rows[6], rows[8], rows[9], rows[10], rows[12]])
+    d = spark.createDataFrame([(None, item), (None, text("a")), (5, item), (5, text("b")), (6, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.decontamination_stage(spark, d, SF).collect())
+    assert got == Counter([(None, text("a")), (5, text("b")), (6, None)])
+
+
 def test_queries_are_registered():
     assert sorted(QUERIES) == sorted(["op1_minhash", "op2_suffix_array", "op3_quality_rules", "op4_personal_data", "op5_best_fit_packing", "op6_language", "op7_substring", "op8_decontamination", "op9_line_dedup",
                                       "op10_quality_classifier", "pipeline"])
