@@ -258,6 +258,20 @@ def test_lines(spark):
     assert got == {i: (None, 0) if t is None else ("\n".join(x for x in t.split("\n") if x != "menu"), t.split("\n").count("menu")) for i, _, t, _ in rows}
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    import corpus_pipeline
+    ship(spark)
+    copy = "first of it\nsecond of it\nthird of it"
+    texts = [copy] * 8 + [f"menu\nown {i}" for i in range(20)] + [None, None, ""]
+    d = spark.createDataFrame([(i, "a", t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, source string, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines_stage(spark, d, SF).collect()}
+    assert got == {i: t and t.removeprefix("menu\n") for i, t in enumerate(texts)}
+    # 22 texts in 40 rows: a line on 5 of them is above 0.2 of the texts.
+    d = spark.createDataFrame([(i, "a", f"own {i}" if i < 16 else f"menu\nown {i}" if i < 21 else "same") for i in range(40)], "doc_id long, source string, text string")
+    assert lines.drop_boilerplate(d, ratio=0.2).where("_n_removed > 0").count() == 5
+    assert lines.drop_boilerplate(d, ratio=0.2, copies_once=False).where("_n_removed > 0").count() == 19
+
+
 def test_quality_and_language_on_held_out_rows(spark):
     ship(spark)
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
