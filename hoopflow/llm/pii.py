@@ -29,17 +29,20 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-#: Candidate patterns, gazetteers and context words of the added kinds.
+_SPELLED = re.compile(r"[A-Za-z0-9._-]")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+#: Candidate patterns (runs have no upper length; possessive, so each is read once), gazetteers and context words of the added kinds.
 CANDIDATES = {
-    "secret": re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{16,64}|[A-Za-z0-9+/]{24,64})(?![A-Za-z0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{16,}+(?![A-Za-z0-9])|[A-Za-z0-9+/]{24,}+)(?![A-Za-z0-9])"),
     "local_phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])"),
-    "spelled_email": re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._-]{2,40} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{2,40} ?(?:\[dot\]|\(dot\)) ?[A-Za-z]{2,8}(?![A-Za-z0-9])"),
+    # What follows the local part, which is taken from here to the left.
+    "spelled_email": re.compile(r" ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{2,}+ ?(?:\[dot\]|\(dot\)) ?[A-Za-z]{2,}+(?![A-Za-z0-9])"),
     "id_number": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
 GAZETTEER = ("AKIA", "ghp_", "gho_", "sk-", "gmail", "mail", "outlook", "555", "800")
 CONTEXT = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "phone", "tel", "call", "mobile", "mail", "contact", "ssn", "social")
 LABELERS = ["pattern", "gazetteer", "context", "mixed", "assigned"]
-_SHAPES = 9
+_SHAPES = 10
 
 
 def _luhn(digits: str) -> bool:
@@ -84,6 +87,19 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def _spelled(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    last = 0
+    for m in pattern.finditer(text):
+        i = m.start()
+        while i > last and _SPELLED.match(text, i - 1):
+            i -= 1
+        while i and i < m.start() and _ALNUM.match(text, i - 1):  # no word is cut by the span before
+            i += 1
+        if m.start() - i >= 2:
+            last = m.end()
+            yield i, last
+
+
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, int, int]]:
     """(kind, start, end, votes, shape) of spans that overlap no base span. Votes and shape are bit sets."""
     taken = sorted(s for v in base.values() for s in v)
@@ -95,18 +111,17 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
             continue
         if kind != "secret" and kind != "spelled_email" and not _DIGIT.search(text):
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
+        for a, b in _spelled(text, pattern) if kind == "spelled_email" else (m.span() for m in pattern.finditer(text)):
             i = int(np.searchsorted(starts, b)) - 1
             if taken and i >= 0 and ends[i] > a:
                 continue
-            s, before = m[0], text[max(0, a - 24):a].lower()
+            s, before = text[a:b], text[max(0, a - 24):a].lower()
             digits, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
             hexes = all(c in "0123456789abcdef" for c in s)
             mixed = digits >= 3 and letters >= 3 or kind != "secret"
             votes = [s[:4] == "AKIA" or s[:2] in ("gh", "sk") and digits > 2 or kind != "secret" or hexes and mixed, any(g in s for g in GAZETTEER), any(c in before for c in CONTEXT),
                      mixed, before.rstrip(" \"'")[-1:] in ("=", ":")]
-            shape = [kind == "secret", kind == "local_phone", kind == "spelled_email", kind == "id_number", digits >= 3, digits >= 8, letters >= 6, hexes, len(s) >= 20]
+            shape = [kind == "secret", kind == "local_phone", kind == "spelled_email", kind == "id_number", digits >= 3, digits >= 8, letters >= 6, hexes, len(s) >= 20, len(s) > 64]
             out.append((kind, a, b, sum(v << j for j, v in enumerate(votes)), sum(v << j for j, v in enumerate(shape))))
     return out
 
@@ -176,7 +191,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = cut_lineage(plain.mapInArrow(_find, _FOUND))
-    # At most 2^5 votes and 2^9 shapes, whatever the corpus.
+    # At most 2^5 votes and 2^10 shapes, whatever the corpus.
     cells = [(r.v, r.s, r.n) for r in found.select(F.explode(F.arrays_zip("votes", "shape")).alias("x")).groupBy(F.col("x.votes").alias("v"), F.col("x.shape").alias("s")).agg(F.count("*").alias("n")).orderBy("v", "s").collect()]
     odds, ratios = fit_labelers([(v, n) for v, _, n in cells])
     w = fit_classifier(cells, odds, ratios)

@@ -197,6 +197,17 @@ def test_personal_data_base(spark):
         assert r.n_added == (2 if r.doc_id == 6 else 0)
 
 
+def test_candidates_have_no_upper_length():
+    local = "first.middle-last" * 5
+    spans = ["0123456789abcdef" * 8, "Ab3+" * 40, f"{local} [at] {'sub-' * 15}host (dot) photography", "0123456789abcdef" * 2]
+    text = "key = " + " ; ".join(spans) + " ; x [at] y1 [dot] org ; me.x(at)here[dot]com.you [at] there [dot] org"
+    got = [(k, text[a:b], bool(shape >> 9 & 1)) for k, a, b, _, shape in pii.candidates(text, pii.base_spans(text))]
+    assert sorted(got) == sorted([("secret", spans[0], True), ("secret", spans[1], True), ("spelled_email", spans[2], True), ("secret", spans[3], False),
+                                  ("spelled_email", "me.x(at)here[dot]com", False), ("spelled_email", "you [at] there [dot] org", False)])
+    long = "a." * 200_000 + " [at] " + "0a" * 200_000 + "z" + "-b" * 200_000
+    assert len(pii.candidates(long, {})) == 1
+
+
 def test_packing_round_trip(odd, docs):
     from tokenizers import Tokenizer
     model = Tokenizer.from_file(packing.tokenizer_path())
