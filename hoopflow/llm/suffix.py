@@ -1,6 +1,6 @@
 """Suffix-array removal of repeated byte strings by prefix-free parsing.
 
-Rolling-hash triggers cut every document into phrases; neighbouring phrases overlap by
+Window-minimum triggers (the smallest gram hash of each window) cut every document into phrases; neighbouring phrases overlap by
 ``length - 1`` bytes, so each string of ``length`` bytes lies in exactly one phrase and the
 order of two suffixes down to that depth is settled inside their phrases. The distinct
 phrases are the dictionary: their suffixes are sorted (one suffix array per trigger bucket),
