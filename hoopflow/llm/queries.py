@@ -47,15 +47,19 @@ FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM reach GROUP
 
 SQL_OP2 = """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS MATERIALIZED (SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS x, CASE WHEN p <= n - 50 THEN substring(h, 2 * p + 1, 100) END AS w
-  FROM (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS p FROM t)),
-m AS (SELECT w, min(doc_id) AS first FROM p WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)),
-s AS (SELECT p.doc_id, p.p, p.x, coalesce(m.first < p.doc_id, false) AS bad FROM p LEFT JOIN m ON p.w = m.w),
-c AS (SELECT doc_id, p, x, coalesce(max(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM s),
-e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
-g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
-SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM t LEFT JOIN g USING (doc_id)
+s AS MATERIALIZED (SELECT doc_id, o, substring(h, 2 * o + 1, 1122) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 512)) AS o FROM t)),
+p AS MATERIALIZED (SELECT doc_id, o, o + i AS p, hash(substring(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, o, h, unnest(range(least(512, len(h) // 2 - 49))) AS i FROM s)),
+r AS MATERIALIZED (SELECT k FROM p GROUP BY k HAVING min(doc_id) < max(doc_id)),
+c AS MATERIALIZED (SELECT p.doc_id, p.p, substring(s.h, 2 * (p.p - p.o) + 1, 100) AS w FROM p JOIN r USING (k) JOIN s ON s.doc_id = p.doc_id AND s.o = p.o),
+b AS (SELECT c.doc_id, c.p FROM c JOIN (SELECT w, min(doc_id) AS first FROM c GROUP BY w) m ON m.w = c.w AND m.first < c.doc_id),
+e AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS opens FROM b),
+g AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM e),
+u AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM g GROUP BY doc_id, s),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM u),
+x AS (SELECT k.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substring(t.h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept, max(z) AS last FROM k JOIN t ON t.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN x ON x.doc_id = t.doc_id
 """
 
 SQL_OP7 = r"""
