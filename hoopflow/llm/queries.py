@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hoopflow.llm import decontam, langid, lines, minhash, packing, pii, quality, rules, substrings, suffix
+from hoopflow.llm import align, bpe, centroids, decontam, langid, lines, minhash, packing, pii, quality, rules, substrings, suffix
 from hoopflow.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +142,26 @@ def op10(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_alignment")
+def op11(spark, sf_dir):
+    """Groups and links of two tokenizers' tokens, with corpus-wide counts of linked ids."""
+    found = align.align(table(spark, sf_dir, "documents"))
+    return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
+@query("op12_centroids", centroids.cluster_sql())
+def op12(spark, sf_dir):
+    """Ten rounds of eight centroids over all valid embeddings."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@query("op13_bpe")
+def op13(spark, sf_dir):
+    """Ids and decoded text of every document."""
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     """All stages of corpus_pipeline.py, each on what the one before kept."""
