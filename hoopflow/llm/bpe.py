@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
+import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from hoopflow.llm.text import row_slices, utf8
 
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _NEVER = np.int64(2**62)
 
 
@@ -166,37 +168,74 @@ class Merges:
                 heapq.heappush(heap, (s, h, ids[h], r))
         return [t for t in ids if t >= 0]
 
-    def encode(self, words: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-        """Tokens of every word (arrays of symbols), and how many words had to be merged."""
-        if not words:
+    def merge_all(self, symbols: np.ndarray, offsets: np.ndarray, width: int = 48) -> list[np.ndarray]:
+        """Exact merging of many words: one merge of every word a step, words above ``width`` symbols one by one."""
+        size = np.diff(offsets)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(size)
+        for i in np.flatnonzero(size > width).tolist():
+            out[i] = np.array(self.merge(symbols[offsets[i]:offsets[i + 1]].tolist()), np.int64)
+        # Words of equal length form a matrix; each step shortens it by one column.
+        for n in np.unique(size[(size > 0) & (size <= width)]).tolist():
+            which = np.flatnonzero(size == n)
+            ids = symbols[offsets[which][:, None] + np.arange(n)].astype(np.int64)
+            rank = self._merged(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), n - 1)
+            while True:
+                at = rank.argmin(1) if rank.shape[1] else np.zeros(len(ids), np.int64)
+                best = rank[np.arange(len(ids)), at] if rank.shape[1] else np.full(len(ids), _NEVER)
+                done = best == _NEVER
+                for i, row in zip(which[done].tolist(), ids[done]):
+                    out[i] = row
+                which, ids, rank, at, best = which[~done], ids[~done], rank[~done], at[~done], best[~done]
+                if not len(which):
+                    break
+                rows, col = np.arange(len(ids)), np.arange(ids.shape[1] - 1)
+                ids = np.take_along_axis(ids, col + (col > at[:, None]), 1)
+                ids[rows, at] = best
+                col = np.arange(rank.shape[1] - 1)
+                rank = np.take_along_axis(rank, col + (col >= at[:, None]), 1)
+                left, right = at > 0, at < ids.shape[1] - 1
+                rank[rows[left], at[left] - 1] = self._merged(ids[rows[left], at[left] - 1], best[left])
+                rank[rows[right], at[right]] = self._merged(best[right], ids[rows[right], at[right] + 1])
+        return out
+
+    def encode(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], int]:
+        """Little-endian 32-bit tokens of every word (words are not empty), and how many words had to be merged."""
+        if len(offsets) < 2:
             return [], 0
-        offsets = np.cumsum([0, *map(len, words)])
-        tokens, cuts = self.propose(np.concatenate(words).astype(np.int64), offsets)
+        tokens, cuts = self.propose(symbols, offsets)
         a, b = tokens[:-1], tokens[1:]
         inner = np.ones(max(len(tokens) - 1, 0), bool)
-        edge = cuts[1:-1]
-        inner[edge[(edge > 0) & (edge < len(tokens))] - 1] = False
+        inner[cuts[1:-1] - 1] = False
         code, back = np.unique(a[inner] * self.n + b[inner], return_inverse=True)
         good = self.compatible(code // self.n, code % self.n)
         bad = np.flatnonzero(inner)[~good[back]]
         failed = np.unique(np.searchsorted(cuts, bad, "right") - 1)
-        out = np.split(tokens, cuts[1:-1])
-        for w in failed.tolist():
-            out[w] = np.array(self.merge(words[w].tolist()), np.int64)
+        raw, ends = tokens.astype("<u4").tobytes(), (cuts * 4).tolist()
+        out = [raw[x:y] for x, y in zip(ends[:-1], ends[1:])]
+        size = offsets[failed + 1] - offsets[failed]
+        first = np.cumsum(np.append(0, size))
+        flat = symbols[np.arange(first[-1]) - np.repeat(first[:-1] - offsets[failed], size)]
+        for w, ids in zip(failed.tolist(), self.merge_all(flat, first)):
+            out[w] = ids.astype("<u4").tobytes()
         return out, len(failed)
 
 
+#: Characters whose letters, numbers and lower case are the same in every Unicode version, with no composition among them.
+_LATIN = [chr(i) for i in range(0x21, 0x250) if chr(i).isprintable()]
+_LATIN_PART = re.compile("[" + "".join(map(re.escape, _LATIN)) + "]+")
+_L, _N = ("".join(c for c in _LATIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+_LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}]+")
+
+
 class WordEncoder:
     """Ids of texts for the lower-casing byte-pair vocabulary with word ends at ``path``.
 
     No word crosses an ASCII blank, so texts are cut there and every distinct part is encoded once, in batches of
-    parts. Printable ASCII parts are cut into words here; others by the normaliser and pre-tokeniser of the file.
-    What is remembered is emptied at ``limit`` characters.
+    parts. Parts of Latin characters are cut into words here; others by the normaliser and pre-tokeniser of the
+    file. What is remembered is emptied at ``limit`` characters.
     """
 
     def __init__(self, path: str, limit: int = 1 << 24):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -206,53 +245,61 @@ class WordEncoder:
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merges = Merges([(vocab[a], vocab[b]) for a, b in pairs], len(vocab) - len(pairs))
-        # A merged token ends a word if its right part does.
-        merged = {a + b for a, b in pairs}
-        single = {t: i for t, i in vocab.items() if t not in merged}
-        self.inside = {t: i for t, i in single.items() if len(t) == 1}
-        self.ending = {t[0]: i for t, i in single.items() if len(t) > 1 and t[1:] == suffix}
+        # Bytes are spelled by one character each: visible ones by themselves, the others by those from U+0100 on.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.inside, self.ending = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for c, b in self.byte_of.items():
+            self.inside[b], self.ending[b] = vocab[c], vocab[c + suffix]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.mark = os.path.commonprefix(list(self.special))
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.limit, self.n_words, self.n_merged = limit, 0, 0
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.words: dict[str, bytes] = {}
-        self.ids: list[bytes] = []
+        self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _split(self, part: str) -> list[str]:
-        if part.isascii() and part.isprintable():
-            return _ASCII_WORD.findall(part.lower())
+    def _split(self, part: str) -> list[bytes]:
+        if _LATIN_PART.fullmatch(part):
+            low = part.lower()
+            # One capital becomes two characters, the second of which isn't Latin.
+            if "\u0307" not in low:
+                return [w.encode() for w in _LATIN_WORD.findall(low)]
         lib = self.library
-        return [w for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(part))]
-
-    def _symbols(self, word: str) -> np.ndarray:
-        return np.array([*map(self.inside.__getitem__, word[:-1]), self.ending[word[-1]]], np.int64)
+        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(part))]
 
     def _learn(self, parts: list[str]) -> None:
         """Adds parts that aren't known; all their new words are encoded together."""
-        plans = []
+        plans: list[list] = []
         for p in parts:
-            plan = []
-            for s in (self.cut.split(p) if self.cut and any(t in p for t in self.special) else [p]):
-                if s in self.special:
-                    plan.append(self.special[s])
-                elif s:
-                    plan += self._split(s)
-            plans.append(plan)
-        new = [w for w in dict.fromkeys(w for plan in plans for w in plan if isinstance(w, str)) if w not in self.words]
-        ids, failed = self.merges.encode([self._symbols(w) for w in new])
+            if self.special and self.mark in p:
+                plan: list = []
+                for s in self.cut.split(p):
+                    if s in self.special:
+                        plan.append(self.special[s])
+                    elif s:
+                        plan += self._split(s)
+                plans.append(plan)
+            else:
+                plans.append(self._split(p))
+        words = self.words
+        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(plans)) if w not in words and isinstance(w, bytes)]
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        raw = np.frombuffer(b"".join(new), np.uint8)
+        symbols = self.inside[raw]
+        symbols[offsets[1:] - 1] = self.ending[raw[offsets[1:] - 1]]
+        ids, failed = self.merges.encode(symbols, offsets)
+        words.update(zip(new, ids))
         self.n_words += len(new)
         self.n_merged += failed
-        for w, t in zip(new, ids):
-            self.words[w] = t.astype("<u4").tobytes()
-            self.held += len(w)
         for p, plan in zip(parts, plans):
-            self.known[p] = len(self.ids)
-            self.ids.append(b"".join(self.words[w] if isinstance(w, str) else np.uint32(w).tobytes() for w in plan))
-            self.held += len(p) + len(self.ids[-1])
+            self.known[p] = words[plan[0]] if len(plan) == 1 and isinstance(plan[0], bytes) else b"".join(
+                words[w] if isinstance(w, bytes) else np.uint32(w).astype("<u4").tobytes() for w in plan)
+        self.held += 5 * int(size.sum()) + 2 * sum(map(len, parts))
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of every text; null is empty."""
@@ -261,13 +308,13 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
         parts = coded.dictionary.to_pylist()
-        self._learn([p for p in parts if p not in self.known])
-        at = np.array([self.known[p] for p in parts], np.int64)[coded.indices.to_numpy()] if parts else np.zeros(0, np.int64)
+        known = self.known
+        self._learn([p for p in parts if p not in known])
+        ids = list(map(known.__getitem__, parts))
         offsets = split.offsets.to_numpy()
-        ids = self.ids.__getitem__
-        at = at.tolist()
+        at = coded.indices.to_numpy(zero_copy_only=False).tolist()
         first = offsets[0]
-        return [b"".join(map(ids, at[a - first:b - first])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return [b"".join(map(ids.__getitem__, at[a - first:b - first])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
 @functools.lru_cache(maxsize=2)

@@ -76,8 +76,12 @@ def test_bpe_check_is_exact():
                     break
         m = bpe.Merges(pairs, n)
         words = [np.array([rng.randrange(n) for _ in range(rng.randint(1, 14))]) for _ in range(80)]
-        got, _ = m.encode(words)
-        assert [g.tolist() for g in got] == [m.merge(w.tolist()) for w in words]
+        offsets = np.cumsum([0, *map(len, words)])
+        got, _ = m.encode(np.concatenate(words), offsets)
+        want = [m.merge(w.tolist()) for w in words]
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+        for width in (0, 5, 48):
+            assert [g.tolist() for g in m.merge_all(np.concatenate(words), offsets, width)] == want
 
 
 def test_bpe_forgets_without_change(docs, library):
