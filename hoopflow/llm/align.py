@@ -4,7 +4,7 @@ All tokens of both sides are sorted by start and their ends are accumulated as a
 a start reaches it. Inside a group an A and a B token are linked where their byte ranges overlap.
 
 Neither tokenizer lets a token cross a single space between visible characters, so texts are cut there into parts;
-every distinct part is tokenised and aligned once in a task. Documents are handled in blocks of bounded bytes. A block
+every distinct part of a block is tokenised and aligned once. A block holds documents of bounded bytes. It
 is one stored row: its documents as part numbers, its parts' links, and for each distinct link the number of
 its documents. Counting links over the corpus and sending the counts back then moves one row per block and
 distinct link, not one per document, and no link can have more rows than there are blocks.
@@ -13,8 +13,10 @@ distinct link, not one per document, and no link can have more rows than there a
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoopflow.llm.minhash import stored
+from hoopflow.llm.bpe import _LATIN
 from hoopflow.llm.text import row_slices, utf8
 
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: First bytes of blanks that aren't ASCII; a space before one of them is never a cut.
 _MAYBE_BLANK = _BLANK.copy()
 _MAYBE_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
+_LATIN_PART = re.compile(" [" + "".join(map(re.escape, _LATIN)) + "]+")
 BLOCK = ("doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, size array<int>, parts array<int>, "
          "groups array<string>, link_size array<int>, links array<int>, pair array<long>, pair_docs array<long>")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -81,9 +85,9 @@ def split_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Aligner:
-    """Tokens of parts by both files, aligned. What is remembered is emptied at ``limit`` characters."""
+    """Tokens of a block's distinct parts by both files, aligned. Nothing is kept from one block to the next."""
 
-    def __init__(self, path_a: str, path_b: str, limit: int = 1 << 23):
+    def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -94,9 +98,17 @@ class Aligner:
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
         names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.size_a = np.zeros(max(names.values()) + 1, np.int64)
+        n_a = max(names.values()) + 1
+        self.size_a = np.zeros(n_a, np.int64)
         for t, i in names.items():
             self.size_a[i] = len(t)
+        # The same vocabulary as ranks encodes parts of Latin characters faster, with the same ids.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items()}
+        import public_tokenizers
+        import tiktoken
+        self.fast_a = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.n_b = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
@@ -104,27 +116,42 @@ class Aligner:
             raise ValueError(f"{path_b}: a piece goes over a word's end, so parts can't be tokenised alone")
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.blank = self.b.piece_to_id("▁")
-        self.limit = limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.groups: list[str] = []
-        self.links: list[np.ndarray] = []
-        self.held = 0
-
-    def _learn(self, parts: list[str]) -> None:
-        """Tokenise and align new parts, all together. A part that doesn't come back as its bytes has the counts -1."""
-        a = [e.ids for e in self.a.encode_batch(parts, add_special_tokens=False)]
+        # Ids with the sign behind them: A inside and at the end of its side, B inside and at the end of the group.
+        self.spell = [f"{i}{c}" for c, n in ((",", n_a), ("|", n_a), (",", self.n_b), (";", self.n_b)) for i in range(n)]
+        self.spell_size = np.fromiter(map(len, self.spell), np.int64, len(self.spell))
+
+    def _tokens(self, parts: list[str], size: np.ndarray) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Ids of every part on both sides, and which parts come back as their bytes; the others have no ids."""
+        fast = self.fast_a
+        a = [fast(p) if _LATIN_PART.fullmatch(p) else None for p in parts]
+        slow = [i for i, x in enumerate(a) if x is None]
+        for i, e in zip(slow, self.a.encode_batch([parts[i] for i in slow], add_special_tokens=False)):
+            a[i] = e.ids
         # The library of B puts a space in front itself, and gives nothing for no text.
         b = [x or [self.blank] for x in self.b.encode([p[1:] for p in parts], num_threads=1)]
-        raw = [p.encode() for p in parts]
-        sound = [b"".join(map(self.bytes_b.__getitem__, x)) == r and sum(map(self.size_a.__getitem__, y)) == len(r) for x, y, r in zip(b, a, raw)]
-        base = np.cumsum([0, *(len(r) if ok else 0 for r, ok in zip(raw, sound))])
-        ids_a = np.array([i for x, ok in zip(a, sound) if ok for i in x], np.int64)
-        ids_b = np.array([i for x, ok in zip(b, sound) if ok for i in x], np.int64)
-        # Both sides tile the same bytes without gaps, so ends are running sums of sizes.
+        spell = self.bytes_b.__getitem__
+        sound = np.ones(len(parts), bool)
+        if b"".join(map(spell, itertools.chain.from_iterable(b))) != "".join(parts).encode():
+            sound = np.array([b"".join(map(spell, x)) == p.encode() for x, p in zip(b, parts)], bool)
+        n = np.fromiter(map(len, a), np.int64, len(a))
+        total = np.append(0, np.cumsum(self.size_a[np.fromiter(itertools.chain.from_iterable(a), np.int64, int(n.sum()))]))
+        end = np.cumsum(n)
+        sound &= total[end] - total[end - n] == size
+        for i in np.flatnonzero(~sound).tolist():
+            a[i], b[i] = [], []
+        return a, b, sound
+
+    def block(self, ids: pa.Array, texts: pa.Array) -> dict[str, np.ndarray | pa.Array | list]:
+        """One block: its documents, its parts and its distinct links."""
+        coded, offsets = split_parts(texts)
+        parts = coded.dictionary.to_pylist()
+        n_parts = len(parts)
+        size = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b, sound = self._tokens(parts, size)
+        n_a, n_b = np.fromiter(map(len, a), np.int64, n_parts), np.fromiter(map(len, b), np.int64, n_parts)
+        ids_a = np.fromiter(itertools.chain.from_iterable(a), np.int64, int(n_a.sum()))
+        ids_b = np.fromiter(itertools.chain.from_iterable(b), np.int64, int(n_b.sum()))
+        # Both sides tile the parts' bytes without gaps, so ends are running sums of sizes.
         end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         start_a, start_b = end_a - self.size_a[ids_a], end_b - self.size_b[ids_b]
         order, group = coalesce(np.concatenate([start_a, start_b]), np.concatenate([end_a, end_b]))
@@ -135,58 +162,39 @@ class Aligner:
         low = np.maximum(np.searchsorted(end_b, start_a, "right"), np.searchsorted(group_b, group_a, "left"))
         high = np.minimum(np.searchsorted(start_b, end_a, "left"), np.searchsorted(group_b, group_a, "right"))
         i, j = expand(low, high)
-        codes = ids_a[i] * self.n_b + ids_b[j]
+        pair, place = np.unique(ids_a[i] * self.n_b + ids_b[j], return_inverse=True)
         n_groups = int(group[-1]) + 1 if len(group) else 0
-        cut_a, cut_b = np.searchsorted(group_a, np.arange(n_groups + 1)).tolist(), np.searchsorted(group_b, np.arange(n_groups + 1)).tolist()
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        spelled = [",".join(text_a[cut_a[g]:cut_a[g + 1]]) + "|" + ",".join(text_b[cut_b[g]:cut_b[g + 1]]) for g in range(n_groups)]
-        part_a, part_b, part_l = (np.searchsorted(x, base).tolist() for x in (start_a, start_b, start_a[i]))
-        first = np.append(group_a, n_groups)[np.searchsorted(start_a, base)].tolist()
-        for n, (p, ok) in enumerate(zip(parts, sound)):
-            self.known[p] = len(self.groups)
-            self.held += len(p)
-            if not ok:
-                self.counts.append((-1, 0, 0, 0))
-                self.groups.append("")
-                self.links.append(codes[:0])
-                continue
-            self.counts.append((part_a[n + 1] - part_a[n], part_b[n + 1] - part_b[n], first[n + 1] - first[n], part_l[n + 1] - part_l[n]))
-            self.groups.append(";".join(spelled[first[n]:first[n + 1]]))
-            self.links.append(codes[part_l[n]:part_l[n + 1]])
-            self.held += len(self.groups[-1]) + 8 * len(self.links[-1])
-
-    def block(self, ids: pa.Array, texts: pa.Array) -> dict[str, list]:
-        """One block: its documents, its parts and its distinct links."""
-        if self.held > self.limit:
-            self._forget()
-        coded, offsets = split_parts(texts)
-        names = coded.dictionary.to_pylist()
-        self._learn([p for p in names if p not in self.known])
-        entry = np.array([self.known[p] for p in names], np.int64)
+        # Spelled in order of group and side: each id with the sign that follows it.
+        last_a, last_b = np.append(np.diff(group_a), 1) > 0, np.append(np.diff(group_b), 1) > 0
+        n_a_ids = len(self.size_a)
+        code = np.concatenate([ids_a + n_a_ids * last_a[:len(ids_a)], 2 * n_a_ids + ids_b + self.n_b * last_b[:len(ids_b)]])
+        stream = code[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
+        spelled = "".join(map(self.spell.__getitem__, stream.tolist())).encode()
+        letters = np.append(0, np.cumsum(self.spell_size[stream]))
+        # Parts begin where both sides begin, so a part's groups and links lie together.
+        part_a, part_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
+        part_g = np.append(group_a, n_groups)[part_a]
+        part_l = np.searchsorted(i, part_a)
+        counts = np.stack([np.diff(part_a), np.diff(part_b), np.diff(part_g), np.diff(part_l)], 1) if n_parts else np.zeros((0, 4), np.int64)
+        cut = letters[part_a + part_b]
+        groups = pa.LargeStringArray.from_buffers(n_parts, pa.py_buffer(cut), pa.py_buffer(spelled))
+
         part = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        counts = np.array([self.counts[e] for e in entry.tolist()], np.int64).reshape(-1, 4)
         # One part that doesn't come back whole leaves its document without tokens.
         lost = np.zeros(len(texts), bool)
-        lost[doc[counts[part, 0] < 0]] = True
+        lost[doc[~sound[part]]] = True
         keep = ~lost[doc]
         doc, part = doc[keep], part[keep]
-        sums = np.zeros((len(texts), 4), np.int64)
-        np.add.at(sums, doc, counts[part])
-        links = [self.links[e] for e in entry.tolist()]
-        link_size = np.array([len(x) for x in links], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *links])
-        pair, place = np.unique(flat, return_inverse=True)
+        sums = [np.bincount(doc, counts[part, c], len(texts)).astype(np.int64) for c in range(4)]
         # Distinct (document, link): each distinct part of a document gives its links.
-        once = np.unique(doc * (len(names) + 1) + part)
-        d, p = once // (len(names) + 1), once % (len(names) + 1)
-        begin = np.cumsum(link_size) - link_size
-        i, j = expand(begin[p], begin[p] + link_size[p])
-        seen = np.unique(d[i] * (len(pair) + 1) + place[j])
+        once = np.unique(doc * (n_parts + 1) + part)
+        d, p = once // (n_parts + 1), once % (n_parts + 1)
+        x, y = expand(part_l[p], part_l[p + 1])
+        seen = np.unique(d[x] * (len(pair) + 1) + place[y])
         docs_of = np.bincount(seen % (len(pair) + 1), minlength=len(pair))[:len(pair)]
-        return {"doc_id": ids.to_pylist(), "n_a": sums[:, 0], "n_b": sums[:, 1], "n_groups": sums[:, 2], "n_links": sums[:, 3],
-                "size": np.bincount(doc, minlength=len(texts)), "parts": part, "groups": [self.groups[e] for e in entry.tolist()],
-                "link_size": link_size, "links": place, "pair": pair, "pair_docs": docs_of}
+        return {"doc_id": ids, "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "size": np.bincount(doc, minlength=len(texts)), "parts": part,
+                "groups": groups, "link_size": counts[:, 3], "links": place, "pair": pair, "pair_docs": docs_of}
 
 
 @functools.lru_cache(maxsize=2)
@@ -198,6 +206,10 @@ def _blocks(path_a: str, path_b: str, block_bytes: int, n_b: int):
     types = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "size": pa.int32(), "parts": pa.int32(),
              "groups": pa.string(), "link_size": pa.int32(), "links": pa.int32(), "pair": pa.int64(), "pair_docs": pa.int64()}
 
+    def one(values, kind: pa.DataType) -> pa.Array:
+        flat = values if isinstance(values, pa.Array) else pa.array(values, kind)
+        return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, path_b)
         if aligner.n_b > n_b:
@@ -207,7 +219,7 @@ def _blocks(path_a: str, path_b: str, block_bytes: int, n_b: int):
             for lo, hi in row_slices(utf8(text)[1], block_bytes):
                 b = aligner.block(batch.column("doc_id").slice(lo, hi - lo), text.slice(lo, hi - lo))
                 b["pair"] = b["pair"] // aligner.n_b * n_b + b["pair"] % aligner.n_b
-                yield pa.record_batch({c: pa.array([list(b[c])], pa.list_(t)) for c, t in types.items()})
+                yield pa.record_batch({c: one(b[c], t) for c, t in types.items()})
     return run
 
 
@@ -232,11 +244,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(count_sum, doc, part_count[part])
             cuts = np.cumsum(np.append(0, size)).tolist()
             order = part.tolist()
-            # Groups are spelled out a bounded number of bytes at a time.
-            width = np.array([len(g) + 1 for g in groups], np.int64)
+            # A part's groups end in the sign between groups. They are put together a bounded number of bytes at a time.
+            width = np.fromiter(map(len, groups), np.int64, len(groups))
             ends = np.concatenate([[0], np.cumsum(np.append(0, width[part]))[cuts[1:]]]) if n else np.zeros(1, np.int64)
             for a, b in row_slices(ends, 1 << 23):
-                spelled = [";".join(map(groups.__getitem__, order[cuts[k]:cuts[k + 1]])) for k in range(a, b)]
+                spelled = ["".join(map(groups.__getitem__, order[cuts[k]:cuts[k + 1]]))[:-1] for k in range(a, b)]
                 cols = {c: get(c).slice(a, b - a) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
                 yield pa.record_batch({**cols, "n_best": pa.array(n_best[a:b]), "count_sum": pa.array(count_sum[a:b]), "groups": pa.array(spelled, pa.string())})
 
