@@ -37,8 +37,10 @@ _MAYBE_BLANK = _BLANK.copy()
 _MAYBE_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 _LATIN_PART = re.compile(" [" + "".join(map(re.escape, _LATIN)) + "]+")
-BLOCK = ("doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, size array<int>, parts array<int>, "
-         "groups array<string>, link_size array<int>, links array<int>, pair array<long>, pair_docs array<long>")
+BLOCK = "payload binary, pair array<long>, pair_docs array<long>"
+#: What only the block itself needs again is packed and compressed, so that wide rows stay small in storage and exchanges.
+PACKED = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "size": pa.int32(), "parts": pa.int32(),
+          "stream": pa.int32(), "stream_size": pa.int32(), "link_size": pa.int32(), "links": pa.int32()}
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -118,7 +120,6 @@ class Aligner:
         self.blank = self.b.piece_to_id("▁")
         # Ids with the sign behind them: A inside and at the end of its side, B inside and at the end of the group.
         self.spell = [f"{i}{c}" for c, n in ((",", n_a), ("|", n_a), (",", self.n_b), (";", self.n_b)) for i in range(n)]
-        self.spell_size = np.fromiter(map(len, self.spell), np.int64, len(self.spell))
 
     def _tokens(self, parts: list[str], size: np.ndarray) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         """Ids of every part on both sides, and which parts come back as their bytes; the others have no ids."""
@@ -169,15 +170,11 @@ class Aligner:
         n_a_ids = len(self.size_a)
         code = np.concatenate([ids_a + n_a_ids * last_a[:len(ids_a)], 2 * n_a_ids + ids_b + self.n_b * last_b[:len(ids_b)]])
         stream = code[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
-        spelled = "".join(map(self.spell.__getitem__, stream.tolist())).encode()
-        letters = np.append(0, np.cumsum(self.spell_size[stream]))
         # Parts begin where both sides begin, so a part's groups and links lie together.
         part_a, part_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
         part_g = np.append(group_a, n_groups)[part_a]
         part_l = np.searchsorted(i, part_a)
         counts = np.stack([np.diff(part_a), np.diff(part_b), np.diff(part_g), np.diff(part_l)], 1) if n_parts else np.zeros((0, 4), np.int64)
-        cut = letters[part_a + part_b]
-        groups = pa.LargeStringArray.from_buffers(n_parts, pa.py_buffer(cut), pa.py_buffer(spelled))
 
         part = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
@@ -194,7 +191,7 @@ class Aligner:
         seen = np.unique(d[x] * (len(pair) + 1) + place[y])
         docs_of = np.bincount(seen % (len(pair) + 1), minlength=len(pair))[:len(pair)]
         return {"doc_id": ids, "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "size": np.bincount(doc, minlength=len(texts)), "parts": part,
-                "groups": groups, "link_size": counts[:, 3], "links": place, "pair": pair, "pair_docs": docs_of}
+                "stream": stream, "stream_size": np.diff(part_a + part_b), "link_size": counts[:, 3], "links": place, "pair": pair, "pair_docs": docs_of}
 
 
 @functools.lru_cache(maxsize=2)
@@ -202,14 +199,20 @@ def _aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _blocks(path_a: str, path_b: str, block_bytes: int, n_b: int):
-    types = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "size": pa.int32(), "parts": pa.int32(),
-             "groups": pa.string(), "link_size": pa.int32(), "links": pa.int32(), "pair": pa.int64(), "pair_docs": pa.int64()}
+def _one(values, kind: pa.DataType) -> pa.Array:
+    flat = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind))
+
 
-    def one(values, kind: pa.DataType) -> pa.Array:
-        flat = values if isinstance(values, pa.Array) else pa.array(values, kind)
-        return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind))
+def _pack(block: dict) -> bytes:
+    row = pa.record_batch({c: _one(block[c], t) for c, t in PACKED.items()})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
 
+
+def _blocks(path_a: str, path_b: str, block_bytes: int, n_b: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, path_b)
         if aligner.n_b > n_b:
@@ -218,39 +221,42 @@ def _blocks(path_a: str, path_b: str, block_bytes: int, n_b: int):
             text = batch.column("_text")
             for lo, hi in row_slices(utf8(text)[1], block_bytes):
                 b = aligner.block(batch.column("doc_id").slice(lo, hi - lo), text.slice(lo, hi - lo))
-                b["pair"] = b["pair"] // aligner.n_b * n_b + b["pair"] % aligner.n_b
-                yield pa.record_batch({c: one(b[c], t) for c, t in types.items()})
+                pair = b["pair"] // aligner.n_b * n_b + b["pair"] % aligner.n_b
+                yield pa.record_batch({"payload": pa.array([_pack(b)], pa.binary()), "pair": _one(pair, pa.int64()), "pair_docs": _one(b["pair_docs"], pa.int64())})
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in range(batch.num_rows):
-            get = lambda c: batch.column(c)[r].values
-            num = lambda c: get(c).to_numpy(zero_copy_only=False)
-            n, size, part = len(get("doc_id")), num("size"), num("parts")
-            groups, link_size, links = get("groups").to_pylist(), num("link_size"), num("links")
-            back = batch.column("back")[r]
-            value = back.values.to_numpy(zero_copy_only=False) if back.is_valid else np.zeros(0, np.int64)
-            best, count = value & 1, value >> 1
-            # Sums over a part's links, then over a document's parts.
-            of = np.repeat(np.arange(len(link_size)), link_size)
-            part_best, part_count = np.zeros(len(link_size), np.int64), np.zeros(len(link_size), np.int64)
-            np.add.at(part_best, of, best[links])
-            np.add.at(part_count, of, count[links])
-            doc = np.repeat(np.arange(n), size)
-            n_best, count_sum = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            np.add.at(n_best, doc, part_best[part])
-            np.add.at(count_sum, doc, part_count[part])
-            cuts = np.cumsum(np.append(0, size)).tolist()
-            order = part.tolist()
-            # A part's groups end in the sign between groups. They are put together a bounded number of bytes at a time.
-            width = np.fromiter(map(len, groups), np.int64, len(groups))
-            ends = np.concatenate([[0], np.cumsum(np.append(0, width[part]))[cuts[1:]]]) if n else np.zeros(1, np.int64)
-            for a, b in row_slices(ends, 1 << 23):
-                spelled = ["".join(map(groups.__getitem__, order[cuts[k]:cuts[k + 1]]))[:-1] for k in range(a, b)]
-                cols = {c: get(c).slice(a, b - a) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
-                yield pa.record_batch({**cols, "n_best": pa.array(n_best[a:b]), "count_sum": pa.array(count_sum[a:b]), "groups": pa.array(spelled, pa.string())})
+def _finish(path_a: str, path_b: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = _aligner(path_a, path_b).spell.__getitem__
+        for batch in batches:
+            for r in range(batch.num_rows):
+                with pa.ipc.open_stream(batch.column("payload")[r].as_py()) as stream:
+                    packed = stream.read_next_batch()
+                num = lambda c: packed.column(c).flatten().to_numpy(zero_copy_only=False)
+                ids = packed.column("doc_id").flatten()
+                n, size, part, link_size, links = len(ids), num("size"), num("parts"), num("link_size"), num("links")
+                back = batch.column("back")[r]
+                value = back.values.to_numpy(zero_copy_only=False) if back.is_valid else np.zeros(0, np.int64)
+                # Sums over a part's links, then over a document's parts; counts are whole numbers far below 2^53.
+                of = np.repeat(np.arange(len(link_size)), link_size)
+                doc = np.repeat(np.arange(n), size)
+                over = lambda v: np.bincount(doc, np.bincount(of, v[links], len(link_size))[part], n).astype(np.int64)
+                n_best, count_sum = over(value & 1), over(value >> 1)
+                # A part's groups end in the sign between groups.
+                ends = np.cumsum(np.append(0, num("stream_size"))).tolist()
+                pieces = list(map(spell, num("stream").tolist()))
+                groups = ["".join(pieces[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                width = np.fromiter(map(len, groups), np.int64, len(groups))
+                cuts = np.cumsum(np.append(0, size))
+                letters = np.append(0, np.cumsum(width[part]))[cuts]
+                order, cut = part.tolist(), cuts.tolist()
+                # Documents go out a bounded number of letters at a time.
+                for a, b in row_slices(letters, 1 << 23):
+                    spelled = ["".join(map(groups.__getitem__, order[cut[k]:cut[k + 1]]))[:-1] for k in range(a, b)]
+                    yield pa.record_batch({"doc_id": ids.slice(a, b - a), **{c: pa.array(num(c)[a:b]) for c in ("n_a", "n_b", "n_groups", "n_links")},
+                                           "n_best": pa.array(n_best[a:b]), "count_sum": pa.array(count_sum[a:b]), "groups": pa.array(spelled, pa.string())})
+    return run
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, n_b: int = 1 << 20) -> DataFrame:
@@ -266,8 +272,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     ``block_bytes`` is a block of its own. ``n_b`` is above the number of B's pieces.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    run = _blocks(path_a or tokenizer_path("byte_bpe_50k.json"), path_b or tokenizer_path("piece_bpe_32k.model"), block_bytes, n_b)
-    blocks = stored(plain.mapInArrow(run, BLOCK).withColumn("block", F.monotonically_increasing_id()))
+    paths = path_a or tokenizer_path("byte_bpe_50k.json"), path_b or tokenizer_path("piece_bpe_32k.model")
+    blocks = stored(plain.mapInArrow(_blocks(*paths, block_bytes, n_b), BLOCK).withColumn("block", F.monotonically_increasing_id()))
     held = blocks.select("block", F.explode(F.arrays_zip("pair", "pair_docs")).alias("x")).select("block", F.col("x.pair").alias("pair"), F.col("x.pair_docs").alias("n"))
     # A link has at most one row a block, and an A id at most as many pairs as B has ids.
     counts = held.where("n > 0").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -276,4 +282,4 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     back = (held.select("block", "pair").join(value, "pair", "left").groupBy("block")
             .agg(F.sort_array(F.collect_list(F.struct("pair", F.coalesce("value", F.lit(0)).alias("value")))).alias("back"))
             .select("block", F.col("back.value").alias("back")))
-    return blocks.join(back, "block", "left").drop("block", "pair", "pair_docs").mapInArrow(_finish, RESULT)
+    return blocks.select("block", "payload").join(back, "block", "left").drop("block").mapInArrow(_finish(*paths), RESULT)
