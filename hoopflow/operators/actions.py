@@ -137,11 +137,15 @@ def why_not(scored: DataFrame, state: list[str], q: str = "q", ord_col: str = "o
 
 
 def baseline_picks(scored: DataFrame, state: list[str], q: str = "q", open_col: str = "open", seed: int = 0) -> DataFrame:
-    """Per state, the true value of each policy's pick and of the best action, in one pass."""
+    """Per state, the true value of each policy's pick and of the best action, in one pass.
+
+    The random policy takes the candidate with the smallest digest of seed, state and place in the list: uniform over the
+    candidates, and the same whatever the order or partition of the rows.
+    """
     first = F.min_by("true_v", "ord")
     best_of = lambda cond, key: F.max_by(F.when(cond, F.col("true_v")), F.when(cond, key))
     is_pass = F.col("action") == "PASS_TO"
-    coin = F.xxhash64(F.lit(seed), *state, "ord")
+    coin = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*state, "ord")]).cast("binary"))
     return (scored.groupBy(*state).agg(
         F.count(F.lit(1)).alias("n"), F.max("true_v").alias("best_true"),
         F.max_by("true_v", F.struct(F.col(q), -F.col("ord"))).alias("model"),

@@ -109,20 +109,25 @@ def share(cond: Column) -> Column:
 def quantiles(df: DataFrame, by: list[str], value: str, named: dict[str, float], hot_rows: int = Q.HOT_ROWS) -> DataFrame:
     """Exact interpolated quantiles by rank, for groups of any size.
 
-    Rows are ranked with the block-wise index, so a huge group is neither collected nor
-    sorted in one task; only the two rows around each quantile survive.
+    Equal values are counted first, so ties are one row; running counts over the distinct values give
+    their ranks. A group with many values is cut into blocks, and only the rows around each quantile
+    survive.
     """
     keys = list(by) or ["_all"]
     d = df.where(F.col(value).isNotNull())
-    d = d.select(*(by or [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    d = d.select(*(by or [F.lit(0).alias("_all")]), F.col(value).alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m"))
     d, s = Q.split_hot(d, Q.seq(keys, ["_v"]), hot_rows)
-    d = Q.unsplit(Q.scan(d, s, index="_i")).join(n, keys)
+    d = Q.unsplit(Q.scan(d, s, total={"_hi": "_m"}))
+    d = d.join(d.groupBy(*keys).agg(F.max("_hi").alias("_n")), keys)
     out = []
     for name, q in named.items():
         pos = (F.col("_n") - 1) * q
         lo, frac = F.floor(pos), pos - F.floor(pos)
-        at = lambda k: F.max(F.when(F.col("_i") == F.least(k, F.col("_n") - 1) + 1, F.col("_v")))
+
+        def at(k: Column) -> Column:
+            rank = F.least(k, F.col("_n") - 1)
+            return F.max(F.when((F.col("_hi") > rank) & (F.col("_hi") - F.col("_m") <= rank), F.col("_v")))
+
         a, b = at(lo), at(lo + 1)
         out.append((a + (b - a) * F.max(frac)).alias(name))
     return d.groupBy(*keys).agg(*out).drop("_all")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hoopflow import fixed as K
 from hoopflow.functions import geometry as G, scalars as S
 from hoopflow.operators import state as ST
+from hoopflow.operators.ranking import global_rank
 
 
 def shot(shooter: Column, shot_clock: Column, prior: Column | None = None, training: bool = False) -> dict[str, Column]:
@@ -97,12 +98,9 @@ def mean_pool(df: DataFrame, ents: str = "entities") -> DataFrame:
 
 
 def vocab(ids: DataFrame, col: str = "player_id") -> DataFrame:
-    """Dense index of distinct ids from 1; id -1 and unknown ids are 0.
-
-    The distinct list is tiny next to the data, so its single ordered window is cheap.
-    """
+    """Dense index of distinct ids from 1; id -1 and unknown ids are 0."""
     d = ids.select(F.col(col).alias("player_id")).distinct().where(F.col("player_id") != K.BALL_ID)
-    return d.withColumn("idx", F.row_number().over(Window.orderBy("player_id")).cast("long"))
+    return global_rank(d, ["player_id"], "idx")[0]
 
 
 def encode(df: DataFrame, table: DataFrame, col: str = "player_id") -> DataFrame:

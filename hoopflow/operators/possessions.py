@@ -188,7 +188,7 @@ def possession_frames(moments: DataFrame, hot_rows: int | None = None) -> DataFr
                            "_z": F.max("ball.z").over(per_slice), "_all": F.count(F.lit(1)).over(run)})
     d = (d.where((F.col("_n") >= K.HANDLER_HOLD) & (F.col("_all") >= K.HANDLER_HOLD))
          .withColumn("raw_handler_id", raw_handler()))
-    held = Q.min_hold(d, Q.Seq(s.by + ("slice",), s.order, s.split), "raw_handler_id", K.HANDLER_HOLD, "handler_player_id")
+    held = Q.min_hold(d, Q.Seq(s.by + ("slice",), s.order, s.blocks), "raw_handler_id", K.HANDLER_HOLD, "handler_player_id")
     return Q.unsplit(held.withColumns({
         "possession_id": frame_key(), "frame_idx": F.col("_i") - F.col("_i0"),
         "ball_in_flight": F.col("handler_player_id").isNull(),

@@ -1,11 +1,13 @@
 """Ordered operators: carry-forward, differences, runs, sessions, interpolation.
 
 Everything is built from ``scan``, one pass of running windows per group. A group that
-may be huge is first cut into blocks by ``split_hot``: windows then run per (group,
-block), block totals are prefix-combined in a second, tiny aggregation, and the carry is
-joined back. Results are identical with and without the cut, so a key that holds a third
-of the table spreads over many tasks. Tables of hot keys and of block carries hold at
-most about ``rows / hot_rows`` entries, which is what bounds their broadcast.
+may be huge is first cut into blocks by ``split_hot``: bounds are quantiles of the whole
+order tuple, from a mergeable sketch per key, so ties in the leading columns and outliers
+don't matter. Windows then run per (group, block); the rows at block edges give the
+totals that are carried over and joined back. Results are identical with and without the
+cut, so a key that holds a third of the table spreads over many tasks. The input of a chain
+is read twice, for the sketch and for the blocks; each scan goes on from what the one
+before stored. Where no group is hot, scans are plain windows.
 """
 
 from __future__ import annotations
@@ -16,8 +18,14 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hoopflow.session import cut_lineage
+
 BLOCK, BLOCKS = "_block", "_blocks"
 HOT_ROWS = 2_000_000
+#: Block edges up to this number are joined by broadcast; more are left to a sorted join.
+BROADCAST_BLOCKS = 100_000
+#: Sketch: sampled tuples a block, parts whose samples are gathered apart, tuples kept of a part, most blocks of a key.
+SAMPLES, PARTS, KEEP, MAX_BLOCKS, FAN = 512, 1024, 64, 1024, 32
 
 
 def _c(v) -> Column:
@@ -26,11 +34,15 @@ def _c(v) -> Column:
 
 @dataclass(frozen=True)
 class Seq:
-    """Grouping and total ascending order of a sequence; ``split`` if cut into blocks."""
+    """Grouping and total ascending order of a sequence; ``blocks`` is their number over all keys if it is cut."""
 
     by: tuple
     order: tuple
-    split: bool = False
+    blocks: int = 0
+
+    @property
+    def split(self) -> bool:
+        return self.blocks > 0
 
     @property
     def keys(self) -> list[str]:
@@ -53,20 +65,63 @@ def seq(by: Sequence[str], order: Sequence) -> Seq:
     return Seq(tuple(by), tuple(order))
 
 
-def split_hot(df: DataFrame, s: Seq, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, Seq]:
-    """Cut groups above ``hot_rows`` rows into equal ranges of the first order column."""
-    pos = F.col("_pos")
-    base = df.withColumn("_pos", _c(s.order[0]).cast("double"))
-    hot = (base.groupBy(*s.by)
-           .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-           .where((F.col("_n") > hot_rows) & (F.col("_hi") > F.col("_lo"))))
-    nb = F.ceil(F.col("_n") / hot_rows)
-    raw = F.floor((pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * nb)
-    out = (base.join(hot, list(s.by), "left")
-           .withColumn(BLOCKS, F.coalesce(nb, F.lit(1)))
-           .withColumn(BLOCK, F.coalesce(F.least(raw, nb - 1), F.lit(0)))
-           .drop("_n", "_lo", "_hi", "_pos"))
-    return out, Seq(s.by, s.order, True)
+def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Left join on keys that may be NULL; the right side, with one row a key, is broadcast only if ``small``."""
+    r = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        on = same if on is None else on & same
+    return left.join(F.broadcast(r) if small else r, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def hot_bounds(df: DataFrame, s: Seq, hot_rows: int, samples: int = SAMPLES) -> DataFrame:
+    """(keys, _blocks, _bounds) of every key above ``hot_rows`` rows: where to cut it into equal blocks.
+
+    The sketch of a key is a sample of its order tuples. A tuple is in it by its hash, about ``samples`` a block, and
+    belongs to one of ``PARTS`` parts; of each part the ``KEEP`` smallest hashes stay. Two sketches merge by taking
+    both and keeping the smallest again, and a part's sample is gathered apart, so no buffer
+    holds more than a ``PARTS``-th of a key's sample.
+    """
+    keys = list(s.by)
+    h = F.xxhash64(*keys, s.point)
+    space = 1 << 24
+    taken = F.pmod(h, F.lit(space)) < max(1, int(space * min(1.0, samples / hot_rows)))
+    part = F.when(taken, F.pmod(F.shiftright(h, 24), F.lit(PARTS))).otherwise(F.lit(-1)).cast("long")
+    order = F.xxhash64(s.point, F.lit(7))
+    rows = df.select(*keys, part.alias("_part"), F.when(taken, F.struct(order.alias("h"), s.point.alias("p"))).alias("_x"))
+    parts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.slice(F.sort_array(F.collect_list("_x")), 1, KEEP).alias("_x"))
+    merged = parts.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.array_sort(F.transform(F.flatten(F.collect_list("_x")), lambda x: x["p"])).alias("_p"))
+    hot = merged.where((F.col("_n") > hot_rows) & (F.size("_p") > 1))
+    blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_n") / hot_rows)).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), F.col("_want") - 1), lambda i: F.get(F.col("_p"), F.floor(i * F.size("_p") / F.col("_want")).cast("int")))
+    return (hot.withColumn("_want", F.greatest(blocks, F.lit(2))).withColumn("_bounds", F.array_distinct(cut))
+            .select(*keys, (F.size("_bounds") + 1).alias(BLOCKS), "_bounds"))
+
+
+def split_hot(df: DataFrame, s: Seq, hot_rows: int = HOT_ROWS, broadcast_blocks: int = BROADCAST_BLOCKS) -> tuple[DataFrame, Seq]:
+    """Cut groups above ``hot_rows`` rows into blocks of about equal size; without any, ``df`` and ``s`` as they are."""
+    bounds = cut_lineage(hot_bounds(df, s, hot_rows))
+    total = bounds.agg(F.sum(BLOCKS)).first()[0]
+    if not total:
+        return df, s
+    keys = list(s.by)
+    small = total <= broadcast_blocks
+    d = df.withColumn("_point", s.point)
+    if small:
+        d = _join_keys(d, bounds, keys, True)
+    else:
+        # A hot key's rows meet copies of its bounds in several tasks.
+        salted = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))))
+        d = d.withColumn("_salt", F.pmod(F.xxhash64("_point"), F.lit(FAN)).cast("int"))
+        d = _join_keys(d, salted, [*keys, "_salt"], False).drop("_salt")
+    # Bounds at or below the row's tuple are counted in two steps, by every FAN-th one and then inside its run.
+    below = lambda a: F.size(F.filter(a, lambda b: b <= F.col("_point")))
+    coarse = F.filter("_bounds", lambda b, i: (i + 1) % FAN == 0)
+    d = d.withColumn("_run", below(coarse) * FAN)
+    block = F.col("_run") + below(F.slice("_bounds", F.col("_run") + 1, F.lit(FAN)))
+    d = d.withColumns({BLOCK: F.coalesce(F.when(F.col("_bounds").isNotNull(), block), F.lit(0)), BLOCKS: F.coalesce(BLOCKS, F.lit(1))})
+    return cut_lineage(d.drop("_point", "_bounds", "_run")), Seq(s.by, s.order, int(total))
 
 
 def unsplit(df: DataFrame) -> DataFrame:
@@ -110,48 +165,44 @@ def scan(df: DataFrame, s: Seq, *, lag: dict | None = None, lead: dict | None =
         cols[n] = F.last(_c(e), True).over(rw.rowsBetween(*prior))
     if not s.split:
         return df.withColumns(cols)
-    if lag:
-        cols["_first"] = F.row_number().over(w) == 1
-    if lead:
-        cols["_last"] = F.row_number().over(rw) == 1
-    local = df.withColumns(cols)
-
-    p = s.point
-    edge: dict[str, Column] = {}
-    for n, e in {**lag}.items():
-        edge[n] = F.max_by(F.struct(_c(e).alias("v")), p)
-    for n, e in {**ffill, **before}.items():
-        edge[n] = F.max_by(_c(e), F.when(_c(e).isNotNull(), p))
-    for n, e in lead.items():
-        edge[n] = F.min_by(F.struct(_c(e).alias("v")), p)
-    for n, e in {**bfill, **after}.items():
-        edge[n] = F.min_by(_c(e), F.when(_c(e).isNotNull(), p))
-    for n, e in total.items():
-        edge[n] = F.sum(_c(e))
-    for n, e in peak.items():
-        edge[n] = F.max(_c(e))
-    if index:
-        edge[index] = F.count(F.lit(1))
-    blocks = (df.where(F.col(BLOCKS) > 1).groupBy(*s.by, BLOCK)
-              .agg(*[v.alias(f"_e_{n}") for n, v in edge.items()]))
-    fw = Window.partitionBy(*s.by).orderBy(F.col(BLOCK).asc()).rowsBetween(*prior)
-    bw = Window.partitionBy(*s.by).orderBy(F.col(BLOCK).desc()).rowsBetween(*prior)
-    carry = []
-    for n in edge:
-        e = F.col(f"_e_{n}")
-        if n in lead or n in bfill or n in after:
-            v = F.last(e, True).over(bw)
-        elif n in total or n == index:
-            v = F.sum(e).over(fw)
-        elif n in peak:
-            v = F.max(e).over(fw)
-        else:
-            v = F.last(e, True).over(fw)
-        carry.append(v.alias(f"_c_{n}"))
-    carried = blocks.select(*s.by, BLOCK, *carry)
-    out = local.join(carried, [*s.by, BLOCK], "left")
+
+    # What a block's last row hands to later blocks, and its first row to earlier ones. Running columns of the row
+    # already hold the block's totals; the others carry the row's own value.
+    ahead = {n: F.struct(_c(e).alias("v")) for n, e in lag.items()} | {n: _c(e) for n, e in before.items()}
+    back = {n: F.struct(_c(e).alias("v")) for n, e in lead.items()} | {n: _c(e) for n, e in after.items()}
+    own = {f"_own{i}": e for i, e in enumerate([*ahead.values(), *back.values()])}
+    name = dict(zip([*ahead, *back], own))
+    forward = [*lag, *ffill, *before, *total, *peak, *([index] if index else [])]
+    backward = [*lead, *bfill, *after]
+    flags = {}
+    if forward:
+        flags["_last"] = F.lead(F.lit(1)).over(w).isNull()
+    if backward or lag:
+        flags["_first"] = F.lag(F.lit(1)).over(w).isNull()
+    if lead and "_last" not in flags:
+        flags["_last"] = F.lead(F.lit(1)).over(w).isNull()
+    local = cut_lineage(df.withColumns({**cols, **own, **flags}))
+    small = s.blocks <= BROADCAST_BLOCKS
+    out = local
+
+    def edge(n: str) -> Column:
+        if n in before or n in after:
+            return F.coalesce(F.col(name[n]), F.col(n))
+        return F.col(name.get(n, n))
+
+    for names, flag, direction in ((forward, "_last", F.col(BLOCK).asc()), (backward, "_first", F.col(BLOCK).desc())):
+        if not names:
+            continue
+        rows = local.where((F.col(BLOCKS) > 1) & F.col(flag)).select(*s.by, BLOCK, *[edge(n).alias(f"_e_{n}") for n in names])
+        bw = Window.partitionBy(*s.by).orderBy(direction).rowsBetween(*prior)
+        carry = []
+        for n in names:
+            e = F.col(f"_e_{n}")
+            fn = F.sum if n in total or n == index else F.max if n in peak else lambda v: F.last(v, True)
+            carry.append(fn(e).over(bw).alias(f"_c_{n}"))
+        out = _join_keys(out, rows.select(*s.by, BLOCK, *carry), [*s.by, BLOCK], small)
     fix: dict[str, Column] = {}
-    for n in edge:
+    for n in [*forward, *backward]:
         here, there = F.col(n), F.col(f"_c_{n}")
         if n in lag:
             fix[n] = F.when(F.col("_first"), there["v"]).otherwise(here)
@@ -165,8 +216,7 @@ def scan(df: DataFrame, s: Seq, *, lag: dict | None = None, lead: dict | None =
             fix[n] = F.greatest(here, there)
         else:
             fix[n] = F.coalesce(here, there)
-    return (out.withColumns(fix)
-            .drop("_first", "_last", *[f"_c_{n}" for n in edge]))
+    return out.withColumns(fix).drop("_first", "_last", *own, *[f"_c_{n}" for n in fix])
 
 
 def rolling(df: DataFrame, s: Seq, back: int, ahead: int, cols: dict, part_rows: int = 1_000_000) -> DataFrame:

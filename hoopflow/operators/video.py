@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hoopflow import fixed as K
@@ -171,15 +174,17 @@ def track_ball(frames: DataFrame, by: list[str], frame: str, x: str, y: str) ->
     return d.withColumns({"ball_x": F.coalesce("_bx", "_f._bx"), "ball_y": F.coalesce("_by", "_f._by")}).drop("_bx", "_by", "_f")
 
 
-def drift(df: DataFrame, s: Q.Seq, error: str, ends: str) -> DataFrame:
+def drift(df: DataFrame, s: Q.Seq, error: str, ends: str, hot_rows: int = Q.HOT_ROWS) -> DataFrame:
     """Median error of the first and second half of each group, and its first and last value."""
-    n = df.groupBy(*s.by).agg(F.count(F.lit(1)).alias("n"), F.min_by(ends, s.point).alias("first_v"), F.max_by(ends, s.point).alias("last_v"))
-    d, sp = Q.split_hot(df, s)
-    d = Q.unsplit(Q.scan(d, sp, index="_i")).join(n, list(s.by))
-    early = F.col("_i") <= F.floor(F.col("n") / 2)
-    med = lambda c: F.median(F.when(c, F.col(error)))
-    return d.groupBy(*s.by, "n", "first_v", "last_v").agg(
-        G.r4(med(early)).alias("first_half"), G.r4(med(~early)).alias("second_half"))
+    by = list(s.by)
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min_by(ends, s.point).alias("first_v"), F.max_by(ends, s.point).alias("last_v"))
+    d, sp = Q.split_hot(df, s, hot_rows)
+    d = Q.unsplit(Q.scan(d, sp, index="_i")).join(n.select(*by, "n"), by)
+    d = d.select(*by, (F.col("_i") <= F.floor(F.col("n") / 2)).alias("_early"), error)
+    half = AG.quantiles(d, [*by, "_early"], error, {"_med": 0.5}, hot_rows)
+    side = lambda c: G.r4(F.max(F.when(c, F.col("_med"))))
+    half = half.groupBy(*by).agg(side(F.col("_early")).alias("first_half"), side(~F.col("_early")).alias("second_half"))
+    return n.join(half, by, "left").select(*by, "n", "first_v", "last_v", "first_half", "second_half")
 
 
 # Identity ------------------------------------------------------------------------
@@ -283,90 +288,127 @@ def roster_override(players: DataFrame, link: DataFrame) -> DataFrame:
 
 
 # Homography ----------------------------------------------------------------------
-def _fit(px, py, cx, cy):
-    """Least-squares homography (normalised linear system) from pixel to court points."""
-    def norm(a, b):
-        s = math.sqrt(2) / max(float(np.mean(np.hypot(a - a.mean(), b - b.mean()))), 1e-9)
-        return np.array([[s, 0, -s * a.mean()], [0, s, -s * b.mean()], [0, 0, 1.0]])
-    tp, tc = norm(px, py), norm(cx, cy)
-    u, v = tp[0, 0] * px + tp[0, 2], tp[1, 1] * py + tp[1, 2]
-    x, y = tc[0, 0] * cx + tc[0, 2], tc[1, 1] * cy + tc[1, 2]
+def _fit(p):
+    """Least-squares maps (normalised linear systems) from pixels to the court; ``p`` is (frames, landmarks, 4)."""
+    def norm(q):
+        c = q.mean(1)
+        s = math.sqrt(2) / np.maximum(np.hypot(*(q - c[:, None]).transpose(2, 0, 1)).mean(1), 1e-9)
+        t = np.zeros((len(q), 3, 3))
+        t[:, 0, 0] = t[:, 1, 1] = s
+        t[:, :2, 2] = -s[:, None] * c
+        t[:, 2, 2] = 1
+        return t, (q - c[:, None]) * s[:, None, None]
+    (tp, uv), (tc, xy) = norm(p[..., :2]), norm(p[..., 2:])
+    (u, v), (x, y) = uv.transpose(2, 0, 1), xy.transpose(2, 0, 1)
     z, o = np.zeros_like(u), np.ones_like(u)
-    rows = np.concatenate([np.stack([u, v, o, z, z, z, -x * u, -x * v, -x], 1), np.stack([z, z, z, u, v, o, -y * u, -y * v, -y], 1)])
-    h = np.linalg.inv(tc) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ tp
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h
+    rows = np.concatenate([np.stack([u, v, o, z, z, z, -x * u, -x * v, -x], 2), np.stack([z, z, z, u, v, o, -y * u, -y * v, -y], 2)], 1)
+    h = np.linalg.inv(tc) @ np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3) @ tp
+    w = h[:, 2:, 2:]
+    return h / np.where(np.abs(w) > 1e-12, w, 1.0)
 
 
-def _residual(h, px, py, cx, cy):
-    w = h[2, 0] * px + h[2, 1] * py + h[2, 2]
-    return np.hypot((h[0, 0] * px + h[0, 1] * py + h[0, 2]) / w - cx, (h[1, 0] * px + h[1, 1] * py + h[1, 2]) / w - cy)
+def _residual(h, p):
+    """Court error of every landmark under its frame's map."""
+    q = np.concatenate([p[..., :2], np.ones((*p.shape[:2], 1))], 2) @ h.transpose(0, 2, 1)
+    return np.hypot(q[..., 0] / q[..., 2] - p[..., 2], q[..., 1] / q[..., 2] - p[..., 3])
 
 
-def _robust(a, inlier_ft):
-    """Fit, and while a landmark disagrees drop the one whose absence helps most.
+def _robust(p, inlier_ft):
+    """Maps of frames with equally many landmarks, all solved together: map, median error, landmarks that agree.
 
-    Deterministic; the landmark list is fixed and short. At the end every landmark that
-    agrees with the final map counts, also one dropped on the way.
+    While a landmark of a frame disagrees, the one whose absence helps most is dropped: the trials of all such
+    frames are one stack, so there are at most as many steps as landmarks. At the end every landmark
+    that agrees with the final map counts, also one dropped on the way.
     """
-    keep = np.ones(len(a), bool)
-    h = _fit(*a.T)
-    while keep.sum() > 4 and _residual(h, *a[keep].T).max() > inlier_ft:
-        best = None
-        for i in np.flatnonzero(keep):
-            trial = keep.copy()
-            trial[i] = False
-            g = _fit(*a[trial].T)
-            cost = float(np.sum(_residual(g, *a[trial].T) ** 2))
-            if best is None or cost < best[0]:
-                best = (cost, trial, g)
-        _, keep, h = best
-    agrees = _residual(h, *a.T) <= inlier_ft
-    return h, agrees if agrees.sum() >= 4 else keep
-
-
-FIT_SCHEMA = "struct<h: array<double>, median_ft: double, n_points: int, ok: boolean>"
+    m, n = p.shape[:2]
+    h, med, used = np.empty((m, 3, 3)), np.empty(m), np.empty(m, np.int64)
+    at, cur, fit = np.arange(m), p, _fit(p)
+    while len(at):
+        bad = (_residual(fit, cur).max(1) > inlier_ft) & (cur.shape[1] > 4)
+        done = at[~bad]
+        h[done] = fit[~bad]
+        agrees = _residual(fit[~bad], p[done])
+        agrees[agrees > inlier_ft] = np.nan
+        count = (~np.isnan(agrees)).sum(1)
+        few = count < 4
+        med[done[~few]], used[done[~few]] = np.nanmedian(agrees[~few], 1), count[~few]
+        med[done[few]], used[done[few]] = np.median(_residual(fit[~bad][few], cur[~bad][few]), 1), cur.shape[1]
+        at, cur = at[bad], cur[bad]
+        if not len(at):
+            break
+        k = cur.shape[1]
+        others = np.array([[j for j in range(k) if j != i] for i in range(k)])
+        trials = cur[:, others].reshape(-1, k - 1, 4)
+        fits = _fit(trials)
+        best = (_residual(fits, trials) ** 2).sum(1).reshape(-1, k).argmin(1) + np.arange(len(at)) * k
+        cur, fit = trials[best], fits[best]
+    return h, med, used
 
 
 def fit_homographies(keypoints: DataFrame, by: list[str], conf_floor: float = 0.5, inlier_ft: float = 8.0, max_ft: float = 2.0) -> DataFrame:
     """Pixel -> court map per frame from at least four confident landmarks.
 
-    Landmarks are nested per frame (a fixed list bounds them) and solved in Arrow batches,
-    many frames per call.
+    Landmarks are nested per frame (a fixed list bounds them). An Arrow batch is solved in stacks of frames with
+    equally many landmarks, so work in Python doesn't depend on the number of frames.
     """
     nested = (keypoints.where(F.col("conf") >= conf_floor).groupBy(*by)
-              .agg(F.sort_array(F.collect_list(F.array("px", "py", "court_x", "court_y"))).alias("_pts")))
+              .agg(F.sort_array(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("px", "py", "court_x", "court_y")]))).alias("_pts")))
 
-    @F.pandas_udf(FIT_SCHEMA)
-    def solve(pts: pd.Series) -> pd.DataFrame:
-        out = []
-        for p in pts:
-            a = np.array([list(q) for q in p], float)
-            h, med, n, ok = None, None, len(a), False
-            if len(a) >= 4:
-                h, keep = _robust(a, inlier_ft)
-                med, n = float(np.median(_residual(h, *a[keep].T))), int(keep.sum())
-                ok = med <= max_ft and n >= 4
-            out.append((None if h is None else h.ravel().tolist(), med, n, ok))
-        return pd.DataFrame(out, columns=["h", "median_ft", "n_points", "ok"])
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("_pts")
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            first = np.cumsum(n) - n
+            h, med, used = np.zeros((len(n), 9)), np.full(len(n), np.nan), n.astype(np.int64)
+            for k in np.unique(n[n >= 4]):
+                at = np.flatnonzero(n == k)
+                maps, med[at], used[at] = _robust(flat[first[at][:, None] + np.arange(k)], inlier_ft)
+                h[at] = maps.reshape(-1, 9)
+            none = n < 4
+            ok = ~none & (med <= max_ft) & (used >= 4)
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 9, pa.int32()), pa.array(h.ravel()), mask=pa.array(none))
+            yield pa.record_batch([*[b.column(c) for c in by], maps, pa.array(med, mask=none), pa.array(used, pa.int32()), pa.array(ok)], names=[*by, "h", "median_ft", "n_points", "ok"])
+
+    keys = ", ".join(f"`{c}` {nested.schema[c].dataType.simpleString()}" for c in by)
+    return nested.mapInArrow(solve, f"{keys}, h array<double>, median_ft double, n_points int, ok boolean")
 
-    return nested.select(*by, solve("_pts").alias("_r")).select(*by, "_r.*")
 
+CORNERS = [(0.0, 0.0), (94.0, 0.0), (94.0, 50.0), (0.0, 50.0)]
 
-CORNERS = [(0.0, 0.0), (0.0, 50.0), (94.0, 0.0), (94.0, 50.0)]
 
+def four_point_map(points: list[tuple[Column, Column]]) -> Column:
+    """Pixel -> court map through the four court corners, given their pixels in the order of ``CORNERS``; NULL if three are in line.
 
-def smooth_corners(fits: DataFrame, by: list[str], frame: str, window: int = 5) -> DataFrame:
-    """Average the corners' pixels over the last valid frames and refit; gaps reuse the last."""
+    The map of the unit square onto a quadrilateral has a closed form; its columns are scaled to the court and it is inverted.
+    """
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = points
+    ax, ay, bx, by = x1 - x2, y1 - y2, x3 - x2, y3 - y2
+    sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    det = ax * by - bx * ay
+    g, h = (sx * by - bx * sy) / det, (ax * sy - sx * ay) / det
+    court = F.array((x1 - x0 + g * x1) / K.LENGTH, (x3 - x0 + h * x3) / K.WIDTH, x0,
+                    (y1 - y0 + g * y1) / K.LENGTH, (y3 - y0 + h * y3) / K.WIDTH, y0, g / K.LENGTH, h / K.WIDTH, F.lit(1.0))
+    return F.when(F.abs(det) > 1e-12, court)
+
+
+def smooth_corners(fits: DataFrame, by: list[str], frame: str, window: int = 5, hold_first: bool = True) -> DataFrame:
+    """Average the corners' pixels over the last valid frames and refit; gaps reuse the last.
+
+    With ``hold_first``, frames before the first valid one keep their own map, else they have none.
+    """
     valid = fits.where("ok").withColumn("_hi", G.invert_h("h"))
     px = {f"_c{i}{a}": v for i, (x, y) in enumerate(CORNERS) for a, v in zip("xy", G.project("_hi", F.lit(x), F.lit(y)))}
     valid = valid.withColumns(px)
     s = Q.seq(by, [frame])
     means = Q.rolling(valid, s, window - 1, 0, {c: (lambda w, c=c: F.avg(c).over(w)) for c in px})
-    pts = means.select(*by, frame, F.explode(F.array(*[F.struct(F.col(f"_c{i}x").alias("px"), F.col(f"_c{i}y").alias("py"), F.lit(x).alias("court_x"),
-                                                                F.lit(y).alias("court_y"), F.lit(1.0).alias("conf")) for i, (x, y) in enumerate(CORNERS)])).alias("k")).select(*by, frame, "k.*")
-    smooth = fit_homographies(pts, [*by, frame]).select(*by, frame, F.col("h").alias("_sm"))
+    court = means.withColumn("_map", four_point_map([(F.col(f"_c{i}x"), F.col(f"_c{i}y")) for i in range(4)]))
+    back = court.withColumn("_inv", G.invert_h("_map"))
+    # Scaled so that the last entry is one, as fitted maps are.
+    smooth = back.select(*by, frame, F.transform("_inv", lambda v: v / G.h_at("_inv", 8)).alias("_sm"))
     d = fits.join(smooth, [*by, frame], "left")
-    return Q.scan(d, s, ffill={"h_smooth": "_sm"}).withColumn("h_smooth", F.coalesce("h_smooth", "h")).drop("_sm")
+    d = Q.scan(d, s, ffill={"h_smooth": "_sm"})
+    return (d.withColumn("h_smooth", F.coalesce("h_smooth", "h")) if hold_first else d).drop("_sm")
 
 
 def pick_homography(model: DataFrame, calibration: DataFrame, by: list[str], img_w: int, img_h: int, min_points: int = 6, max_ft: float = 2.0) -> DataFrame:

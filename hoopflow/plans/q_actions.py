@@ -249,8 +249,9 @@ def _(src):
 
 cte("o_picks", """SELECT state, count(*) AS n, max(true_v) AS best_true, arg_max(true_v, q*1e6 - ord) AS model,
   coalesce(arg_min(true_v, ord) FILTER (WHERE action = 'SHOOT'), arg_min(true_v, ord)) AS always_shoot,
-  coalesce(arg_max(true_v, open*1e6 - ord) FILTER (WHERE action = 'PASS_TO'), arg_min(true_v, ord)) AS pass_most_open FROM fx_cands GROUP BY state HAVING count(*) >= 2""")
-POLICIES = ["model", "always_shoot", "pass_most_open"]
+  coalesce(arg_max(true_v, open*1e6 - ord) FILTER (WHERE action = 'PASS_TO'), arg_min(true_v, ord)) AS pass_most_open,
+  arg_min(true_v, md5('0:' || state || ':' || ord)) AS random FROM fx_cands GROUP BY state HAVING count(*) >= 2""")
+POLICIES = ["model", "always_shoot", "pass_most_open", "random"]
 
 
 @query("act_baselines", f"SELECT state, n, {', '.join(f'{R(p)} AS {p}' for p in ['best_true', *POLICIES])} FROM o_picks")

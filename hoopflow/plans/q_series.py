@@ -174,7 +174,5 @@ def _(src):
   SELECT user_id, count(*) AS n, median(v) FILTER (WHERE rn <= n0//2) AS h1, median(v) FILTER (WHERE rn > n0//2) AS h2, arg_min(value, rn) AS v0, arg_max(value, rn) AS v1
   FROM (SELECT s.user_id, s.event_id, s.v, e.value, row_number() OVER (PARTITION BY s.user_id ORDER BY us, s.event_id) AS rn, count(*) OVER (PARTITION BY s.user_id) AS n0 FROM fx_series s JOIN events e USING (event_id)) GROUP BY user_id)""")
 def _(src):
-    d, s = series(src)
-    d = d.join(src("events").select("event_id", "value"), "event_id") if False else d
     return V.drift(src("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
                                         F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"), "value"), S, "v", "value")

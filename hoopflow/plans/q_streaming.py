@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from hoopflow import fixed as K
 from hoopflow.functions.geometry import r4
@@ -13,29 +13,50 @@ from hoopflow.plans.staging import fresh_path
 from hoopflow.streaming import operators as ST
 
 
-def appended(df, cut: str, name: str):
-    """Write the rows before the cut, then those after it; after each write, a stream over all files so far."""
+def appended(df, cut: str, name: str, beat: dict | None = None):
+    """Write the rows before the cut, then those after it; after each write, a stream over all files so far.
+
+    ``beat`` is written last: one row of a heartbeat, far in the future and without a key, so that the watermark passes
+    all rows and idle keys leave the state.
+    """
     path = fresh_path(df.sparkSession, name)
-    for part in (f"NOT ({cut})", cut):
-        df.where(part).write.mode("append").parquet(path)
+    parts = [df.where(f"NOT ({cut})"), df.where(cut)]
+    if beat:
+        parts.append(df.sparkSession.range(1).select(*[(beat[f.name] if f.name in beat else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
+    for part in parts:
+        part.write.mode("append").parquet(path)
         yield df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-def drained(df, cut: str, name: str, operator):
+def drained(df, cut: str, name: str, operator, beat: dict | None = None):
     """Rows of a streaming operator that is started again after each append, so that state crosses restarts and micro-batches."""
     spark = df.sparkSession
     out, ck = fresh_path(spark, name + "-out"), fresh_path(spark, name + "-ck")
-    for rows in appended(df, cut, name):
+    for rows in appended(df, cut, name, beat):
         stream = operator(rows)
         ST.run_to_table(stream, out, ck)
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: Longer than the whole series, so that a user's pause doesn't forget the last value.
+FOREVER = 10**12
+
+
+def end():
+    """A heartbeat past every idle time."""
+    return {"ts": F.timestamp_seconds(F.lit(4_000_000_000))}
+
+
 def series(src):
     s = src("fx_series").withColumn("ts", F.timestamp_micros("us"))
     return s, "us >= (1704067200000000 + 15L*86400000000)"
 
 
+def clip_time(df):
+    """Frames with the time they were taken: all clips start together, five frames a second."""
+    return df.withColumn("ts", F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("frame_idx") * 200))
+
+
 @query("st_moments_dedup", "SELECT DISTINCT game_id, quarter, game_clock, player_id FROM fx_tracking_b")
 def _(src):
     t = src("fx_tracking_b").select("game_id", "event_id", "quarter", "game_clock", "player_id", F.timestamp_millis("unix_ms").alias("ts"))
@@ -44,46 +65,50 @@ def _(src):
 
 
 @query("st_ffill_diff", f"""SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS filled,
-  {R('v - lag(v) OVER (PARTITION BY user_id ORDER BY us, event_id)')} AS diff FROM fx_series""")
+  {R('v - lag(v) OVER (PARTITION BY user_id ORDER BY us, event_id)')} AS diff FROM fx_series WHERE user_id IS NOT NULL""")
 def _(src):
     d, cut = series(src)
-    return drained(d, cut, "ffill", lambda s: ST.ffill_diff(s, "user_id", "us", "event_id", "v")).select("event_id", "filled", r4("diff").alias("diff"))
+    once = lambda s: ST.ffill_diff(s, "user_id", "ts", ["us", "event_id"], "event_id", "v", idle_ms=FOREVER)
+    return drained(d, cut, "ffill", once, end()).select("event_id", "filled", r4("diff").alias("diff"))
 
 
-cte("o_hold7", "SELECT *, count(*) OVER (PARTITION BY user_id, run) AS len, max(run) OVER (PARTITION BY user_id) AS last_run FROM o_r7t")
+cte("o_hold7", "SELECT *, count(*) OVER (PARTITION BY user_id, run) AS len FROM o_r7t")
 cte("o_r7t", """SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM
  (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY us, event_id) THEN 0 ELSE 1 END AS chg FROM fx_series)""")
 
 
-@query("st_min_hold", "SELECT event_id, CASE WHEN len >= 3 THEN event_type END AS held FROM o_hold7 WHERE len >= 3 OR run < last_run")
+@query("st_min_hold", "SELECT event_id, CASE WHEN len >= 3 THEN event_type END AS held FROM o_hold7")
 def _(src):
     d, cut = series(src)
-    return drained(d, cut, "hold", lambda s: ST.min_hold(s, "user_id", "us", "event_id", "event_type", 3)).select("event_id", "held")
+    once = lambda s: ST.min_hold(s, "user_id", "ts", ["us", "event_id"], "event_id", "event_type", 3, idle_ms=FOREVER)
+    return drained(d, cut, "hold", once, end()).select("event_id", "held")
 
 
 @query("st_clock_validate", "SELECT clip_id, frame_idx, acc AS clock FROM o_cacc")
 def _(src):
-    f = src("fx_video_frames").select("clip_id", "frame_idx", "clock_read")
-    return drained(f, "frame_idx >= 12", "clock", lambda s: ST.clock_validate(s, "clip_id", "frame_idx", "clock_read"))
+    f = clip_time(src("fx_video_frames")).select("clip_id", "frame_idx", "clock_read", "ts")
+    return drained(f, "frame_idx >= 12", "clock", lambda s: ST.clock_validate(s, "clip_id", "ts", "frame_idx", "clock_read"), end())
 
 
 @query("st_gate_track", f"SELECT clip_id, frame_idx, {R('x')} AS ball_x, {R('y')} AS ball_y FROM o_bfold WHERE i > 0")
 def _(src):
     b = src("fx_detections").where("cls = 'ball'").selectExpr("clip_id", "frame_idx", "(x1 + x2)/2 AS bx", "(y1 + y2)/2 AS b_y")
-    f = src("fx_video_frames").select("clip_id", "frame_idx").join(b, ["clip_id", "frame_idx"], "left")
-    return drained(f, "frame_idx >= 12", "ball", lambda s: ST.gate_track(s, "clip_id", "frame_idx", "bx", "b_y")).select("clip_id", "frame_idx", r4("ball_x").alias("ball_x"), r4("ball_y").alias("ball_y"))
+    f = clip_time(src("fx_video_frames").select("clip_id", "frame_idx")).join(b, ["clip_id", "frame_idx"], "left")
+    track = lambda s: ST.gate_track(s, "clip_id", "ts", "frame_idx", "bx", "b_y")
+    return drained(f, "frame_idx >= 12", "ball", track, end()).select("clip_id", "frame_idx", r4("ball_x").alias("ball_x"), r4("ball_y").alias("ball_y"))
 
 
-cte("o_sess", """SELECT user_id, sid, min(us) AS start_us, max(us) + 7200000000 AS end_us, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us, event_id) AS sid FROM
-  (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) < 7200000000 THEN 0 ELSE 1 END AS brk FROM fx_series)) GROUP BY user_id, sid""")
+cte("o_sess", """SELECT user_id, sid - 1 AS segment, min(us) AS start_us, max(us) AS last_us, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us, event_id) AS sid FROM
+  (SELECT *, CASE WHEN us - lag(us) OVER w < 7200000000 AND NOT coalesce(v - lag(v) OVER w > 30, false) THEN 0 ELSE 1 END AS brk FROM fx_series WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))) GROUP BY user_id, sid""")
 
 
-@query("st_possession_sessions", "SELECT user_id, start_us, end_us, n FROM o_sess WHERE end_us < (SELECT max(us) FROM fx_series) - 1000")
+@query("st_possession_sessions", "SELECT user_id, CAST(segment AS BIGINT) AS segment, start_us, last_us, n FROM o_sess")
 def _(src):
+    # A gap leaves the state store too, so segments are numbered from the start of each stay and counted on below.
     d, cut = series(src)
-    s = drained(d, cut, "sess", lambda s: ST.sessions(s, ["user_id"], "ts", "2 hours", "0 seconds"))
-    us = lambda c: F.unix_micros(c)
-    return s.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "n")
+    s = drained(d, cut, "sess", lambda s: ST.sessions(s, "user_id", "ts", ["event_id"], "v", 7_200_000, 30.0), end())
+    w = Window.partitionBy("user_id").orderBy("start_us", "last_us", "segment")
+    return s.select("user_id", (F.row_number().over(w) - 1).cast("long").alias("segment"), "start_us", "last_us", "n")
 
 
 @query("st_quality_windows", f"""SELECT w*21600000000 AS start_us, count(*) AS n, {R('avg(v)')} AS mean_v, {R("avg(CAST(event_type = 'view' AS DOUBLE))")} AS view_rate

@@ -197,6 +197,31 @@ def _(src):
     return f.select("clip_id", "frame_idx", "ok", r4(x).alias("court_x"), r4(y).alias("court_y"))
 
 
+# Corners in turn: 0 (0, 0), 1 (94, 0), 2 (94, 50), 3 (0, 50); ``i`` is the inverse of h.
+_AT = lambda row, x, y: f"(i[{3 * row + 1}]*{x} + i[{3 * row + 2}]*{y} + i[{3 * row + 3}])"
+_PX = ", ".join(f"{_AT(0, x, y)}/{_AT(2, x, y)} AS x{n}, {_AT(1, x, y)}/{_AT(2, x, y)} AS y{n}" for n, (x, y) in enumerate([(0, 0), (94, 0), (94, 50), (0, 50)]))
+cte("o_corner_px", f"""SELECT clip_id, frame_idx, {_PX} FROM (SELECT clip_id, frame_idx, list_transform([m*r - n*q, l*q - k*r, k*n - l*m, n*p - j*r, h0*r - l*p, l*j - h0*n, j*q - m*p, k*p - h0*q, h0*m - k*j],
+    lambda v: v/(h0*(m*r - n*q) + k*(n*p - j*r) + l*(j*q - m*p))) AS i FROM
+  (SELECT clip_id, frame_idx, h[1] AS h0, h[2] AS k, h[3] AS l, h[4] AS j, h[5] AS m, h[6] AS n, h[7] AS p, h[8] AS q, h[9] AS r FROM fx_homographies WHERE reproj_ft <= 2))""")
+cte("o_corner_mean", f"""SELECT clip_id, frame_idx, {', '.join(f'avg({a}{n}) OVER w AS {a}{n}' for n in range(4) for a in 'xy')} FROM o_corner_px
+  WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+cte("o_corner_map", """SELECT clip_id, frame_idx, x1 - x0 + g*x1 AS a, x3 - x0 + h*x3 AS b, x0 AS c, y1 - y0 + g*y1 AS d, y3 - y0 + h*y3 AS e, y0 AS f, g, h FROM
+  (SELECT *, ((x0-x1+x2-x3)*(y3-y2) - (x3-x2)*(y0-y1+y2-y3))/det AS g, ((x1-x2)*(y0-y1+y2-y3) - (x0-x1+x2-x3)*(y1-y2))/det AS h FROM
+    (SELECT *, (x1-x2)*(y3-y2) - (x3-x2)*(y1-y2) AS det FROM o_corner_mean))""")
+# The point (640, 400) goes through the inverse of [[a, b, c], [d, e, f], [g, h, 1]] to the unit square, then to the court's size.
+cte("o_corner_pt", """SELECT clip_id, frame_idx, 94*((e - f*h)*640 + (c*h - b)*400 + (b*f - c*e))/w AS x, 50*((f*g - d)*640 + (a - c*g)*400 + (c*d - a*f))/w AS y FROM
+  (SELECT *, (d*h - e*g)*640 + (b*g - a*h)*400 + (a*e - b*d) AS w FROM o_corner_map)""")
+
+
+@query("win_corner_smooth_maps", f"""SELECT f.clip_id, f.frame_idx, {R('last_value(x IGNORE NULLS) OVER w')} AS court_x, {R('last_value(y IGNORE NULLS) OVER w')} AS court_y FROM fx_homographies f
+  LEFT JOIN o_corner_pt p ON p.clip_id = f.clip_id AND p.frame_idx = f.frame_idx WINDOW w AS (PARTITION BY f.clip_id ORDER BY f.frame_idx ROWS UNBOUNDED PRECEDING)""")
+def _(src):
+    f = src("fx_homographies").select("clip_id", "frame_idx", "h", (F.col("reproj_ft") <= 2).alias("ok"))
+    f = V.smooth_corners(f, ["clip_id"], "frame_idx", hold_first=False)
+    x, y = G.project("h_smooth", F.lit(640.0), F.lit(400.0))
+    return f.select("clip_id", "frame_idx", r4(x).alias("court_x"), r4(y).alias("court_y"))
+
+
 @query("join_homography_source", f"""SELECT clip_id, frame_idx, CASE WHEN n_inliers >= 6 AND reproj_ft <= 2 AND plausible THEN 'model' ELSE 'calibration' END AS source,
   {R('CASE WHEN n_inliers >= 6 AND reproj_ft <= 2 AND plausible THEN f.h[1] ELSE c.h[1] END * 1000')} AS h0 FROM fx_homographies f JOIN o_plausible USING (clip_id, frame_idx) LEFT JOIN fx_calibrations c USING (clip_id)""")
 def _(src):
@@ -304,9 +329,9 @@ def _(src):
 
 
 @query("agg_regret", " UNION ALL ".join(f"""SELECT '{p}' AS policy, count(*) AS n, {R('avg(CAST(r <= 1e-6 AS DOUBLE))')} AS right_rate, {R('avg(CAST(r <= 0.15 AS DOUBLE))')} AS right_or_defensible,
-  {R('avg(CAST(r >= 0.3 AS DOUBLE))')} AS wrong_rate, {R('avg(r)')} AS mean_regret FROM (SELECT best_true - {p} AS r FROM o_picks)""" for p in ("model", "always_shoot", "pass_most_open")))
+  {R('avg(CAST(r >= 0.3 AS DOUBLE))')} AS wrong_rate, {R('avg(r)')} AS mean_regret FROM (SELECT best_true - {p} AS r FROM o_picks)""" for p in AG.POLICIES))
 def _(src):
-    d = AG.regret(src("fx_cands"), ["state"], ["model", "always_shoot", "pass_most_open"])
+    d = AG.regret(src("fx_cands"), ["state"])
     return d.select("policy", "n", *[r4(c).alias(c) for c in ("right_rate", "right_or_defensible", "wrong_rate", "mean_regret")])
 
 
@@ -371,9 +396,10 @@ def _(src):
     return (train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))).select("event_id", "part")
 
 
-@query("ord_cap", "SELECT game, event_id FROM (SELECT game, event_id, dense_rank() OVER (ORDER BY game) AS g FROM fx_rates) WHERE g <= 30")
+@query("ord_cap", "SELECT game, event_id, dense_rank() OVER (ORDER BY game) AS group_pos, dense_rank() OVER (ORDER BY game) <= 30 AS inside FROM fx_rates")
 def _(src):
-    return O.first_groups(src("fx_rates"), "game", 30).select("game", "event_id")
+    # Every row comes back: the cap is a flag on the games beyond it.
+    return O.capped_groups(src("fx_rates"), "game", 30).select("game", "event_id", "group_pos", "inside")
 
 
 @query("ord_best_frame", f"""SELECT clip_id, arg_max(event_id, conf + 0.05e0*n_players - event_id*1e-9) AS event_id FROM (SELECT clip_id, event_id, n_players, rim_x/100 AS conf FROM fx_recs WHERE handler_id IS NOT NULL) WHERE conf >= 0.6 AND n_players >= 8 GROUP BY clip_id""")

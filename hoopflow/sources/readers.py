@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from hoopflow import fixed as K
 from hoopflow.functions import scalars as S
+from hoopflow.operators.ranking import global_rank
 
 _PLAYERS = "array<struct<playerid: bigint, firstname: string, lastname: string, jersey: string, position: string>>"
 _TEAM = f"struct<teamid: bigint, abbreviation: string, name: string, players: {_PLAYERS}>"
@@ -16,7 +17,7 @@ GAME_SCHEMA = (f"gameid string, gamedate string, events array<struct<eventId: st
 def game_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Sorted listing of game files with a position for slicing; reads no content."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
-    return f.withColumn("pos", F.row_number().over(Window.orderBy("path")))
+    return global_rank(f, ["path"], "pos")[0]
 
 
 def read_games(spark: SparkSession, paths, events_only: bool = False) -> DataFrame:
