@@ -68,10 +68,10 @@ def expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def split_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Parts of space + text of every text, dictionary-encoded, and the part offsets of the texts. Null and empty have none."""
+def split_parts(texts: pa.Array, lead: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Parts of every text, with ``lead`` after a space, dictionary-encoded, and the part offsets of the texts. Null and empty have none."""
     texts = texts.cast(pa.large_string()).fill_null("")
-    led = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+    led = texts if not lead else pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
     data, offsets = utf8(led)
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 2:

@@ -9,6 +9,8 @@ shuffle). The best solution of a block wins. Bins of poor fill from all blocks a
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 import zlib
 from array import array
@@ -20,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hoopflow.llm.align import split_parts
+from hoopflow.llm.bpe import _LATIN
+from hoopflow.llm.text import row_slices, utf8
 from hoopflow.session import cut_lineage
 
-_OTHER_BLANK = re.compile(r"[^\S \n]")
+_LATIN_PART = re.compile(" ?[" + "".join(map(re.escape, _LATIN)) + "]+")
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 2, 2, 3, 4
 
 
@@ -32,67 +37,71 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Token ids of texts by the ``tokenizers`` file at ``path``.
+    """Token ids of texts by the byte-level ``tokenizers`` file at ``path``.
 
-    A text whose only blanks are single inner spaces and line breaks apart from them is cut before each
-    space: byte-level pre-tokens never cross such a place, so parts are encoded once and
-    remembered. Parts are encoded from the ranks of the same vocabulary, which is several times faster
-    and gives the same ids (tested); every other text is encoded whole by ``tokenizers``.
-    The memory is emptied at ``limit`` parts.
+    Byte-level pre-tokens never cross the place before a single space between visible characters, so texts are cut there and
+    the distinct parts of a batch are encoded once and remembered. Parts of Latin characters are encoded from
+    the ranks of the same vocabulary, which is several times faster and gives the same ids (tested); the others, and
+    parts that may hold a special token, by ``tokenizers``. The memory is emptied at ``limit`` characters.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
-        import base64
-        import os
-
+    def __init__(self, path: str, limit: int = 1 << 22):
         import public_tokenizers
         import tiktoken
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.model, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.model, self.limit = Tokenizer.from_file(path), limit
         with open(os.path.splitext(path)[0] + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.part = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> np.ndarray:
-        parts = text.split(" ")
-        # "<|": a special token; blanks beside a space join into one pre-token with it.
-        if "<|" in text or "" in parts or _OTHER_BLANK.search(text) or any(p[0] == "\n" or p[-1] == "\n" for p in parts):
-            return np.array(self._whole([text])[0], np.uint32)
-        keys = [parts[0], *(" " + p for p in parts[1:])]
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def _learn(self, parts: list[str]) -> None:
+        fast, known = self.part, self.known
+        slow = []
+        for p in parts:
+            if _LATIN_PART.fullmatch(p) and "<|" not in p:
+                known[p] = array("I", fast(p)).tobytes()
+            else:
+                slow.append(p)
+        for p, e in zip(slow, self.model.encode_batch(slow, add_special_tokens=False)):
+            known[p] = array("I", e.ids).tobytes()
+        self.held += sum(map(len, parts))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Native 32-bit ids of every text; null is empty."""
+        if self.held > self.limit:
+            self.known, self.held = {}, 0
+        coded, offsets = split_parts(texts, lead=False)
+        parts = coded.dictionary.to_pylist()
         known = self.known
-        new = [k for k in dict.fromkeys(keys) if k not in known]
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(dict.fromkeys(keys))
-            for k in new:
-                known[k] = array("I", self.part(k)).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, keys)), np.uint32)
+        self._learn([p for p in parts if p not in known])
+        ids = list(map(known.__getitem__, parts)).__getitem__
+        at, cuts = coded.indices.to_numpy(zero_copy_only=False).tolist(), offsets.tolist()
+        return [b"".join(map(ids, at[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
         for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(batch.column("_text")):
-                text = t.as_py()
-                ids = np.append(encode(text) if text else np.zeros(0, np.uint32), np.uint32(end_id)).astype("<u4")
-                n = len(ids)
-                cuts = [0, *range(n % capacity or min(n, capacity), n, capacity), n] if n > capacity else [0, n]
-                for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    row.append(i)
-                    piece.append(p)
-                    start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(ids[a:b].tobytes()))
-            yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
-                                   "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+            text = batch.column("_text")
+            for lo, hi in row_slices(utf8(text)[1]):
+                row, piece, start, length, crc = [], [], [], [], []
+                for i, raw in enumerate(encode(text.slice(lo, hi - lo)), lo):
+                    ids = np.append(np.frombuffer(raw, np.uint32), np.uint32(end_id)).astype("<u4")
+                    n = len(ids)
+                    cuts = [0, *range(n % capacity or min(n, capacity), n, capacity), n] if n > capacity else [0, n]
+                    for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                        row.append(i)
+                        piece.append(p)
+                        start.append(a)
+                        length.append(b - a)
+                        crc.append(zlib.crc32(ids[a:b].tobytes()))
+                yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
+                                       "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
     return run
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,7 +238,9 @@ def test_packing_round_trip(odd, docs):
 @pytest.mark.parametrize("text", ["a  b", "a\n b", " a", "a ", "a\tb c", "it's <|endoftext|> x", "a b c", "", "x\n\ny z 12's"])
 def test_encoder_equals_the_tokenizer(text):
     encode = packing.Encoder(packing.tokenizer_path())
-    assert encode(text).tolist() == encode.model.encode(text, add_special_tokens=False).ids
+    for around in ([text], ["", text, None, text + " b", " "]):
+        got = [np.frombuffer(x, np.uint32).tolist() for x in encode(pa.array(around, pa.string()))]
+        assert got == [encode.model.encode(t or "", add_special_tokens=False).ids for t in around]
 
 
 def test_tiles_take_the_longest_first_and_any_order():
