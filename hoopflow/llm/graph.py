@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoopflow.session import cut_lineage
+from hoopflow.llm.store import step
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     the skew join. Each round is written to the shared checkpoint folder. Ends when a
     round changes nothing. Nodes without edges do not appear.
     """
-    e = cut_lineage(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    e = step(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
                     .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
                  .select("x.*").where("u <> v").distinct())
-        nxt = cut_lineage(small)
+        nxt = step(small)
         state = tuple(nxt.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if state == seen or state[0] == 0:
             break

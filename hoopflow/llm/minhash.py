@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from hoopflow.llm.graph import components
 from hoopflow.llm.repeats import LAST
+from hoopflow.llm.store import release, step
 from hoopflow.llm.text import gram_hashes, mix, row_slices, utf8, word_hashes
-from hoopflow.session import checkpoint_root, cut_lineage
+from hoopflow.session import checkpoint_root
 
 BASE, BANDS, ROWS = 1.05, 32, 4
 REGISTERS = BANDS * ROWS
@@ -194,6 +195,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Written compressed to the shared checkpoint folder and read again: for wide rows, of which later steps need some columns."""
     path = f"{checkpoint_root(df.sparkSession)}/near-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -212,14 +214,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sketch = stored(plain.mapInArrow(_sketch(words), "_id long, n long, hi long, lo long, k binary"))
     filled = sketch.where("n > 0")
     classes = stored(filled.groupBy("n", "hi", "lo").agg(F.min("_id").alias("rep"), F.min_by("k", "_id").alias("k")))
-    tied = cut_lineage(filled.select("_id", "n", "hi", "lo").join(classes.select("n", "hi", "lo", "rep"), ["n", "hi", "lo"]).select("_id", "rep"))
+    tied = step(filled.select("_id", "n", "hi", "lo").join(classes.select("n", "hi", "lo", "rep"), ["n", "hi", "lo"]).select("_id", "rep"))
     # Rows of one id may have different sets: the id ties their classes.
     many = tied.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("_id", "a")
     own = tied.join(many, "_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     members = classes.select("rep", "n", "k").mapInArrow(_bands, "rep long, n long, band int, key long")
     shared = members.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
-    near = cut_lineage(members.join(shared, "key"))
-    wanted = cut_lineage(near.select(F.col("rep").alias("_id")).distinct())
+    near = step(members.join(shared, "key"))
+    wanted = step(near.select(F.col("rep").alias("_id")).distinct())
     sets = stored(_only(plain, wanted).mapInArrow(_full_sets(words), "_id long, s binary, f binary"))
     regs = classes.select("rep", "n", "k").join(wanted.toDF("rep"), "rep", "left_semi")
 
@@ -227,30 +229,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         """Pairs (a, b) that neither the likelihood estimate nor the 16-bit values exclude and the full sets confirm."""
         a, b = regs.toDF("a", "na", "ka"), regs.toDF("b", "nb", "kb")
         sized = pairs.join(a, "a").join(b, "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
-        fit = cut_lineage(sized.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_estimates, "a long, b long, e double").where(F.col("e") >= percent / 100 - MARGIN).select("a", "b"))
+        fit = step(sized.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_estimates, "a long, b long, e double").where(F.col("e") >= percent / 100 - MARGIN).select("a", "b"))
         for column, check in (("f", _possible), ("s", _confirm)):
             sa, sb = (_only(sets.select("_id", column), fit.select(F.col(c).alias("_id")).distinct()).toDF(c, f"{column}{c}") for c in ("a", "b"))
-            fit = cut_lineage(fit.join(sa, "a").join(sb, "b").mapInArrow(check(percent), "a long, b long"))
+            fit = step(fit.join(sa, "a").join(sb, "b").mapInArrow(check(percent), "a long, b long"))
         return fit
 
     links, comp = own, None
-    for step in range(STEPS):
+    for number in range(STEPS):
         placed = near.withColumn("component", F.col("rep")) if comp is None else (
             near.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
         # Any class may lead. It leaves the bucket after its comparison; a bucket of one component has no more to find.
-        lead = (placed.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(step))).alias("lead"),
+        lead = (placed.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(number))).alias("lead"),
                                           F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "lead"))
-        led = cut_lineage(placed.join(lead, "key").where("rep <> lead.rep").select("key", "rep", "component", "lead"))
+        led = step(placed.join(lead, "key").where("rep <> lead.rep").select("key", "rep", "component", "lead"))
         pairs = (led.where("component <> lead.component")
                  .select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct())
         near = led.select("key", "rep")
-        links = cut_lineage(links.union(confirmed(pairs)))
+        links = step(links.union(confirmed(pairs)))
         comp = components(links)
 
     placed = near.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    left = cut_lineage(placed.join(mixed, "key", "left_semi").select("rep", "component").distinct())
-    rare = cut_lineage(_rare_shingles(sets, left, percent))
+    left = step(placed.join(mixed, "key", "left_semi").select("rep", "component").distinct())
+    rare = step(_rare_shingles(sets, left, percent))
     x, y = rare.alias("x"), rare.alias("y")
     # A linked pair's first common shingle leaves enough of both sets behind it for the overlap that its sizes need.
     room = (1 + F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r"))) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent

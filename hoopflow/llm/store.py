@@ -1,0 +1,26 @@
+"""Steps that leave nothing behind but their result."""
+
+from __future__ import annotations
+
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hoopflow.session import cut_lineage
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps.
+
+    It deletes them once the driver's objects of a step are collected, which a driver with little garbage of its
+    own does seldom; jobs of many steps would keep all their shuffles on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def step(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, without its lineage and, soon, its shuffle files."""
+    out = cut_lineage(df)
+    release(df.sparkSession)
+    return out
