@@ -38,14 +38,14 @@ def leaked_ids(text, ids: Column) -> Column:
 
 
 def violations(fields: dict[str, Column], allowed: Column, ids: Column) -> Column:
-    """All audit messages of a four-field rationale; empty means acceptable."""
-    text = F.concat_ws(" ", *fields.values())
-    empty = [F.when(F.coalesce(F.trim(v), F.lit("")) == "", F.lit(f"empty field: {n}")) for n, v in fields.items()]
-    return F.concat(
-        F.array_compact(F.array(F.when(has_coordinate(text), F.lit("coordinate-like token found")))),
-        F.transform(leaked_ids(text, ids), lambda i: F.concat(F.lit("raw player_id "), i, F.lit(" leaked into prose"))),
-        F.transform(fabricated(text, allowed), lambda n: F.concat(F.lit("fabricated number in output: "), n.cast("string"))),
-        F.array_compact(F.array(*empty)))
+    """What speaks against a rationale of these fields, one entry each; none means acceptable."""
+    said = F.concat_ws(" ", *fields.values())
+    blank = {n: F.coalesce(F.trim(v), F.lit("")) == "" for n, v in fields.items()}
+    found = [F.array(F.when(c, F.lit(f"nothing written for {n}"))) for n, c in blank.items()]
+    found += [F.array(F.when(has_coordinate(said), F.lit("gives a position in coordinates"))),
+              F.transform(fabricated(said, allowed), lambda n: F.format_string("states %s, which is not in the brief", n.cast("string"))),
+              F.transform(leaked_ids(said, ids), lambda i: F.format_string("mentions player %s by id", i))]
+    return F.array_compact(F.concat(*found))
 
 
 # Fixed routing words, tried in this order.

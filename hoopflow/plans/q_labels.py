@@ -17,8 +17,8 @@ from hoopflow.sources import readers as RD
 
 
 # Game documents -----------------------------------------------------------------
-def game_documents(src) -> str:
-    """Game files (gzip) written from the tracking view, one document per file."""
+def game_documents(src, compression: str = "none") -> str:
+    """Game files written from the tracking view, one document per file."""
     t = src("fx_tracking")
     num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     ent = F.concat(F.lit("["), F.concat_ws(",", "team_id", "player_id", "x", "y", "z"), F.lit("]"))
@@ -37,19 +37,19 @@ def game_documents(src) -> str:
            .select(F.concat(F.lit('{"gameid":"'), "game_id", F.lit('","gamedate":"2015-12-01","events":['),
                             F.array_join(F.transform("es", lambda e: e["b"]), ","), F.lit("]}")).alias("value")))
     path = fresh_path(src.spark, "games")
-    doc.write.option("maxRecordsPerFile", 1).option("compression", "gzip").mode("overwrite").format("text").save(path)
+    doc.write.option("maxRecordsPerFile", 1).option("compression", compression).mode("overwrite").format("text").save(path)
     return path
 
 
-def games(src):
-    p = game_documents(src)
-    # The text writer names its files .txt.gz; documents are read by content all the same.
-    return RD.read_games(src.spark, p)
+def game_events(src):
+    return RD.read_events(src.spark, game_documents(src))
 
 
-@query("src_tracking_json", "SELECT game_id, count(DISTINCT event_id) AS n_events FROM fx_tracking GROUP BY game_id")
+@query("src_tracking_json", "SELECT game_id, count(DISTINCT event_id) AS n_events, count(DISTINCT event_id) AS n_sides FROM fx_tracking GROUP BY game_id")
 def _(src):
-    return games(src).select(F.col("gameid").alias("game_id"), F.size("events").cast("long").alias("n_events"))
+    e = game_events(src)
+    sides = F.count_if(F.col("ev.home.teamid").isNotNull() & F.col("ev.visitor.teamid").isNotNull())
+    return e.groupBy("game_id").agg(F.count_distinct("ev.eventId").alias("n_events"), sides.alias("n_sides"))
 
 
 _FLAT = "SELECT game_id, CAST(event_id AS VARCHAR) AS event_id, quarter, game_clock, shot_clock, unix_ms, team_id, player_id, x, y, z, is_ball FROM fx_tracking"
@@ -57,12 +57,12 @@ _FLAT = "SELECT game_id, CAST(event_id AS VARCHAR) AS event_id, quarter, game_cl
 
 @query("src_moments_flatten", _FLAT)
 def _(src):
-    return RD.moments(games(src)).drop("event_pos", "moment_pos", "entity_pos")
+    return RD.moments(game_events(src)).drop("event_pos", "moment_pos", "entity_pos")
 
 
 @query("flt_valid_moments", "SELECT game_id, count(*) AS kept FROM fx_tracking GROUP BY game_id")
 def _(src):
-    return RD.moments(games(src)).groupBy("game_id").agg(F.count(F.lit(1)).alias("kept"))
+    return RD.moments(game_events(src)).groupBy("game_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 _ROSTER = "SELECT game_id, team_id, team_abbr, side, player_id, firstname, lastname, jersey, position FROM fx_roster, (SELECT DISTINCT game_id FROM fx_tracking)"
@@ -70,23 +70,28 @@ _ROSTER = "SELECT game_id, team_id, team_abbr, side, player_id, firstname, lastn
 
 @query("src_roster_flatten", _ROSTER)
 def _(src):
-    return RD.roster(games(src))
+    return RD.roster(game_events(src))
 
 
 @query("set_dedup_roster", "SELECT game_id, count(*) AS n, count(DISTINCT player_id) AS d FROM (" + _ROSTER + ") GROUP BY game_id")
 def _(src):
-    return RD.roster(games(src)).groupBy("game_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("player_id").alias("d"))
+    return RD.roster(game_events(src)).groupBy("game_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("player_id").alias("d"))
 
 
-@query("set_union_rosters", "SELECT side, count(*) AS n FROM fx_roster GROUP BY side")
+@query("set_union_rosters", """SELECT team_id, side, count(*) AS n FROM (SELECT c_nationkey AS team_id, 'home' AS side, c_custkey AS player_id FROM customer
+  UNION SELECT s_nationkey, 'visitor', s_suppkey FROM supplier) GROUP BY ALL""")
 def _(src):
-    r = src("fx_roster")
-    return r.where("side = 'home'").unionByName(r.where("side = 'visitor'")).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    # A nation's customers are its home roster, its suppliers the one it travels with.
+    home = src("customer").select(F.col("c_nationkey").alias("team_id"), F.lit("home").alias("side"), F.col("c_custkey").alias("player_id"))
+    away = src("supplier").select(F.lit("visitor").alias("side"), F.col("s_suppkey").alias("player_id"), F.col("s_nationkey").alias("team_id"))
+    both = home.unionByName(away).dropDuplicates(["team_id", "side", "player_id"])
+    return both.groupBy("team_id", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_game_listing", "SELECT DISTINCT game_id FROM fx_tracking")
 def _(src):
-    p = game_documents(src)
+    # The text writer names these files .txt.gz; documents are read by content all the same.
+    p = game_documents(src, "gzip")
     listing = RD.game_files(src.spark, p).select("path", "pos")
     g = RD.read_games(src.spark, p).select(F.col("gameid").alias("game_id"), F.col("_metadata.file_path").alias("path"))
     # Listing and content agree on the file; scheme prefixes differ, names do not.

@@ -162,7 +162,7 @@ def _(src):
 @query("sink_feature_cache", f"SELECT game_id, count(*) AS n, {R('avg(x)')} AS mean_x FROM fx_tracking GROUP BY game_id")
 def _(src):
     path = fresh_path(src.spark, "cache")
-    SK.write_by_game(src("fx_tracking"), path)
+    SK.write_by_game(src("fx_tracking"), path, ["event_id", "unix_ms", "player_id"])
     back = src.spark.read.schema(src("fx_tracking").schema).parquet(path)
     return back.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"), r4(F.avg("x")).alias("mean_x"))
 
@@ -170,7 +170,7 @@ def _(src):
 @query("src_feature_cache", "SELECT game_id, count(*) AS n FROM fx_tracking WHERE game_id >= '0000000002' GROUP BY game_id")
 def _(src):
     path = fresh_path(src.spark, "cache")
-    SK.write_by_game(src("fx_tracking"), path)
+    SK.write_by_game(src("fx_tracking"), path, ["event_id", "unix_ms", "player_id"])
     back = src.spark.read.schema(src("fx_tracking").schema).parquet(path)
     return back.where("game_id >= '0000000002'").groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -224,13 +224,15 @@ def _(src):
     return calibration_files(src).select("time", F.col("n_points").cast("long").alias("n_points"), r4("reproj_error_ft").alias("reproj_error_ft"))
 
 
-@query("src_link_roster", "SELECT jersey, team_abbr AS team, lastname AS name FROM fx_roster WHERE jersey IS NOT NULL")
+@query("src_link_roster", "SELECT c_custkey % 100 AS jersey, n_name AS team, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(src):
-    r = src("fx_roster").where("jersey IS NOT NULL")
-    t = r.groupBy(F.col("team_abbr").alias("id")).agg(F.collect_list(F.struct("jersey", F.col("lastname").alias("name"))).alias("players"))
-    doc = t.groupBy().agg(F.collect_list(F.struct("id", "players")).alias("teams"))
-    d = RD.link_roster(src.spark, stage(doc, "json", "link"))
-    return d.select(F.col("jersey").cast("long").alias("jersey"), "team", "name")
+    # A nation's customers are the players of its teams of 500; every roster file holds one team.
+    c = src("customer").join(src("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    team = c.groupBy("n_name", F.floor(F.col("c_custkey") / 500).alias("squad")).agg(F.collect_list(F.struct((F.col("c_custkey") % 100).alias("jersey"), F.col("c_name").alias("name"))).alias("players"))
+    doc = team.select(F.array(F.struct(F.col("n_name").alias("id"), "players")).alias("teams"))
+    path = fresh_path(src.spark, "link")
+    doc.write.option("maxRecordsPerFile", 1).json(path)
+    return RD.link_roster(src.spark, path).select(F.col("jersey").cast("long").alias("jersey"), "team", "name")
 
 
 @query("src_priors_config", "SELECT 'team ' || CAST(n_nationkey AS VARCHAR) AS team_name, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS emphasis, 0e0 AS min_epv FROM nation")

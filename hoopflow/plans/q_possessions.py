@@ -10,6 +10,7 @@ from hoopflow.operators import possessions as P, sequence as Q
 from hoopflow.operators.state import unnest
 from hoopflow.plans.q_geometry import zone_sql
 from hoopflow.plans.registry import R, cte, query
+from hoopflow.session import cut_lineage
 
 # Frames as the oracle sees them: long rows, windows per event / entity.
 cte("o_votes", """SELECT event_id, team_id, count(*) AS votes, max(game_clock) AS seen FROM (
@@ -81,10 +82,17 @@ def who_holds_where(src):
 
 @query("sink_frame_table", f"""SELECT possession_id, frame_idx, player_id, team_id, side, {R('x')} AS x, {R('y')} AS y, {R('vx')} AS vx, {R('vy')} AS vy FROM o_players""")
 def _(src):
-    # The table the sink writes, read back by unnesting its players array.
+    from hoopflow.plans.staging import fresh_path
     from hoopflow.sources import sinks
+    path = fresh_path(src.spark, "frames")
     t = sinks.frame_table(frames(src))
-    return (unnest(t, "players", "p")
+    sinks.write_by_game(t, path, ["possession_id", "frame_idx"])
+    # The first half of the games comes again: its partitions are replaced, the others stay.
+    back = sinks.read_by_game(t, path)
+    half = back.where(F.col("game_id") <= back.agg(F.percentile_approx(F.col("game_id").cast("long"), 0.5)).first()[0])
+    sinks.write_by_game(cut_lineage(half), path, ["possession_id", "frame_idx"])
+    back = sinks.read_by_game(t, path)
+    return (unnest(back, "players", "p")
             .select("possession_id", "frame_idx", "p.player_id", "p.team_id", "p.side",
                     *[r4(f"p.{a}").alias(a) for a in ("x", "y", "vx", "vy")]))
 

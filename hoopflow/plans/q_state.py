@@ -211,8 +211,10 @@ def _(src):
 
 @query("sink_state_json", "SELECT possession_id, frame_idx, count(*) AS n_players, bool_or(has_ball) AS has_handler FROM o_states0 GROUP BY ALL")
 def _(src):
+    from hoopflow.plans.staging import fresh_path
     from hoopflow.sources import sinks
-    js = sinks.as_json(states(src), "possession_id", "players", "context", "ball")
-    back = F.from_json("json", "players array<struct<has_ball boolean>>")
-    return js.select("possession_id", "frame_idx", F.size(back["players"]).cast("long").alias("n_players"),
-                     F.exists(back["players"], lambda p: p["has_ball"]).alias("has_handler"))
+    path = fresh_path(src.spark, "states")
+    s = states(src).select("game_id", "possession_id", "frame_idx", "players", "context", "ball")
+    sinks.write_by_game(s, path, ["possession_id", "frame_idx"], fmt="json")
+    back = sinks.read_by_game(s, path, "json")
+    return back.select("possession_id", "frame_idx", F.size("players").cast("long").alias("n_players"), F.exists("players", lambda p: p["has_ball"]).alias("has_handler"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from hoopflow.functions import scalars as S, text as T
 from hoopflow.functions.geometry import r4, rnd
-from hoopflow.operators import actions as A, rationale as RA
-from hoopflow.plans.registry import cte, query
+from hoopflow.operators import actions as A, dialogue as DG, rationale as RA
+from hoopflow.plans.registry import R, cte, query
 
 _NUM = "list_transform(regexp_extract_all(text, '-?\\d+(?:\\.\\d+)?'), lambda s: CAST(s AS DOUBLE))"
 
@@ -34,6 +34,30 @@ def _(src):
     return c.groupBy("conv_id", "turn", "role", "intent", "direction").agg(F.count(F.lit(1)).alias("n"))
 
 
+cte("o_rank", "SELECT *, row_number() OVER (PARTITION BY state ORDER BY q DESC, ord) AS rnk FROM fx_cands")
+# A question is put to the state of its conversation and turn, with one of the first three candidates on screen.
+cte("o_asked", f"""SELECT conv_id, turn, role, conv_id + turn AS state, turn % 3 AS shown, CASE {_ROUTE} WHEN regexp_matches(q, '#?\\s*(\\d{{1,2}})') AND regexp_matches(q, 'pass|to\\b') THEN 'pass_to_number' ELSE 'help' END AS intent,
+  CASE {_DIR} END AS dir, TRY_CAST(regexp_extract(q, '#?\\s*(\\d{{1,2}})', 1) AS INT) AS num FROM (SELECT *, trim(lower(text)) AS q FROM conversations)""")
+cte("o_offer", "SELECT *, rnk - 1 AS place, ['left', 'right', 'middle'][CAST(ord % 3 AS INT) + 1] AS direction, CAST(ord * 7 % 30 AS INT) AS jersey FROM o_rank")
+cte("o_reply", """SELECT a.*, s.n, CASE intent WHEN 'best' THEN 0 WHEN 'next' THEN (shown % n + 1) % n WHEN 'why' THEN shown % n WHEN 'pass_to_number' THEN j.place
+    WHEN 'DRIVE' THEN coalesce(d.place, k.place) ELSE k.place END AS place FROM o_asked a
+  LEFT JOIN (SELECT state, count(*) AS n FROM o_offer GROUP BY state) s ON s.state = a.state
+  LEFT JOIN (SELECT state, action, min(place) AS place FROM o_offer GROUP BY ALL) k ON k.state = a.state AND k.action = a.intent
+  LEFT JOIN (SELECT state, direction, min(place) AS place FROM o_offer WHERE action = 'DRIVE' GROUP BY ALL) d ON d.state = a.state AND d.direction = a.dir
+  LEFT JOIN (SELECT state, jersey, min(place) AS place FROM o_offer WHERE action = 'PASS_TO' GROUP BY ALL) j ON j.state = a.state AND j.jersey = a.num""")
+
+
+@query("txt_intent_answer", f"""SELECT r.conv_id, r.turn, r.role, r.intent, CAST(r.place AS BIGINT) AS place, o.action_id, {R('o.q')} AS q, CASE WHEN n IS NULL THEN 'no_play' WHEN intent = 'help' THEN 'help'
+  WHEN r.place IS NOT NULL THEN 'chosen' WHEN intent = 'pass_to_number' THEN 'unknown_number' ELSE 'not_legal' END AS outcome
+  FROM o_reply r LEFT JOIN o_offer o ON o.state = r.state AND o.place = r.place""")
+def _(src):
+    c = A.rank_actions(src("fx_cands"), ["state"]).withColumns({
+        "direction": F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit("middle")), (F.col("ord") % 3 + 1).cast("int")), "jersey": (F.col("ord") * 7 % 30).cast("int")})
+    asked = src("conversations").withColumns({"state": F.col("conv_id") + F.col("turn"), "shown": F.col("turn") % 3})
+    d = DG.answer(asked, c, ["state"], "text", "shown")
+    return d.select("conv_id", "turn", "role", "intent", "place", "action_id", r4("q").alias("q"), "outcome")
+
+
 @query("txt_intent_candidates", """SELECT r.state, k.intent, r.action_id FROM (SELECT state, action, action_id, row_number() OVER (PARTITION BY state, action ORDER BY q DESC, ord) AS rn FROM fx_cands) r
   JOIN (SELECT unnest(['SHOOT', 'DRIVE', 'PASS_TO']) AS intent) k ON r.action = k.intent WHERE rn = 1""")
 def _(src):
@@ -65,9 +89,6 @@ def briefs(src):
     return RA.briefs(s, r.withColumn("target_name", F.translate("target_name", "0123456789", "abcdefghij")), ["state"], emphasis="attacking the rim")
 
 
-cte("o_rank", "SELECT *, row_number() OVER (PARTITION BY state ORDER BY q DESC, ord) AS rnk FROM fx_cands")
-
-
 @query("txt_brief", """SELECT state, max(CASE WHEN rnk = 1 THEN action END) AS rec_action, max(CASE WHEN rnk = 2 THEN action END) AS alt_action FROM o_rank GROUP BY state""")
 def _(src):
     return briefs(src).select("state", F.col("rec.action").alias("rec_action"), F.col("alt.action").alias("alt_action"))

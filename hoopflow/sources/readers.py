@@ -10,8 +10,10 @@ from hoopflow.operators.ranking import global_rank
 
 _PLAYERS = "array<struct<playerid: bigint, firstname: string, lastname: string, jersey: string, position: string>>"
 _TEAM = f"struct<teamid: bigint, abbreviation: string, name: string, players: {_PLAYERS}>"
-GAME_SCHEMA = (f"gameid string, gamedate string, events array<struct<eventId: string, home: {_TEAM}, visitor: {_TEAM}, "
-               "moments: array<array<string>>>>")
+EVENT_TYPE = f"struct<eventId: string, home: {_TEAM}, visitor: {_TEAM}, moments: array<array<string>>>"
+GAME_SCHEMA = f"gameid string, gamedate string, events array<{EVENT_TYPE}>"
+#: An event object opens with this key, so a document can be cut there.
+EVENT_KEY = '"eventId"'
 
 
 def game_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -25,14 +27,37 @@ def read_games(spark: SparkSession, paths, events_only: bool = False) -> DataFra
     return spark.read.schema(GAME_SCHEMA).option("multiLine", True).json(paths)
 
 
-def moments(games: DataFrame) -> DataFrame:
-    """Long rows, one per (moment, entity), with document positions for dedup.
+def read_events(spark: SparkSession, paths) -> DataFrame:
+    """(game_id, game_date, event_pos, ev): the events of whole-game documents, read without holding a document in one task.
 
-    Events are spread over the cluster before the moments are unpacked: a game document
-    is one record, and everything after it should not be one task.
+    The text is cut at the key that opens every event, so a plain file is read by as many tasks as it has splits; a
+    compressed one can't be split. ``event_pos`` grows with an event's place in its document: it is the start of the
+    split plus the event's number in the task, and a split has more bytes than a task has events. What is before the
+    first event is the header, one short row a document, joined back by file. A part that
+    isn't an event raises.
     """
-    ev = (games.select(F.coalesce("gameid", F.lit("unknown")).alias("game_id"), F.posexplode("events").alias("event_pos", "ev"))
-          .repartition("game_id", "event_pos"))
+    raw = spark.read.option("lineSep", EVENT_KEY).text(paths)
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    raw = raw.select("value", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") + number).alias("event_pos"))
+    is_event = F.ltrim("value").startswith(":")
+    field = lambda name: F.nullif(F.regexp_extract("value", rf'"{name}"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    head = raw.where(~is_event).select("_file", F.coalesce(field("gameid"), F.lit("unknown")).alias("game_id"), field("gamedate").alias("game_date"))
+    body = F.concat(F.lit("{" + EVENT_KEY), "value")
+    event = F.from_json(body, EVENT_TYPE)
+    bad = F.raise_error(F.concat(F.lit("not an event: "), F.substring("value", 1, 60)))
+    parsed = raw.where(is_event).withColumn("ev", event)
+    parsed = parsed.withColumn("ev", F.when(F.col("ev.eventId").isNotNull(), F.col("ev")).when(is_event, bad.cast(EVENT_TYPE)))
+    return parsed.join(head, "_file").select("game_id", "game_date", "event_pos", "ev")
+
+
+def events(games: DataFrame) -> DataFrame:
+    """(game_id, event_pos, ev) of whole-game rows, spread over the cluster, as everything after a document should not be one task."""
+    return (games.select(F.coalesce("gameid", F.lit("unknown")).alias("game_id"), F.posexplode("events").alias("event_pos", "ev"))
+            .repartition("game_id", "event_pos"))
+
+
+def moments(ev: DataFrame) -> DataFrame:
+    """Long rows, one per (moment, entity), with document positions for dedup, from rows of events."""
     mo = ev.select("game_id", F.col("ev.eventId").alias("event_id"), "event_pos",
                    F.posexplode("ev.moments").alias("moment_pos", "m"))
     m = lambda i: F.get("m", F.lit(i))
@@ -47,9 +72,8 @@ def moments(games: DataFrame) -> DataFrame:
                      (at(0) == K.BALL_ID).alias("is_ball"), "event_pos", "moment_pos", "entity_pos")
 
 
-def roster(games: DataFrame) -> DataFrame:
-    """First row per (game, player) of both sides."""
-    ev = games.select(F.col("gameid").alias("game_id"), F.posexplode("events").alias("event_pos", "ev"))
+def roster(ev: DataFrame) -> DataFrame:
+    """First row per (game, player) of both sides, from rows of events."""
     side = lambda name, n: ev.select("game_id", "event_pos", F.lit(n).alias("side_no"), F.lit(name).alias("side"),
                                      F.col(f"ev.{name}").alias("t"))
     both = side("home", 0).unionByName(side("visitor", 1)).where("t IS NOT NULL")
