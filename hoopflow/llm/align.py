@@ -29,14 +29,18 @@ from hoopflow.llm.minhash import stored
 from hoopflow.llm.bpe import _LATIN
 from hoopflow.llm.text import row_slices, utf8
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: First bytes of blanks that aren't ASCII; a space before one of them is never a cut.
 _MAYBE_BLANK = _BLANK.copy()
 _MAYBE_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
-_LATIN_PART = re.compile(" [" + "".join(map(re.escape, _LATIN)) + "]+")
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,;:!?)")] = True
+#: Characters for which both libraries cut alike: Latin ones and plain blanks.
+PLAIN = re.compile("[ \\n\\r\\t" + "".join(map(re.escape, _LATIN)) + "]+")
 BLOCK = "payload binary, pair array<long>, pair_docs array<long>"
 #: What only the block itself needs again is packed and compressed, so that wide rows stay small in storage and exchanges.
 PACKED = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "size": pa.int32(), "parts": pa.int32(),
@@ -68,8 +72,11 @@ def expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def split_parts(texts: pa.Array, lead: bool = True) -> tuple[pa.Array, np.ndarray]:
-    """Parts of every text, with ``lead`` after a space, dictionary-encoded, and the part offsets of the texts. Null and empty have none."""
+def split_parts(texts: pa.Array, lead: bool = True, fine: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """Parts of every text, with ``lead`` after a space, dictionary-encoded, and the part offsets of the texts. Null and empty have none.
+
+    ``fine`` also cuts between an ASCII letter and a mark of ``_MARK``, where only byte-level pre-tokens are sure to end.
+    """
     texts = texts.cast(pa.large_string()).fill_null("")
     led = texts if not lead else pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
     data, offsets = utf8(led)
@@ -78,6 +85,8 @@ def split_parts(texts: pa.Array, lead: bool = True) -> tuple[pa.Array, np.ndarra
         cut[1:-2] = (data[1:-1] == 0x20) & ~_BLANK[data[:-2]] & ~_MAYBE_BLANK[data[2:]]
         # The last byte of a text has no successor of its own.
         cut[offsets[1:] - 1] = False
+        if fine:
+            cut[1:-1] |= _MARK[data[1:]] & _LETTER[data[:-1]]
     cut[offsets] = True
     at = np.flatnonzero(cut).astype(np.int64)
     if not len(data):
@@ -124,7 +133,7 @@ class Aligner:
     def _tokens(self, parts: list[str], size: np.ndarray) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         """Ids of every part on both sides, and which parts come back as their bytes; the others have no ids."""
         fast = self.fast_a
-        a = [fast(p) if _LATIN_PART.fullmatch(p) else None for p in parts]
+        a = [fast(p) if PLAIN.fullmatch(p) else None for p in parts]
         slow = [i for i, x in enumerate(a) if x is None]
         for i, e in zip(slow, self.a.encode_batch([parts[i] for i in slow], add_special_tokens=False)):
             a[i] = e.ids
@@ -222,6 +231,8 @@ def _blocks(path_a: str, path_b: str, block_bytes: int, n_b: int):
             for lo, hi in row_slices(utf8(text)[1], block_bytes):
                 b = aligner.block(batch.column("doc_id").slice(lo, hi - lo), text.slice(lo, hi - lo))
                 pair = b["pair"] // aligner.n_b * n_b + b["pair"] % aligner.n_b
+                # Freed buffers go back to the system: a worker shares its memory with the executor.
+                pa.default_memory_pool().release_unused()
                 yield pa.record_batch({"payload": pa.array([_pack(b)], pa.binary()), "pair": _one(pair, pa.int64()), "pair_docs": _one(b["pair_docs"], pa.int64())})
     return run
 

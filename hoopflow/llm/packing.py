@@ -10,10 +10,9 @@ shuffle). The best solution of a block wins. Bins of poor fill from all blocks a
 from __future__ import annotations
 
 import base64
+import itertools
 import os
-import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -22,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoopflow.llm.align import split_parts
-from hoopflow.llm.bpe import _LATIN
+from hoopflow.llm.align import PLAIN, expand, split_parts
 from hoopflow.llm.text import row_slices, utf8
 from hoopflow.session import cut_lineage
 
-_LATIN_PART = re.compile(" ?[" + "".join(map(re.escape, _LATIN)) + "]+")
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 2, 2, 3, 4
 
 
@@ -40,12 +37,12 @@ class Encoder:
     """Token ids of texts by the byte-level ``tokenizers`` file at ``path``.
 
     Byte-level pre-tokens never cross the place before a single space between visible characters, so texts are cut there and
-    the distinct parts of a batch are encoded once and remembered. Parts of Latin characters are encoded from
-    the ranks of the same vocabulary, which is several times faster and gives the same ids (tested); the others, and
-    parts that may hold a special token, by ``tokenizers``. The memory is emptied at ``limit`` characters.
+    each distinct part is encoded once and remembered. Parts of Latin characters and plain blanks are encoded from the
+    ranks of the same vocabulary, which is several times faster and gives the same ids (tested); the others, and
+    parts that may hold a special token, by ``tokenizers``. The memory is emptied at ``limit`` ids.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 22):
+    def __init__(self, path: str, limit: int = 1 << 21):
         import public_tokenizers
         import tiktoken
 
@@ -55,32 +52,36 @@ class Encoder:
         with open(os.path.splitext(path)[0] + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.part = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.cuts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, parts: list[str]) -> None:
-        fast, known = self.part, self.known
-        slow = []
-        for p in parts:
-            if _LATIN_PART.fullmatch(p) and "<|" not in p:
-                known[p] = array("I", fast(p)).tobytes()
-            else:
-                slow.append(p)
-        for p, e in zip(slow, self.model.encode_batch(slow, add_special_tokens=False)):
-            known[p] = array("I", e.ids).tobytes()
-        self.held += sum(map(len, parts))
-
-    def __call__(self, texts: pa.Array) -> list[bytes]:
-        """Native 32-bit ids of every text; null is empty."""
-        if self.held > self.limit:
-            self.known, self.held = {}, 0
-        coded, offsets = split_parts(texts, lead=False)
+        fast, plain = self.part, PLAIN.fullmatch
+        ids = [fast(p) if plain(p) and "<|" not in p else None for p in parts]
+        slow = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(slow, self.model.encode_batch([parts[i] for i in slow], add_special_tokens=False)):
+            ids[i] = e.ids
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(n.sum()))])
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(n)])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and their offsets; null is empty."""
+        if len(self.ids) > self.limit:
+            self._forget()
+        coded, offsets = split_parts(texts, lead=False, fine=True)
         parts = coded.dictionary.to_pylist()
         known = self.known
         self._learn([p for p in parts if p not in known])
-        ids = list(map(known.__getitem__, parts)).__getitem__
-        at, cuts = coded.indices.to_numpy(zero_copy_only=False).tolist(), offsets.tolist()
-        return [b"".join(map(ids, at[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+        entry = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        at = entry[coded.indices.to_numpy(zero_copy_only=False)]
+        which, place = expand(self.cuts[at], self.cuts[at + 1])
+        return self.ids[place], np.searchsorted(which, offsets)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -89,17 +90,18 @@ def _pieces(path: str, capacity: int, end_id: int):
         for batch in batches:
             text = batch.column("_text")
             for lo, hi in row_slices(utf8(text)[1]):
+                flat, cut = encode(text.slice(lo, hi - lo))
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, raw in enumerate(encode(text.slice(lo, hi - lo)), lo):
-                    ids = np.append(np.frombuffer(raw, np.uint32), np.uint32(end_id)).astype("<u4")
-                    n = len(ids)
+                for i, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist()), lo):
+                    n = y - x + 1
                     cuts = [0, *range(n % capacity or min(n, capacity), n, capacity), n] if n > capacity else [0, n]
+                    raw = flat[x:y].tobytes() + end_id.to_bytes(4, "little")
                     for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                         row.append(i)
                         piece.append(p)
                         start.append(a)
                         length.append(b - a)
-                        crc.append(zlib.crc32(ids[a:b].tobytes()))
+                        crc.append(zlib.crc32(raw[4 * a:4 * b]))
                 yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
                                        "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
     return run
