@@ -12,11 +12,13 @@ before stored. Where no group is hot, scans are plain windows.
 
 from __future__ import annotations
 
+import marshal
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from hoopflow.session import cut_lineage
 
@@ -311,17 +313,14 @@ def every_nth(df, s: Seq, n: int) -> DataFrame:
     return scan(df, s, index="_i").where((F.col("_i") - 1) % n == 0).drop("_i")
 
 
-def carried_state(df: DataFrame, by: Sequence[str], order: Sequence[str], step, schema: str) -> DataFrame:
-    """Run a truly sequential state machine with constant memory.
-
-    Rows are hash-partitioned by ``by`` and sorted on disk; each task then streams Arrow
-    batches and carries one state per open group, so no group is ever held in memory.
-    ``step(state, batch) -> (state, result)`` sees consecutive rows of one group.
-    """
-    keys = list(by)
-
+def _folded(keys: list[str], step, names: list[str] | None):
+    """Rows of one group after the other through ``step``; ``names`` are the columns given out, without them the last states."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
+
+        def end() -> pd.DataFrame:
+            return pd.DataFrame([(*current, marshal.dumps(state, 2))], columns=[*keys, "_out"])
+
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -334,12 +333,70 @@ def carried_state(df: DataFrame, by: Sequence[str], order: Sequence[str], step,
                 chunk = pdf.iloc[lo:hi]
                 key = tuple(None if pd.isna(v) else v for v in chunk[keys].iloc[0])
                 if key != current:
-                    current, state = key, None
+                    if names is None and current is not None:
+                        parts.append(end())
+                    given = chunk["_in"].iloc[0] if "_in" in chunk else None
+                    current, state = key, None if given is None else marshal.loads(given)
                 state, res = step(state, chunk)
-                if res is not None and len(res):
-                    parts.append(res)
+                if names is not None and res is not None and len(res):
+                    parts.append(res[names])
             if parts:
                 yield pd.concat(parts, ignore_index=True)
+        if names is None and current is not None:
+            yield end()
 
+    return run
+
+
+def carried_state(df: DataFrame, by: Sequence[str], order: Sequence[str], step, schema: str) -> DataFrame:
+    """Run a truly sequential state machine with constant memory.
+
+    Rows are hash-partitioned by ``by`` and sorted on disk; each task then streams Arrow
+    batches and carries one state per open group, so no group is ever held in memory.
+    ``step(state, batch) -> (state, result)`` sees consecutive rows of one group.
+    """
+    keys = list(by)
+    names = StructType.fromDDL(schema).names
     return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
-            .mapInPandas(run, schema=schema))
+            .mapInPandas(_folded(keys, step, names), schema=schema))
+
+
+def carried_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], step, schema: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, Seq]:
+    """``carried_state`` where groups above ``hot_rows`` run as blocks in parallel; the result, and its sequence for scans.
+
+    A block starts from a guess of the state that the block before hands over: none at first. All hand-overs are then
+    compared, and only blocks that were given another state run again, until none changes. Then every block had
+    the state that a single pass would give it, as the first one has none. A state machine that forgets its start
+    within a block settles after the second round; one that never does takes a round a block. States are plain
+    Python values.
+    """
+    s = seq(by, order)
+    d, s = split_hot(df, s, hot_rows)
+    if not s.split:
+        return carried_state(df, by, order, step, schema), s
+    keys = s.keys
+    small = s.blocks <= BROADCAST_BLOCKS
+    d = cut_lineage(d.repartition(*keys).sortWithinPartitions(*keys, *order))
+    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    cut = d.where(F.col(BLOCKS) > 1)
+    ends_schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _out binary"
+    before = Window.partitionBy(*s.by).orderBy(BLOCK)
+
+    def run(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(_folded(keys, step, None), ends_schema)
+
+    ends = cut_lineage(run(cut).withColumn("_in", F.lit(None).cast("binary")))
+    while True:
+        given = ends.withColumn("_new", F.lag("_out").over(before))
+        stale = cut_lineage(given.where(~F.col("_in").eqNullSafe(F.col("_new"))).select(*keys, F.col("_new").alias("_in")))
+        if stale.isEmpty():
+            break
+        again = run(_join_keys(cut, stale.withColumn("_stale", F.lit(True)), keys, small).where("_stale").drop("_stale"))
+        fresh = _join_keys(again.withColumnRenamed("_out", "_fresh"), stale, keys, small).withColumnRenamed("_in", "_given").withColumn("_ran", F.lit(True))
+        ends = cut_lineage(_join_keys(ends, fresh, keys, small).select(
+            *keys, F.when(F.col("_ran"), F.col("_fresh")).otherwise(F.col("_out")).alias("_out"), F.when(F.col("_ran"), F.col("_given")).otherwise(F.col("_in")).alias("_in")))
+    rows = _join_keys(d, ends.select(*keys, "_in"), keys, small)
+    out = f"{schema}, {BLOCK} {types[BLOCK]}, {BLOCKS} {types[BLOCKS]}"
+    names = StructType.fromDDL(out).names
+    # The hash of the keys already is the partitioning of ``d``; only a sorted join deals the rows anew.
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(_folded(keys, step, names), out), s

@@ -119,11 +119,11 @@ def clock_accepts(last: float | None, r: float, dt: float) -> bool:
 
 
 def validate_clock(frames: DataFrame, by: list[str] = ("clip_id",), frame: str = "frame_idx", read: str = "clock_read",
-                   dt: float = 0.2, out: str = "clock") -> DataFrame:
+                   dt: float = 0.2, out: str = "clock", hot_rows: int = Q.HOT_ROWS) -> DataFrame:
     """Drop impossible clock readings, then fill the gaps linearly with held ends.
 
-    What is accepted depends on the last accepted value, so this is a carried state; the
-    fill is a window pass again.
+    What is accepted depends on the last accepted value, so this is a carried state, which one
+    reading accepted either way settles; the fill is a window pass again.
     """
     by = list(by)
     cols = frames.columns
@@ -137,8 +137,8 @@ def validate_clock(frames: DataFrame, by: list[str] = ("clip_id",), frame: str =
         return last, batch.assign(_ok=pd.array(kept, dtype="Float64"))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields)
-    d = Q.carried_state(frames, by, [frame], step, f"{types}, _ok double")
-    return Q.linear_fill(d, Q.seq(by, [frame]), ["_ok"], frame, [out]).select(*cols, out)
+    d, s = Q.carried_blocks(frames, by, [frame], step, f"{types}, _ok double", hot_rows)
+    return Q.linear_fill(d, s, ["_ok"], frame, [out]).select(*cols, out)
 
 
 # Fixed values of the ball tracker: share of the old velocity kept, share of the detection
@@ -158,8 +158,12 @@ def ball_step(state, det):
     return px, py, vx * COAST, vy * COAST, missed + 1
 
 
-def track_ball(frames: DataFrame, by: list[str], frame: str, x: str, y: str) -> DataFrame:
-    """Smoothed, gap-free ball path: outliers are gated, gaps coast, a leading gap is held."""
+def track_ball(frames: DataFrame, by: list[str], frame: str, x: str, y: str, hot_rows: int = Q.HOT_ROWS) -> DataFrame:
+    """Smoothed, gap-free ball path: outliers are gated, gaps coast, a leading gap is held.
+
+    Every accepted detection leaves a fixed small share of the path before it, so a start is forgotten to
+    the last digit within some dozens of frames.
+    """
     def step(state, batch):
         xs, ys = [], []
         for a, b in zip(batch[x], batch[y]):
@@ -169,9 +173,9 @@ def track_ball(frames: DataFrame, by: list[str], frame: str, x: str, y: str) ->
         return state, batch.assign(_bx=pd.array(xs, dtype="Float64"), _by=pd.array(ys, dtype="Float64"))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields)
-    d = Q.carried_state(frames, by, [frame], step, f"{types}, _bx double, _by double")
-    d = Q.scan(d, Q.seq(by, [frame]), bfill={"_f": F.when(F.col("_bx").isNotNull(), F.struct("_bx", "_by"))})
-    return d.withColumns({"ball_x": F.coalesce("_bx", "_f._bx"), "ball_y": F.coalesce("_by", "_f._by")}).drop("_bx", "_by", "_f")
+    d, s = Q.carried_blocks(frames, by, [frame], step, f"{types}, _bx double, _by double", hot_rows)
+    d = Q.scan(d, s, bfill={"_f": F.when(F.col("_bx").isNotNull(), F.struct("_bx", "_by"))})
+    return d.withColumns({"ball_x": F.coalesce("_bx", "_f._bx"), "ball_y": F.coalesce("_by", "_f._by")}).drop("_bx", "_by", "_f", Q.BLOCK, Q.BLOCKS)
 
 
 def drift(df: DataFrame, s: Q.Seq, error: str, ends: str, hot_rows: int = Q.HOT_ROWS) -> DataFrame:
@@ -453,14 +457,14 @@ def _greedy(state, xs, ys):
     return (nxt, live), got
 
 
-def assign_tracks(dets: DataFrame, frames: DataFrame) -> DataFrame:
+def assign_tracks(dets: DataFrame, frames: DataFrame, hot_rows: int = Q.HOT_ROWS) -> DataFrame:
     """Track ids for player boxes: greedy nearest feet, restarted at every camera cut.
 
     One row per frame, streamed in order with only the live tracks as state; a camera shot
     is the unit, as ids never cross a cut.
     """
-    s = Q.seq(["clip_id"], ["frame_idx"])
-    shots = Q.scan(frames.withColumn("_cut", F.col("cut").cast("long")), s, total={"shot": "_cut"}).select("clip_id", "frame_idx", "shot")
+    cuts, s = Q.split_hot(frames.withColumn("_cut", F.col("cut").cast("long")), Q.seq(["clip_id"], ["frame_idx"]), hot_rows)
+    shots = Q.scan(cuts, s, total={"shot": "_cut"}).select("clip_id", "frame_idx", "shot")
     foot = G.box_foot("x1", "y1", "x2", "y2")
     nested = (dets.where("cls = 'player'").groupBy("clip_id", "frame_idx")
               .agg(F.array_sort(F.collect_list(F.struct("det_no", foot[0].alias("x"), foot[1].alias("y")))).alias("d")))

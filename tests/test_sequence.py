@@ -140,3 +140,24 @@ def test_carried_state_keeps_a_null_group_together(spark):
 
     got = Q.carried_state(d, ["k"], ["t"], step, "k long, t long, n long").collect()
     assert all(r.n == r.t for r in got)
+
+
+@pytest.mark.parametrize("name", ["clock", "ball"])
+def test_carried_blocks_equal_one_pass(spark, name):
+    """A hot clip runs as blocks from guessed states; rows and values are those of one pass. A null clip and gaps included."""
+    from hoopflow.operators import video as V
+    rnd = random.Random(11)
+    rows = [(None if i % 5 == 0 else 1, i, rnd.choice([None, 24.0 - (i % 120) * 0.2, 99.0, 14.0]), None if rnd.random() < 0.3 else rnd.uniform(0, 900), rnd.uniform(0, 500)) for i in range(2500)]
+    rows += [(2, i, 20.0 - i, 1.0, 2.0) for i in range(10)]
+    d = spark.createDataFrame(rows, "c long, f long, r double, x double, y double").repartition(4)
+    run = {"clock": lambda n: V.validate_clock(d, ["c"], "f", "r", hot_rows=n), "ball": lambda n: V.track_ball(d, ["c"], "f", "x", "y", hot_rows=n)}[name]
+    hot, plain = run(250), run(10**9)
+    assert hot.columns == plain.columns
+    assert sorted(map(str, hot.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_carried_blocks_with_a_state_that_never_forgets(spark):
+    d = spark.range(600).selectExpr("0L AS k", "id AS t").repartition(3)
+    step = lambda n, b: ((n or 0) + len(b), b.assign(n=range((n or 0) + 1, (n or 0) + len(b) + 1)))
+    out, s = Q.carried_blocks(d, ["k"], ["t"], step, "k long, t long, n long", hot_rows=120)
+    assert s.split and out.where("n <> t + 1").count() == 0 and out.count() == 600
