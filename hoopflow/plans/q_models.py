@@ -45,7 +45,8 @@ def _(src):
     f, real = material(src)
     rows = lambda d, kind, feats: d.select(F.lit(kind).alias("kind"), "label", F.array(*feats).alias("features"))
     return (rows(shot_rows(src), "shot", K.SHOT_FEATURES).unionByName(rows(D.pass_rows(f, real), "pass", K.PASS_FEATURES))
-            .unionByName(rows(D.drive_rows(f, real, 1.5, 14.0), "drive", K.DRIVE_FEATURES)))
+            .unionByName(rows(D.drive_rows(f, real, 1.5, 14.0), "drive", K.DRIVE_FEATURES))
+            .unionByName(rows(D.value_rows(f, real).withColumn("label", F.col("y")), "state", M.VALUE_FEATURES)))
 
 
 @query("ml_fit_binary")
@@ -62,8 +63,9 @@ def _(src):
 @query("ml_fit_value")
 def _(src):
     f, real = material(src)
-    v = O.holdout_last(cut_lineage(D.value_rows(f, real, every=15)), "game_id")
-    model = M.fit_value(v, validation="test")
+    v = cut_lineage(O.holdout_last(D.value_rows(f, real), "game_id"))
+    # Neighbouring states hardly differ: every 15th trains and stops the training, all states of held-out games are measured.
+    model = M.fit_value(v.where("frame_idx % 15 = 0"), validation="test")
     return AG.value_metrics(M.predict(model, v.where("test"), "v"), "v", "y")
 
 
@@ -153,7 +155,7 @@ def _(src):
 @query("app_cv_state")
 def _(src):
     rec = AP.recover(src("fx_detections"), src("fx_keypoints"), src("fx_video_frames"), src("fx_roster"))
-    s = AP.cv_states(rec)
+    s = AP.cv_states(rec, src("fx_roster").where("jersey IS NOT NULL").select("jersey", F.col("team_id").alias("team")))
     return s.select("possession_id", "frame_idx", "offense_team_id", "handler_player_id", r4("context.confidence").alias("confidence"),
                     F.col("context.n_players_observed").alias("n_players"), F.col("context.defense_scheme").alias("scheme"))
 

@@ -186,3 +186,28 @@ def test_clusters_without_evidence_take_different_teams(spark):
     p = spark.createDataFrame([("x", 1, 1, 0, 2), ("x", 1, 2, 1, None), ("x", 1, 3, 2, None), ("y", 1, 1, 0, None)], "clip_id string, frame_idx long, track_id long, team_id long, jersey long")
     got = {(r.clip_id, r.track_id): r.team for r in V.roster_override(p, link).collect()}
     assert got == {("x", 1): "B", ("x", 2): "A", ("x", 3): "C", ("y", 1): "0"}
+
+
+def test_video_states_take_the_teams_of_the_roster(spark):
+    """Two clusters with wrong teams: the jerseys read in them decide, the third one takes what is left."""
+    from hoopflow.operators import app as AP
+    cols = "clip_id long, frame_idx long, track_id long, team_label long, team_id long, player_id long, confidence double, jersey int, x double, y double, vx double, vy double, homog_ok boolean, possessor long, ball_last struct<x: double, y: double>, ball_seen boolean"
+    row = lambda f, t, team, jersey: (1, f, t, team % 2, team, 100 + t, 0.9, jersey, 10.0 + t, 20.0, 0.0, 0.0, True, 1, (11.0, 20.0), True)
+    rec = spark.createDataFrame([row(f, t, 8 if t < 3 else 9, {1: 4, 2: 5, 3: 30}.get(t)) for f in (0, 1) for t in (1, 2, 3, 4)], cols)
+    link = spark.createDataFrame([(4, 77), (5, 77), (30, 66), (31, 66)], "jersey int, team long")
+    teams = lambda d: {(p.player_id, p.team_id) for r in d.collect() for p in r.players}
+    assert teams(AP.cv_states(rec)) == {(101, 8), (102, 8), (103, 9), (104, 9)}
+    assert teams(AP.cv_states(rec, link)) == {(101, 77), (102, 77), (103, 66), (104, 66)}
+    assert {r.offense_team_id for r in AP.cv_states(rec, link).collect()} == {77}
+
+
+def test_random_policy_ignores_row_order(spark):
+    from hoopflow.operators import actions as A
+    c = spark.range(4000).selectExpr("id div 8 AS state", "id % 8 + 1 AS ord", "'PASS_TO' AS action", "rand(1) AS q", "id * 1.0 AS true_v", "0.5 AS open")
+    c = c.persist()
+    pick = lambda d, seed: {r.state: r.random for r in A.baseline_picks(d, ["state"], seed=seed).select("state", "random").collect()}
+    a = pick(c, 0)
+    assert a == pick(c.repartition(13).sortWithinPartitions("q"), 0) and a != pick(c, 1)
+    counts = [sum(1 for s, v in a.items() if v == s * 8 + k) for k in range(8)]
+    assert min(counts) > 30 and sum(counts) == 500
+    c.unpersist()
