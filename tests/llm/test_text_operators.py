@@ -370,3 +370,18 @@ def test_stages_take_each_row_as_a_document(spark):
 def test_queries_are_registered():
     assert sorted(QUERIES) == sorted(["op1_minhash", "op2_suffix_array", "op3_quality_rules", "op4_personal_data", "op5_best_fit_packing", "op6_language", "op7_substring", "op8_decontamination", "op9_line_dedup",
                                       "op10_quality_classifier", "pipeline"])
+
+
+def test_stages_with_any_other_columns(spark, docs):
+    """Columns with the stages' own inner names, blanks, dots and signs come through; the kept rows are those without them; empty tables stay empty."""
+    import corpus_pipeline
+    odd = {"_row_key": F.lit(-5), "_n_lines": F.col("n_chars"), "a b": F.lit("x"), "a-b": F.array(F.lit(1)), "a.b": F.lit(None).cast("string"), "_text": F.lit("t"), "component_id": F.lit(1), "_row": F.lit(2)}
+    wide = docs.withColumns(odd)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        base, more = (docs, wide) if name != "near_duplicates" else (docs.limit(12), wide.limit(12))
+        want, got = stage(spark, base, SF), stage(spark, more, SF)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert Counter(r[:5] for r in map(tuple, rows)) == Counter(map(tuple, want.collect()))
+        assert all((r["_row_key"], r["a b"], r["a-b"], r["a.b"]) == (-5, "x", [1], None) for r in rows)
+        assert stage(spark, more.limit(0), SF).collect() == []
