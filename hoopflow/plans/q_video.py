@@ -276,9 +276,15 @@ def _(src):
     return V.shot_quality(src("fx_shot_frames"), 0.2, 2).select("clip_id", "shot", "vec_id", "t", "n_players", F.col("rank").cast("long").alias("rank"))
 
 
-@query("ord_spread_top_n")
+cte("o_sq", _SQ)
+cte("o_picked", """SELECT clip_id, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS DOUBLE) AS t, CAST([] AS DOUBLE[]) AS had, CAST([] AS DOUBLE[]) AS picks FROM (SELECT DISTINCT clip_id FROM o_sq)
+  UNION ALL SELECT p.clip_id, q.rank, q.vec_id, CAST(q.t AS DOUBLE), p.picks, CASE WHEN len(p.picks) < 3 AND len(list_filter(p.picks, lambda v: abs(v - q.t) < 8)) = 0 THEN list_append(p.picks, CAST(q.t AS DOUBLE)) ELSE p.picks END
+  FROM o_picked p JOIN o_sq q ON q.clip_id = p.clip_id AND q.rank = p.rank + 1""")
+
+
+@query("ord_spread_top_n", "SELECT clip_id, rank, vec_id, t FROM o_picked WHERE len(picks) > len(had)")
 def _(src):
-    d = V.shot_quality(src("fx_shot_frames"), 0.2, 2).select("clip_id", "rank", "vec_id", "t")
+    d = V.shot_quality(src("fx_shot_frames"), 0.2, 2).select("clip_id", F.col("rank").cast("long").alias("rank"), "vec_id", "t")
     return V.spread_top(d, ["clip_id"], "rank", "t", n=3, gap=8.0)
 
 
