@@ -29,7 +29,7 @@ from hoopflow.llm.minhash import stored
 from hoopflow.llm.bpe import _LATIN
 from hoopflow.llm.text import row_slices, utf8
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 3 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: First bytes of blanks that aren't ASCII; a space before one of them is never a cut.
