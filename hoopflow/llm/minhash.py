@@ -10,15 +10,15 @@ what is far below the threshold goes, the rest is confirmed on the full sets.
 32 bands of 4 registers miss a pair of similarity 0.8 with a probability below 5e-8.
 
 No group is expanded into pairs. Equal sets are one class first. Each band bucket compares
-its members with one of its classes, which then leaves it; confirmed links make components, and
-further steps repeat this in buckets of two components or more. Buckets that still
-hold two components go through an exact prefix join: only classes of different
-components that share one of their rarest shingles are compared.
+its members with ``LEADS`` of its classes, which then leave it; confirmed links make components.
+Buckets whose other members are in two components or more go through an exact prefix join:
+only classes of different components that share their rarest shingles often enough are
+compared. So there are two confirmations and one search for components, or two, whatever
+the input.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoopflow.llm.graph import components
+from hoopflow.llm.graph import components, stored
 from hoopflow.llm.repeats import LAST
 from hoopflow.llm.text import gram_hashes, mix, row_slices, utf8, word_hashes
-from hoopflow.session import checkpoint_root, cut_lineage
 
 BASE, BANDS, ROWS = 1.05, 32, 4
 REGISTERS = BANDS * ROWS
 #: An estimate this far below the threshold excludes a pair (over 5 standard errors of 128 registers).
 MARGIN = 0.2
-STEPS = 3
+#: Classes of a bucket that all its members are compared with; the same hash orders in all bands keep them few.
+LEADS = 2
 #: Id lists up to this long (16 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _R = np.random.default_rng(1)
@@ -131,16 +131,20 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         lists = [np.frombuffer(x, np.int64) for x in b.column("s").to_pylist()]
         sizes = np.array([len(x) for x in lists], np.int64)
-        yield pa.record_batch({"rep": pa.array(np.repeat(b.column("_id").to_numpy(), sizes)), "n": pa.array(np.repeat(sizes, sizes)), "s": pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))})
+        rep, v = (pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("_id", "v"))
+        yield pa.record_batch({"rep": rep, "v": v, "n": pa.array(np.repeat(sizes, sizes)), "s": pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))})
 
 
-def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ku, kv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ka", "kb"))
-        e = estimate(ku, kv, b.column("na").to_numpy().astype(float), b.column("nb").to_numpy().astype(float))
-        yield pa.record_batch({"a": b.column("a"), "b": b.column("b"), "e": pa.array(e)})
+def _fit(percent: int):
+    """The pairs that neither the likelihood estimate nor the 16-bit values exclude."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ku, kv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ka", "kb"))
+            e = estimate(ku, kv, b.column("na").to_numpy().astype(float), b.column("nb").to_numpy().astype(float))
+            yield from _possible(b.filter(pa.array(e >= percent / 100 - MARGIN, pa.bool_())), percent)
+    return run
 
 
 def _full_sets(n: int):
@@ -164,17 +168,14 @@ def common_at_most(p: np.ndarray, q: np.ndarray, p_rows: np.ndarray, q_rows: np.
     return np.bincount(keys >> 16, np.minimum(m[i], n[j]), rows).astype(np.int64)
 
 
-def _possible(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.array([[len(x) // 2, len(y) // 2] for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())], np.int64).reshape(-1, 2)
-            for i, j in row_slices(np.append(0, np.cumsum(sizes.sum(1)))):
-                b, n, rows = batch.slice(i, j - i), sizes[i:j], np.arange(j - i)
-                p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16) for c in ("fa", "fb"))
-                both = common_at_most(p, q, np.repeat(rows, n[:, 0]), np.repeat(rows, n[:, 1]), j - i)
-                keep = pa.array(100 * both >= percent * (n.sum(1) - both), pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
-    return run
+def _possible(batch: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
+    sizes = np.array([[len(x) // 2, len(y) // 2] for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())], np.int64).reshape(-1, 2)
+    for i, j in row_slices(np.append(0, np.cumsum(sizes.sum(1)))):
+        b, n, rows = batch.slice(i, j - i), sizes[i:j], np.arange(j - i)
+        p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16) for c in ("fa", "fb"))
+        both = common_at_most(p, q, np.repeat(rows, n[:, 0]), np.repeat(rows, n[:, 1]), j - i)
+        keep = pa.array(100 * both >= percent * (n.sum(1) - both), pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
 
 def _confirm(percent: int):
@@ -190,13 +191,6 @@ def _confirm(percent: int):
     return run
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written compressed to the shared checkpoint folder and read again: for wide rows, of which later steps need some columns."""
-    path = f"{checkpoint_root(df.sparkSession)}/near-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents by chains of links of Jaccard similarity ``percent`` / 100 or more.
 
@@ -212,51 +206,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sketch = stored(plain.mapInArrow(_sketch(words), "_id long, n long, hi long, lo long, k binary"))
     filled = sketch.where("n > 0")
     classes = stored(filled.groupBy("n", "hi", "lo").agg(F.min("_id").alias("rep"), F.min_by("k", "_id").alias("k")))
-    tied = cut_lineage(filled.select("_id", "n", "hi", "lo").join(classes.select("n", "hi", "lo", "rep"), ["n", "hi", "lo"]).select("_id", "rep"))
+    tied = stored(filled.select("_id", "n", "hi", "lo").join(classes.select("n", "hi", "lo", "rep"), ["n", "hi", "lo"]).select("_id", "rep"))
     # Rows of one id may have different sets: the id ties their classes.
     many = tied.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("_id", "a")
     own = tied.join(many, "_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    members = classes.select("rep", "n", "k").mapInArrow(_bands, "rep long, n long, band int, key long")
-    shared = members.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
-    near = cut_lineage(members.join(shared, "key"))
-    wanted = cut_lineage(near.select(F.col("rep").alias("_id")).distinct())
+    members = classes.select("rep", "n", "k").mapInArrow(_bands, "rep long, n long, band int, key long").select("key", "rep")
+    leads = [F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(LEADS)]
+    shared = members.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("leads"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key", "leads")
+    near = stored(members.join(shared, "key"))
+    wanted = stored(near.select(F.col("rep").alias("_id")).distinct())
     sets = stored(_only(plain, wanted).mapInArrow(_full_sets(words), "_id long, s binary, f binary"))
-    regs = classes.select("rep", "n", "k").join(wanted.toDF("rep"), "rep", "left_semi")
+    regs = stored(classes.select("rep", "n", "k").join(sets.select(F.col("_id").alias("rep"), "f"), "rep"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that neither the likelihood estimate nor the 16-bit values exclude and the full sets confirm."""
-        a, b = regs.toDF("a", "na", "ka"), regs.toDF("b", "nb", "kb")
+        """Pairs (a, b) that the sketches don't exclude and the full sets confirm."""
+        a, b = regs.toDF("a", "na", "ka", "fa"), regs.toDF("b", "nb", "kb", "fb")
         sized = pairs.join(a, "a").join(b, "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
-        fit = cut_lineage(sized.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_estimates, "a long, b long, e double").where(F.col("e") >= percent / 100 - MARGIN).select("a", "b"))
-        for column, check in (("f", _possible), ("s", _confirm)):
-            sa, sb = (_only(sets.select("_id", column), fit.select(F.col(c).alias("_id")).distinct()).toDF(c, f"{column}{c}") for c in ("a", "b"))
-            fit = cut_lineage(fit.join(sa, "a").join(sb, "b").mapInArrow(check(percent), "a long, b long"))
-        return fit
-
-    links, comp = own, None
-    for step in range(STEPS):
-        placed = near.withColumn("component", F.col("rep")) if comp is None else (
-            near.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-        # Any class may lead. It leaves the bucket after its comparison; a bucket of one component has no more to find.
-        lead = (placed.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(step))).alias("lead"),
-                                          F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "lead"))
-        led = cut_lineage(placed.join(lead, "key").where("rep <> lead.rep").select("key", "rep", "component", "lead"))
-        pairs = (led.where("component <> lead.component")
-                 .select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct())
-        near = led.select("key", "rep")
-        links = cut_lineage(links.union(confirmed(pairs)))
-        comp = components(links)
+        fit = stored(sized.mapInArrow(_fit(percent), "a long, b long").distinct())
+        sa, sb = (sets.select(F.col("_id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+        return stored(fit.join(sa, "a").join(sb, "b").mapInArrow(_confirm(percent), "a long, b long"))
+
+    pairs = near.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    links = own.union(confirmed(pairs))
+    comp = components(links)
 
-    placed = near.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # The leads were compared with all of their bucket; a bucket whose others are one component has no more to find.
+    others = near.where("not array_contains(leads, rep)").select("key", "rep")
+    placed = others.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    left = cut_lineage(placed.join(mixed, "key", "left_semi").select("rep", "component").distinct())
-    rare = cut_lineage(_rare_shingles(sets, left, percent))
-    x, y = rare.alias("x"), rare.alias("y")
-    # A linked pair's first common shingle leaves enough of both sets behind it for the overlap that its sizes need.
-    room = (1 + F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r"))) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    rest = (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & room)
-            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    more = confirmed(rest)
+    left = stored(placed.join(mixed, "key", "left_semi").select("rep", "component").distinct())
+    more = confirmed(_rare_pairs(stored(_rare_shingles(sets, left, percent)), percent))
     if not more.isEmpty():
         links = links.union(more)
         comp = components(links)
@@ -275,16 +254,32 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
 
 
+def _rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose rarest shingles leave room for the overlap that their sizes need.
+
+    Places in the common order grow together along common shingles, so the room behind them shrinks. Up to a
+    pair's last common shingle that has room, all common ones are counted; behind it there are no more
+    than the smaller rest.
+    """
+    x, y = rare.alias("x"), rare.alias("y")
+    need = (F.col("x.n") + F.col("y.n")) * percent
+    room = (1 + F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r"))) * (100 + percent) >= need
+    seen = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & room)
+    return (seen.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), "x.v", "y.v")
+            .agg(F.count("*").alias("c"), F.max("x.r").alias("ra"), F.max("y.r").alias("rb"))
+            .where(f"(c + least(na - ra, nb - rb)) * {100 + percent} >= (na + nb) * {percent}").select("a", "b").distinct())
+
+
 def _rare_shingles(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, s, r, component): the rarest shingles of each class, enough of them that two similar sets share one.
+    """(rep, v, n, s, r, component): the rarest shingles of each class, enough of them that two similar sets share one.
 
     Of n shingles in one common order, sets with a similarity of t share one of the first n - ceil(t n) + 1.
-    r is the place of a shingle in that order, from 1.
+    r is the place of a shingle in that order, from 1; v tells apart different sets of one id.
     """
-    each = _only(sets.select("_id", "s"), left.select(F.col("rep").alias("_id")).distinct()).mapInArrow(_explode_sets, "rep long, n long, s long")
+    each = _only(sets.select("_id", F.xxhash64("s").alias("v"), "s"), left.select(F.col("rep").alias("_id")).distinct()).mapInArrow(_explode_sets, "rep long, v long, n long, s long")
     counts = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     # Shingles of one class alone come first, so their number is n less the others.
-    own = Window.partitionBy("rep", "n")
+    own = Window.partitionBy("rep", "n", "v")
     rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "s"))
-    first = each.join(counts, "s").withColumn("r", rank).where(f"r <= n - ceil(n * {percent} / 100) + 1").select("rep", "n", "s", "r")
+    first = each.join(counts, "s").withColumn("r", rank).where(f"r <= n - ceil(n * {percent} / 100) + 1").select("rep", "v", "n", "s", "r")
     return first.join(left, "rep")
