@@ -10,7 +10,7 @@ what is far below the threshold goes, the rest is confirmed on the full sets.
 32 bands of 4 registers miss a pair of similarity 0.8 with a probability below 5e-8.
 
 No group is expanded into pairs. Equal sets are one class first. Each band bucket compares
-its members with ``LEADS`` of its classes, which then leave it; confirmed links make components.
+its members with its smallest and largest class, which then leave it; confirmed links make components.
 Buckets whose other members are in two components or more go through an exact prefix join:
 only classes of different components that share their rarest shingles often enough are
 compared. So there are two confirmations and one search for components, or two, whatever
@@ -34,8 +34,6 @@ BASE, BANDS, ROWS = 1.05, 32, 4
 REGISTERS = BANDS * ROWS
 #: An estimate this far below the threshold excludes a pair (over 5 standard errors of 128 registers).
 MARGIN = 0.2
-#: Classes of a bucket that all its members are compared with; the same hash orders in all bands keep them few.
-LEADS = 2
 #: Id lists up to this long (16 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _R = np.random.default_rng(1)
@@ -211,8 +209,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     many = tied.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("_id", "a")
     own = tied.join(many, "_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     members = classes.select("rep", "n", "k").mapInArrow(_bands, "rep long, n long, band int, key long").select("key", "rep")
-    leads = [F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(LEADS)]
-    shared = members.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("leads"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key", "leads")
+    # One order in all bands keeps the leads of a class few, and a minimum and a maximum are small in the shuffle.
+    shared = members.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y")
     near = stored(members.join(shared, "key"))
     wanted = stored(near.select(F.col("rep").alias("_id")).distinct())
     sets = stored(_only(plain, wanted).mapInArrow(_full_sets(words), "_id long, s binary, f binary"))
@@ -223,15 +221,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         a, b = regs.toDF("a", "na", "ka", "fa"), regs.toDF("b", "nb", "kb", "fb")
         sized = pairs.join(a, "a").join(b, "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
         fit = stored(sized.mapInArrow(_fit(percent), "a long, b long").distinct())
-        sa, sb = (sets.select(F.col("_id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+        used = _only(sets.select("_id", "s"), fit.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+        sa, sb = (used.toDF(c, f"s{c}") for c in ("a", "b"))
         return stored(fit.join(sa, "a").join(sb, "b").mapInArrow(_confirm(percent), "a long, b long"))
 
-    pairs = near.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    pairs = near.select("rep", F.explode(F.array("x", "y")).alias("lead")).where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     links = own.union(confirmed(pairs))
     comp = components(links)
 
     # The leads were compared with all of their bucket; a bucket whose others are one component has no more to find.
-    others = near.where("not array_contains(leads, rep)").select("key", "rep")
+    others = near.where("rep <> x and rep <> y").select("key", "rep")
     placed = others.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     left = stored(placed.join(mixed, "key", "left_semi").select("rep", "component").distinct())
