@@ -31,3 +31,9 @@ def test_words_of_a_question_end_at_letters_beyond_ascii(spark, tmp_path, name):
     rows = ", ".join(f"({i}, {i % 4}, 'user', {'NULL' if t is None else repr(t)})" for i, t in enumerate(said))
     got, want = both(spark, tmp_path, name, conversations=f"SELECT CAST(c AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, x AS text FROM (VALUES {rows}) AS v(c, t, r, x)")
     assert got == want
+
+
+def test_top_action_of_values_that_hardly_differ(spark, tmp_path):
+    price = "CASE WHEN l_linenumber = 3 THEN 90000.02e0 WHEN l_linenumber = 1 THEN 90000.01e0 WHEN l_linenumber = 4 AND l_orderkey % 2 = 0 THEN 90000.09e0 WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_extendedprice END"
+    got, want = both(spark, tmp_path, "app_analyze", lineitem=f"SELECT * REPLACE ({price} AS l_extendedprice) FROM '{SF}/lineitem.parquet'")
+    assert got == want
