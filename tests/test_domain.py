@@ -211,3 +211,16 @@ def test_random_policy_ignores_row_order(spark):
     counts = [sum(1 for s, v in a.items() if v == s * 8 + k) for k in range(8)]
     assert min(counts) > 30 and sum(counts) == 500
     c.unpersist()
+
+
+def test_models_take_rows_with_unknown_features(spark):
+    from hoopflow.operators import models as M
+    rows = [(float(i % 7), None if i % 5 == 0 else float("nan") if i % 5 == 1 else float(i % 3), i % 2) for i in range(200)]
+    d = spark.createDataFrame(rows, "a double, b double, label int")
+    out = M.predict(M.fit_binary(d, ["a", "b"], rounds=2), d, "p")
+    assert out.columns == ["a", "b", "label", "p"]
+    got = out.collect()
+    assert len(got) == 200 and all(0 <= r["p"] <= 1 for r in got)
+    # The unknown counts as 0, and the input column comes back as it was.
+    assert len({r["p"] for r in got if r["a"] == 3 and (r["b"] is None or r["b"] != r["b"] or r["b"] == 0)}) == 1
+    assert sum(r["b"] is None for r in got) == 40
