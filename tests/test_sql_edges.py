@@ -44,3 +44,46 @@ def test_moments_that_arrive_days_late_stay(spark, tmp_path):
     far = "CAST(floor(event_id / 25e0) AS BIGINT) * 12500 + CAST(floor(event_id / 5e0) AS BIGINT) % 2 * 2500 + event_id % 5 * 60"
     got, want = both(spark, tmp_path, "st_moments_dedup", events=f"SELECT * REPLACE ({far} AS event_id) FROM '{SF}/events.parquet' WHERE event_id < 4000")
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["src_calibration_json", "agg_calibration_summary", "src_link_roster", "sink_state_json", "sink_frame_table", "join_screen"])
+def test_files_and_filters_keep_the_rows(spark, tmp_path, name):
+    got, want = both(spark, tmp_path, name)
+    assert got and got == want
+
+
+def _files(path, end):
+    return [f for f in path.rglob(f"*{end}") if not f.name.startswith((".", "_"))]
+
+
+def test_small_documents_share_files(spark, tmp_path, monkeypatch):
+    from hoopflow.plans import q_models as QM, staging
+    from hoopflow.plans.registry import Source
+    for t in TABLES:
+        duckdb.sql(f"SELECT * FROM '{SF}/{t}.parquet'").write_parquet(str(tmp_path / f"{t}.parquet"))
+    duckdb.sql("SELECT 0::BIGINT + i AS event_id, TIMESTAMP '2024-01-01' AS ts, 1::BIGINT AS user_id, 'view' AS event_type, 1.0 AS value, '' AS props FROM range(20000) r(i)").write_parquet(str(tmp_path / "events.parquet"))
+    out = tmp_path / "out"
+    monkeypatch.setattr(staging, "fresh_path", lambda spark, name: str(out))
+    assert QM.calibration_files(Source(spark, str(tmp_path))).count() == 160
+    assert len(_files(out, ".json")) < 40
+
+
+def test_a_small_game_is_one_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from hoopflow.sources import sinks
+    d = spark.range(2000).select((F.col("id") % 10).cast("string").alias("game_id"), "id")
+    for rows in (d, d.where("game_id < '5'")):
+        sinks.write_by_game(rows, str(tmp_path / "g"), ["id"])
+    assert len(_files(tmp_path / "g", ".parquet")) == 10
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 2000
+
+
+def test_tasks_grow_with_the_events(spark, tmp_path):
+    from hoopflow.plans import views
+    from hoopflow.plans.q_possessions import frames
+    from hoopflow.plans.registry import Source
+    duckdb.sql(f"SELECT i AS event_id FROM range({20 * views.EVENT_ROWS}) r(i)").write_parquet(str(tmp_path / "events.parquet"))
+    src = Source(spark, str(tmp_path))
+    assert src.tasks == 20
+    assert src("fx_homographies").rdd.getNumPartitions() == 20
+    assert frames(src).rdd.getNumPartitions() == 20
