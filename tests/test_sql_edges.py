@@ -87,3 +87,17 @@ def test_tasks_grow_with_the_events(spark, tmp_path):
     assert src.tasks == 20
     assert src("fx_homographies").rdd.getNumPartitions() == 20
     assert frames(src).rdd.getNumPartitions() == 20
+
+
+@pytest.mark.parametrize("name", ["set_dedup_moments", "ord_canonical"])
+def test_moments_are_dealt_to_tasks_that_grow_with_the_events(spark, tmp_path, name):
+    from hoopflow.plans import views
+    from hoopflow.plans.registry import QUERIES
+    duckdb.sql(f"SELECT i AS event_id FROM range({6 * views.EVENT_ROWS}) r(i)").write_parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 6
+
+
+@pytest.mark.parametrize("name", ["set_dedup_moments", "ord_canonical"])
+def test_copies_of_a_moment_and_odd_clocks(spark, tmp_path, name):
+    got, want = both(spark, tmp_path, name, events=f"SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN event_id - 125 ELSE event_id END AS event_id) FROM '{SF}/events.parquet' WHERE event_id >= 125")
+    assert got == want
