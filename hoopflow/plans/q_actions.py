@@ -9,6 +9,7 @@ from hoopflow.functions import geometry as G
 from hoopflow.functions.geometry import r4
 from hoopflow.operators import actions as A, features as FT, state as ST
 from hoopflow.plans.q_geometry import segment_sql
+from hoopflow.plans.q_possessions import frames
 from hoopflow.plans.q_state import E, state_sql, states
 from hoopflow.plans.registry import R, cte, query
 
@@ -33,22 +34,20 @@ cte("o_lane", f"""SELECT m.possession_id, m.frame_idx, m.target, count(d.player_
   FROM o_mates m LEFT JOIN o_states0 d ON m.possession_id = d.possession_id AND m.frame_idx = d.frame_idx AND d.side = 'defense' GROUP BY ALL""")
 
 
-def mates(s):
+def mates(src):
     """Handler states with each team-mate as struct ``t`` and the defenders as ``_def``."""
-    d = ST.decided(s).withColumn("_def", ST.of_side("players", "defense"))
-    m = F.filter("players", lambda p: (p["side"] == "offense") & (p["player_id"] != F.col("handler.player_id")))
-    return ST.unnest(d.select(*SK, "handler", "_def", m.alias("_m")), "_m", "t")
+    return ST.unnest(ST.build_for_passes(frames(src)).select(*SK, "handler", "_def", "mates"), "mates", "t")
 
 
 @query("join_lane", "SELECT * FROM o_lane")
 def _(src):
-    return mates(states(src)).select(*SK, F.col("t.player_id").alias("target"),
+    return mates(src).select(*SK, F.col("t.player_id").alias("target"),
                                      FT.lane_count(F.col("_def"), F.col("handler"), F.col("t")).cast("long").alias("lane"))
 
 
 @query("join_teammates", f"SELECT possession_id, frame_idx, actor, target, {R('sqrt((tx-hx)*(tx-hx)+(ty-hy)*(ty-hy))')} AS dist FROM o_mates")
 def _(src):
-    return mates(states(src)).select(*SK, F.col("handler.player_id").alias("actor"), F.col("t.player_id").alias("target"),
+    return mates(src).select(*SK, F.col("handler.player_id").alias("actor"), F.col("t.player_id").alias("target"),
                                      r4(G.dist("t.x", "t.y", "handler.x", "handler.y")).alias("dist"))
 
 
@@ -58,8 +57,8 @@ def _(src):
   {R('tpressure')} AS receiver_pressure, {R('td')} AS receiver_dist_to_rim
 FROM (SELECT *, sqrt((tx-hx)*(tx-hx)+(ty-hy)*(ty-hy)) AS n FROM o_mates) JOIN o_lane USING (possession_id, frame_idx, target)""")
 def _(src):
-    f = FT.passing(F.col("_def"), F.col("handler"), F.col("t"))
-    return mates(states(src)).select(*SK, F.col("t.player_id").alias("target"), *FT.columns({n: r4(c) for n, c in f.items()}))
+    f = FT.passing(F.col("_def"), F.col("handler"), F.col("t"), F.col("t.nearest_dist"))
+    return mates(src).select(*SK, F.col("t.player_id").alias("target"), *FT.columns({n: r4(c) for n, c in f.items()}))
 
 
 cte("o_dirs", "SELECT unnest(['left', 'middle', 'right']) AS direction")
@@ -98,14 +97,14 @@ cte("o_ents", """SELECT possession_id, frame_idx, player_id, (sx-5.25e0)/47e0 AS
   {R('coalesce(f.shot_clock, 12e0)/24')} AS g_clock, {R('round_even(round_even(CASE WHEN n_off >= 3 THEN area ELSE 0e0 END*1e6, 0)/1e6*10, 0)/10/500')} AS g_spacing, {R('n/10e0')} AS g_players
 FROM o_ents e JOIN o_frames f USING (possession_id, frame_idx) JOIN o_noff USING (possession_id, frame_idx) LEFT JOIN o_hull USING (possession_id, frame_idx)""")
 def _(src):
-    e = ST.unnest(FT.entities(states(src)).select(*SK, "g_clock", "g_spacing", "g_players", "entities"), "entities", "e")
+    e = ST.unnest(FT.entities(ST.build_for_entities(frames(src))).select(*SK, "g_clock", "g_spacing", "g_players", "entities"), "entities", "e")
     return e.select(*SK, "e.player_id", *[r4(f"e.{a}").alias(a) for a in ("x", "y", "vx", "vy")], "e.off", "e.def", "e.ball", "e.has_ball",
                     *[r4(g).alias(g) for g in ("g_clock", "g_spacing", "g_players")])
 
 
 @query("feat_mean_pool", f"SELECT possession_id, frame_idx, {', '.join(f'{R(f'avg({c})')} AS pool_{c}' for c in FT.POOLED)} FROM o_ents GROUP BY possession_id, frame_idx")
 def _(src):
-    p = FT.mean_pool(FT.entities(states(src)))
+    p = FT.mean_pool(FT.entities(ST.build_for_entities(frames(src))))
     return p.select(*SK, *[r4(f"pool_{c}").alias(f"pool_{c}") for c in FT.POOLED])
 
 

@@ -224,3 +224,18 @@ def test_models_take_rows_with_unknown_features(spark):
     # The unknown counts as 0, and the input column comes back as it was.
     assert len({r["p"] for r in got if r["a"] == 3 and (r["b"] is None or r["b"] != r["b"] or r["b"] == 0)}) == 1
     assert sum(r["b"] is None for r in got) == 40
+
+
+def test_states_for_entities_work_out_the_hull_once(spark):
+    f = P.possession_frames(Source(spark, SF)("fx_tracking_c"))
+    for s in (ST.build_for_entities(f), ST.build(f)):
+        plan = s.select("context.spacing_area_sqft")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sequence(2, size(") == 2
+
+
+def test_narrow_states_equal_whole_ones(spark):
+    f = P.possession_frames(Source(spark, SF)("fx_tracking_c"))
+    names = ["player_id", "team_id", "side", "x", "y", "vx", "vy", "has_ball"]
+    rows = lambda s: s.select("possession_id", "frame_idx", "ball", "context.spacing_area_sqft", "context.n_players_observed",
+                              F.transform("players", lambda p: F.struct(*[p[c] for c in names])).alias("players"))
+    assert rows(ST.build_for_entities(f)).exceptAll(rows(ST.build(f))).count() == 0
