@@ -239,3 +239,11 @@ def test_narrow_states_equal_whole_ones(spark):
     rows = lambda s: s.select("possession_id", "frame_idx", "ball", "context.spacing_area_sqft", "context.n_players_observed",
                               F.transform("players", lambda p: F.struct(*[p[c] for c in names])).alias("players"))
     assert rows(ST.build_for_entities(f)).exceptAll(rows(ST.build(f))).count() == 0
+
+
+def test_states_of_a_training_set_are_dealt_to_given_tasks(spark):
+    from hoopflow.operators import datasets as D
+    f = P.possession_frames(Source(spark, SF)("fx_tracking_c"))
+    real = f.select(*D.POSS).distinct().withColumns({"start_clock": F.lit(700.0), "points": F.lit(2.0)})
+    assert D.value_rows(f, real, parts=23).rdd.getNumPartitions() == 23
+    assert D.value_rows(f, real, parts=23).count() == f.count()
