@@ -247,3 +247,9 @@ def test_states_of_a_training_set_are_dealt_to_given_tasks(spark):
     real = f.select(*D.POSS).distinct().withColumns({"start_clock": F.lit(700.0), "points": F.lit(2.0)})
     assert D.value_rows(f, real, parts=23).rdd.getNumPartitions() == 23
     assert D.value_rows(f, real, parts=23).count() == f.count()
+
+
+def test_states_of_passes_are_dealt_to_given_tasks(spark):
+    from hoopflow.operators import datasets as D
+    f = P.possession_frames(Source(spark, SF)("fx_tracking_c"))
+    assert D._states_at(f, f.where("frame_idx % 50 = 0"), 23).rdd.getNumPartitions() == 23
