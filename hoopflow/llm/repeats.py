@@ -8,13 +8,19 @@ of about ``GROUP_BYTES`` of text:
 0. exact copies of texts with smaller ids are set aside: all their windows repeat;
 1. each group sends its distinct anchors, packed by anchor bucket;
 2. each bucket tells the groups which of their anchors occur elsewhere as well;
-3. each group sends the phrases (runs of windows with one anchor) of those anchors;
-4. each bucket compares the windows of its phrases and returns the repeated runs;
-5. each group turns the runs of its documents into result rows.
-
-The text is shuffled once (the exchange is reused). An anchor of very many groups is dealt
-by window instead of by anchor, so that contexts of one frequent anchor spread over all
-buckets; a group sends a hot phrase once per document of its own only.
+3. each group sends the fingerprint and first place of its distinct phrases (runs of windows
+   with one anchor) of those anchors;
+4. each bucket tells the groups which phrases start earlier elsewhere (all their windows repeat)
+   and which are the first of their kind while other phrases share the anchor;
+5. each group sends only these first phrases whole, a distinct phrase once in the corpus;
+6. each bucket compares the windows of its phrases and returns the repeated runs;
+7. each group turns the runs of its documents into result rows.
+
+A phrase is known by 64 bits over all its symbols beside 32 bits and the bucket of its anchor. The
+text is shuffled once (the exchange is reused). Groups and buckets both grow with the input, so
+a message is kept large: buckets of anchors and fingerprints hold 16 MB of text. An anchor of very
+many groups is dealt by fingerprint and then by window instead of by anchor, so that contexts
+of one frequent anchor spread over all buckets.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoopflow.llm.text import gram_hashes, utf8
+from hoopflow.llm.text import gram_hashes, mix, utf8
 
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 4_000_000
+#: Text whose anchors, and whose whole phrases, meet in one bucket.
+ANCHOR_BYTES, PHRASE_BYTES = 16_000_000, 3_000_000
 #: Symbols worked on at once; longer documents are cut into overlapping pieces.
 PIECE = 1 << 20
 #: Anchors in more groups than this are dealt by window.
@@ -166,6 +174,32 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.stack([ids[which], used[which], start, count])
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    low = int(ids.min())
+    if int(ids.max()) - low < 1 << 32:
+        return np.int64(low).tobytes() + (ids - low).astype(np.uint32).tobytes()
+    return np.int64(low).tobytes() + ids.tobytes()
+
+
+def _unpack_ids(raw: bytes, n: int) -> np.ndarray:
+    if len(raw) == 8 + 4 * n:
+        return np.frombuffer(raw, np.uint32, n, 8).astype(np.int64) + np.frombuffer(raw, np.int64, 1)
+    return np.frombuffer(raw, np.int64, n, 8)
+
+
+def _bits(raw: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(raw, sizes)]).astype(bool)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before; the first row does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     return table.column("_id").to_numpy()
 
@@ -178,7 +212,8 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
                         F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     total = plain.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     n_groups = max(1, total // group_bytes)
-    n_buckets = max(8, total // (200_000 * 15))
+    n_anchors, n_buckets = max(8, total // ANCHOR_BYTES), max(8, total // PHRASE_BYTES)
+    weights = np.random.default_rng(51).integers(1, 2**63, 2 * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     dealt = plain.withColumn("_g", F.pmod(F.xxhash64("_id", "_h"), F.lit(n_groups)))
     grouped = dealt.groupBy("_g")
     same = ["_h", "_n", "_c"]
@@ -195,8 +230,8 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
             return table, np.zeros(table.num_rows, bool)
         return table, np.fromiter(map(known.__contains__, zip(table.column("_id").to_pylist(), table.column("_h").to_pylist())), bool, table.num_rows)
 
-    def said(messages: pa.Table, column: str) -> list:
-        return [x for k, x in zip(messages.column("k").to_pylist(), messages.column(column).to_pylist()) if k]
+    def said(messages: pa.Table, column: str, kind: int = 1) -> list:
+        return [x for k, x in zip(messages.column("k").to_pylist(), messages.column(column).to_pylist()) if k == kind]
 
     def found(table: pa.Table, copy: np.ndarray):
         texts = table.column("_text")
@@ -206,7 +241,7 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
 
     def short(anchor: np.ndarray) -> np.ndarray:
         """Bucket and 32 bits of an anchor: this only selects candidates, so a rare clash costs time, not results."""
-        return (anchor % np.uint64(n_buckets)) << np.uint64(32) | anchor >> np.uint64(32)
+        return (anchor % np.uint64(n_anchors)) << np.uint64(32) | anchor >> np.uint64(32)
 
     def send_anchors(table: pa.Table, messages: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -243,26 +278,97 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
                 hots.append(np.packbits(hot[at[keep]]).tobytes())
         return message(g, a, hots, table.column("b")[0].as_py())
 
-    def message(g: list, a: list, m: list, bucket: int = 0) -> pa.Table:
+    def message(g: list, a: list, m: list, bucket: int = 0, kind: int = 1) -> pa.Table:
         n = len(g)
-        return pa.table({"_g": pa.array(g, pa.int64()), "k": pa.array([1] * n, pa.int32()), "i": pa.array([bucket] * n, pa.int64()), "_h": pa.array([0] * n, pa.int64()),
+        return pa.table({"_g": pa.array(g, pa.int64()), "k": pa.array([kind] * n, pa.int32()), "i": pa.array([bucket] * n, pa.int64()), "_h": pa.array([0] * n, pa.int64()),
                          "a": pa.array(a, pa.binary()), "m": pa.array(m, pa.binary())})
 
-    def send_phrases(table: pa.Table, known: pa.Table) -> pa.Table:
-        empty = {n: pa.array([], t) for n, t in (("b", pa.int64()), ("_g", pa.int64()), ("h", pa.binary()), ("c", pa.binary()))}
-        lists = [np.uint64(b << 32) | np.frombuffer(x, np.uint32) for b, x in zip(said(known, "i"), said(known, "a"))]
+    def fingerprints(h: np.ndarray, rows: np.ndarray, p: Phrases) -> np.ndarray:
+        out = np.empty(len(p.row), np.uint64)
+        for i in range(0, len(out), 1 << 15):
+            part = slice(i, i + (1 << 15))
+            sizes = p.count[part] + length - 1
+            cut = np.cumsum(sizes) - sizes
+            at = expand(rows[p.row[part]] + p.start[part], sizes)
+            out[part] = np.add.reduceat(h[at] * weights[expand(np.zeros(len(sizes), np.int64), sizes)], cut)
+        return mix(out)
+
+    def shared(table: pa.Table, messages: pa.Table):
+        """The group's rows, its phrases of anchors that occur elsewhere too, whether an anchor is hot, and the order of the distinct phrases.
+
+        The order is by bucket, anchor, fingerprint and place; ``new`` marks the first, that is the earliest, of each."""
+        lists = [np.uint64(b << 32) | np.frombuffer(x, np.uint32) for b, x in zip(said(messages, "i"), said(messages, "a"))]
         if not lists or not table.num_rows:
-            return pa.table(empty)
-        hot = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)).astype(bool) for x, a in zip(said(known, "m"), lists)])
+            return None
+        hot = _bits(said(messages, "m"), [len(a) for a in lists])
         known_a = np.concatenate(lists)
         order = np.argsort(known_a)
         known_a, hot = known_a[order], hot[order]
-        table, copy = own(table, known)
+        table, copy = own(table, messages)
         data, offsets, h, rows, p = found(table, copy)
         key = short(p.anchor)
         at = np.minimum(np.searchsorted(known_a, key), len(known_a) - 1)
         keep = known_a[at] == key
-        p, is_hot = Phrases(p.row[keep], p.start[keep], p.count[keep], p.anchor[keep]), hot[at[keep]]
+        p, hot = Phrases(p.row[keep], p.start[keep], p.count[keep], p.anchor[keep]), hot[at[keep]]
+        a, x, doc = p.anchor >> np.uint64(32), fingerprints(h, rows, p), _ids(table)[p.row]
+        bucket = np.where(hot, x, p.anchor) % np.uint64(n_anchors)
+        place = p.start if m.within else np.zeros(len(doc), np.int64)
+        order = np.lexsort((place, doc, x, a, bucket))
+        new = _changes(bucket[order], a[order], x[order])
+        return table, data, offsets, h, rows, p, hot, a, x, doc, place, bucket.astype(np.int64), order, new
+
+    def send_fingerprints(table: pa.Table, messages: pa.Table) -> pa.Table:
+        s, out = shared(table, messages), []
+        if s:
+            *_, hot, a, x, doc, place, bucket, order, new = s
+            first = order[new]
+            for b, i in _by_bucket(bucket[first]):
+                i = first[i]
+                out.append((b, a[i].astype(np.uint32).tobytes(), x[i].tobytes(), _pack_ids(doc[i]), place[i].astype(np.int32).tobytes() if m.within else None, np.packbits(hot[i]).tobytes()))
+        g = [table.column("_g")[0].as_py()] * len(out) if out else []
+        return pa.table({"b": pa.array([o[0] for o in out], pa.int64()), "_g": pa.array(g, pa.int64()),
+                         **{n: pa.array([o[j] for o in out], pa.binary()) for j, n in enumerate(("a", "x", "d", "s", "m"), 1)}})
+
+    def settle(table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.uint32) for x in table.column("a").to_pylist()]
+        sizes = [len(x) for x in lists]
+        a = np.concatenate(lists)
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.uint64)
+        doc = np.concatenate([_unpack_ids(r, n) for r, n in zip(table.column("d").to_pylist(), sizes)])
+        place = np.frombuffer(b"".join(table.column("s").to_pylist()), np.int32) if m.within else np.zeros(len(a), np.int32)
+        order = np.lexsort((place, doc, x, a))
+        ao, do, so = a[order], doc[order], place[order]
+        new, new_anchor = _changes(ao, x[order]), _changes(ao)
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1] > 1
+        later, alone = np.empty(len(a), bool), np.empty(len(a), bool)
+        later[order] = (do != do[head]) | (so != so[head])
+        alone[order] = ~several
+        first = ~later & (~alone | _bits(table.column("m").to_pylist(), sizes))
+        cut = np.cumsum(sizes)[:-1]
+        return message(table.column("_g").to_pylist(), [np.packbits(v).tobytes() for v in np.split(later, cut)],
+                       [np.packbits(v).tobytes() for v in np.split(first, cut)], table.column("b")[0].as_py(), 2)
+
+    def send_phrases(table: pa.Table, messages: pa.Table) -> pa.Table:
+        s, out = shared(table, messages), []
+        if not s:
+            return pa.table({n: pa.array([], t) for n, t in (("b", pa.int64()), ("_g", pa.int64()), ("h", pa.binary()), ("c", pa.binary()))})
+        table, data, offsets, h, rows, p, is_hot, _, _, doc, place, bucket, order, new = s
+        g = table.column("_g")[0].as_py()
+        answers = dict(zip(said(messages, "i", 2), zip(said(messages, "a", 2), said(messages, "m", 2))))
+        names, sizes = np.unique(bucket[order[new]], return_counts=True)
+        later, first = (_bits([answers[b][j] for b in names.tolist()], sizes.tolist()) if len(names) else np.zeros(0, bool) for j in (0, 1))
+        kind = np.cumsum(new) - 1
+        head = order[np.flatnonzero(new)[kind]] if len(order) else order
+        repeated, whole = np.empty(len(order), bool), np.empty(len(order), bool)
+        repeated[order] = later[kind] | (doc[order] != doc[head]) | (place[order] != place[head])
+        whole[order] = first[kind]
+        whole &= ~repeated
+        row, at = np.repeat(p.row[repeated], p.count[repeated]), expand(p.start[repeated], p.count[repeated])
+        by = np.lexsort((at, row))
+        if len(by):  # a message to itself, past the buckets
+            out.append((-1 - g, np.stack(runs(row[by], at[by])).astype(np.int64).tobytes(), None))
+        p, is_hot = Phrases(p.row[whole], p.start[whole], p.count[whole], p.anchor[whole]), is_hot[whole]
         bucket = p.anchor % np.uint64(n_buckets)
         if is_hot.any():  # these go as single windows, by the hash of the window
             c = p.count[is_hot]
@@ -276,14 +382,14 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
         blob, sizes = m.content(data, offsets, h, rows, p), m.size(p.count)
         ids = _ids(table)
         cut = np.cumsum(sizes) - sizes
-        out = []
         for b, i in _by_bucket(bucket.astype(np.int64)):
             out.append((b, _pack(ids, p.row[i], p.start[i], p.count[i]), blob[expand(cut[i], sizes[i])].tobytes()))
-        g = table.column("_g")[0].as_py()
         return pa.table({"b": pa.array([o[0] for o in out], pa.int64()), "_g": pa.array([g] * len(out), pa.int64()),
                          "h": pa.array([o[1] for o in out], pa.binary()), "c": pa.array([o[2] for o in out], pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
+        if table.column("b")[0].as_py() < 0:
+            return message(table.column("_g").to_pylist(), table.column("h").to_pylist(), [None] * table.num_rows)
         heads = [_unpack(x) for x in table.column("h").to_pylist()]
         group = np.repeat(np.arange(len(heads)), [x.shape[1] for x in heads])
         doc, row, start, count = np.concatenate(heads, axis=1)
@@ -326,6 +432,8 @@ def repeated_windows(docs: DataFrame, method: Method, id_col: str = "doc_id", te
     told = "_g long, k int, i long, _h long, a binary, m binary"
     anchors = grouped.cogroup(copies.groupBy("_g")).applyInArrow(send_anchors, "b long, _g long, a binary, m binary")
     known = anchors.groupBy("b").applyInArrow(answer, told)
-    sent = grouped.cogroup(known.union(copies).groupBy("_g")).applyInArrow(send_phrases, "b long, _g long, h binary, c binary")
+    prints = grouped.cogroup(known.union(copies).groupBy("_g")).applyInArrow(send_fingerprints, "b long, _g long, a binary, x binary, d binary, s binary, m binary")
+    firsts = prints.groupBy("b").applyInArrow(settle, told)
+    sent = grouped.cogroup(firsts.union(known).union(copies).groupBy("_g")).applyInArrow(send_phrases, "b long, _g long, h binary, c binary")
     bad = sent.groupBy("b").applyInArrow(compare, told)
     return grouped.cogroup(bad.union(copies).groupBy("_g")).applyInArrow(finish, m.schema)

@@ -90,8 +90,14 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    acc = np.zeros(n, np.uint64)
-    for j in range(k):
-        acc *= _STEP
-        acc += h[j:j + n]
+    run, size, acc, done = h, 1, None, 0  # runs of 1, 2, 4, ... symbols, put together as the bits of k say
+    while True:
+        step = np.uint64(pow(int(_STEP), size, 1 << 64))
+        if k & size:
+            acc = run[:len(h) - size + 1] if acc is None else acc[:len(run) - done] * step + run[done:]
+            done += size
+        if done == k:
+            break
+        run = run[:-size] * step + run[size:]
+        size *= 2
     return mix(acc)

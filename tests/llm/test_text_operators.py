@@ -90,6 +90,36 @@ def test_bytes_and_words_match_brute_force(odd, docs, options):
         same(substrings.remove_repeats(d, 20, **options).drop("kept").collect(), brute_words(rows, 20))
 
 
+def shuffled(spark, df):
+    """Bytes that a query's shuffles write."""
+    def total():
+        every = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_passages_of_many_documents_are_sent_once(spark):
+    """Parts of a pool of passages in all documents, with equal ids and parts cut inside a phrase: same rows, few bytes."""
+    ship(spark)
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789    "))
+    pool = ["".join(rng.choice(letters, 3000)) for _ in range(12)]
+    rows = []
+    for i in range(300):
+        parts = [pool[k][(0 if j else int(rng.integers(0, 200))):] for j, k in enumerate(rng.choice(12, 3, replace=False))]
+        rows.append((int(i - i % 7 // 6), " ".join([*parts, "".join(rng.choice(letters, 500))])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t) for _, t in rows)
+    for hot in (1, 256):
+        out = suffix.remove_repeats(d, 50, group_bytes=100_000, hot_groups=hot).drop("kept")
+        assert shuffled(spark, out) < 3 * size
+        same(out.collect(), brute_bytes(rows, 50))
+        same(substrings.remove_repeats(d, 20, group_bytes=100_000, hot_groups=hot).drop("kept").collect(), brute_words(rows, 20))
+
+
 def brute_components(rows, n, percent=80):
     sets, ids = [], []
     for i, t in rows:
