@@ -101,3 +101,9 @@ def test_moments_are_dealt_to_tasks_that_grow_with_the_events(spark, tmp_path, n
 def test_copies_of_a_moment_and_odd_clocks(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, events=f"SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN event_id - 125 ELSE event_id END AS event_id) FROM '{SF}/events.parquet' WHERE event_id >= 125")
     assert got == want
+
+
+def test_best_play_of_a_state_without_candidates(spark, tmp_path):
+    said = "SELECT CAST(c AS BIGINT) AS conv_id, CAST(1 AS BIGINT) AS turn, 'user' AS role, x AS text FROM (VALUES (1, 'best'), (99999999, 'best'), (99999999, 'next'), (99999999, 'why'), (99999999, 'drive')) AS v(c, x)"
+    got, want = both(spark, tmp_path, "txt_intent_answer", conversations=said)
+    assert got == want
