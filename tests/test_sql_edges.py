@@ -107,3 +107,12 @@ def test_best_play_of_a_state_without_candidates(spark, tmp_path):
     said = "SELECT CAST(c AS BIGINT) AS conv_id, CAST(1 AS BIGINT) AS turn, 'user' AS role, x AS text FROM (VALUES (1, 'best'), (99999999, 'best'), (99999999, 'next'), (99999999, 'why'), (99999999, 'drive')) AS v(c, x)"
     got, want = both(spark, tmp_path, "txt_intent_answer", conversations=said)
     assert got == want
+
+
+def test_route_leads_to_an_action(spark, tmp_path):
+    said = ["best", "next", "why", "drive right", "pass it", "to 7", "to #28", "hello", "best"]
+    rows = ", ".join(f"({i % 8}, 1, 'user', {t!r})" for i, t in enumerate(said))
+    got, want = both(spark, tmp_path, "txt_intent_route", conversations=f"SELECT CAST(c AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, x AS text FROM (VALUES {rows}) AS v(c, t, r, x)")
+    assert got == want
+    # Columns by name: action_id, conv_id, direction, intent, n, number, place, role, turn.
+    assert sum(r[0] != "~" for r in got) >= 4 and {r[5] for r in got} >= {"7.0000", "28.0000"}
