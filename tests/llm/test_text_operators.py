@@ -415,3 +415,21 @@ def test_stages_with_any_other_columns(spark, docs):
         assert Counter(r[:5] for r in map(tuple, rows)) == Counter(map(tuple, want.collect()))
         assert all((r["_row_key"], r["a b"], r["a-b"], r["a.b"]) == (-5, "x", [1], None) for r in rows)
         assert stage(spark, more.limit(0), SF).collect() == []
+
+
+def test_search_of_packing_beats_best_fit():
+    length = sorted(np.random.default_rng(1).integers(150, 520, 1500).tolist())
+    fit = packing.best_fit(list(range(len(length))), length, [], 1024)
+    bins = packing._decode(packing.evolve(length, [], 1, 1024, packing.GENERATIONS, packing.POPULATION))
+    assert sorted(x for b in bins for x in b) == list(range(len(length))) and all(sum(length[x] for x in b) <= 1024 for b in bins)
+    # The bound is 494; plain best-fit takes 513.
+    assert 494 <= len(bins) < 0.98 * len(fit)
+
+
+def test_lower_bound_of_packing_never_exceeds_a_packing():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5, 9, 40):
+        for _ in range(30):
+            length = rng.integers(1, 33, n).tolist()
+            assert -(-sum(length) // 32) <= packing.lower_bound(length, 32) <= len(packing.best_fit(list(range(n)), length, [], 32))
+    assert packing.lower_bound([20, 20, 20], 32) == 3
