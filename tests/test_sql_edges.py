@@ -116,3 +116,15 @@ def test_route_leads_to_an_action(spark, tmp_path):
     assert got == want
     # Columns by name: action_id, conv_id, direction, intent, n, number, place, role, turn.
     assert sum(r[0] != "~" for r in got) >= 4 and {r[5] for r in got} >= {"7.0000", "28.0000"}
+
+
+def test_state_files_are_small(spark, tmp_path, monkeypatch):
+    from hoopflow.plans import staging
+    from hoopflow.plans.registry import QUERIES
+    out = tmp_path / "states"
+    monkeypatch.setattr(staging, "fresh_path", lambda spark, name: str(out))
+    n = QUERIES["sink_state_json"](spark, SF).count()
+    files = _files(out, ".json.gz")
+    assert n == 1000 and files and not _files(out, ".json")
+    # Plain text takes over 3,000 bytes a state.
+    assert sum(f.stat().st_size for f in files) < 1000 * n
