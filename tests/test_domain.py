@@ -253,3 +253,19 @@ def test_states_of_passes_are_dealt_to_given_tasks(spark):
     from hoopflow.operators import datasets as D
     f = P.possession_frames(Source(spark, SF)("fx_tracking_c"))
     assert D._states_at(f, f.where("frame_idx % 50 = 0"), 23).rdd.getNumPartitions() == 23
+
+
+def test_value_model_is_fitted_on_all_rows(spark, monkeypatch):
+    from hoopflow.operators import models as M
+    import __spark_entry__ as entry
+    d = spark.range(40000).selectExpr("id / 40000 AS a", "id % 7 / 1 AS b", "CASE WHEN id >= 20000 THEN 2e0 ELSE 0e0 END AS y", "1e0 AS w")
+    model = M.fit_value(d, ["a", "b"], rounds=1, depth=1)
+    assert model.stages[-1].getSubsamplingRate() == 1.0
+    # The only step lies at a quantile of all rows, so one split finds it to the rank error.
+    p = M.predict(model, d, "p").selectExpr("a", "p", "y").collect()
+    assert sum(abs(r.p - r.y) > 0.5 for r in p) <= 2 * M.QUANTILE_ERROR * len(p)
+    seen = []
+    monkeypatch.setattr(M, "fit_value", lambda v, validation=None: seen.append((v.count(), v.selectExpr("max(frame_idx % 15)").first()[0])) or model)
+    monkeypatch.setattr(M, "predict", lambda m, v, out: v.withColumn(out, F.lit(0.0)))
+    entry.queries()["ml_fit_value"](spark, SF)
+    assert seen[0][1] == 14
