@@ -269,3 +269,30 @@ def test_value_model_is_fitted_on_all_rows(spark, monkeypatch):
     monkeypatch.setattr(M, "predict", lambda m, v, out: v.withColumn(out, F.lit(0.0)))
     entry.queries()["ml_fit_value"](spark, SF)
     assert seen[0][1] == 14
+
+
+def test_candidates_by_batch_equal_those_by_column(spark):
+    from hoopflow import fixed as K
+    from hoopflow.operators import actions as A, features as FT, futures as FU
+    key, act, h = ["possession_id", "frame_idx"], F.col("action"), F.col("handler")
+    f = P.possession_frames(Source(spark, SF)("fx_tracking_c")).limit(300)
+    # Some frames lack the ball, the shot clock, velocities or all but one defender.
+    some = F.filter("players", lambda p: (p["side"] == "offense") | (p["player_id"] % 5 == 3))
+    odd = f.withColumns({"possession_id": F.concat(F.lit("odd"), "possession_id"), "players": F.when(F.col("frame_idx") % 3 == 0, F.filter("players", lambda p: p["side"] == "offense"))
+                         .when(F.col("frame_idx") % 3 == 1, some).otherwise(F.transform("players", lambda p: p.withField("vx", F.lit(None).cast("double")))),
+                         "ball": F.when(F.col("frame_idx") % 2 == 0, F.col("ball")), "shot_clock": F.lit(None).cast("double")})
+    s = ST.build(f.unionByName(odd)).persist()
+    got = FU.candidates(s, key)
+    c = A.enumerate_actions(s).withColumns({"_def": ST.of_side("players", "defense"), "_t": F.get(F.filter("players", lambda p: p["player_id"] == F.col("target")), F.lit(0))})
+    now = {f"{kind}_{n}": F.when(act == name, v) for kind, name, m in (("shot", "SHOOT", FT.shot(h, F.col("shot_clock"))), ("pass", "PASS_TO", FT.passing(F.col("_def"), h, F.col("_t"))),
+                                                                      ("drive", "DRIVE", FT.driving(F.col("_def"), h, F.coalesce("direction", F.lit("middle"))))) for n, v in m.items() if f"{kind}_{n}" in FU.NOW}
+    want = c.select(*key, "ord", "action", "actor", "target", "direction", "zone", "target_zone", "target_open", F.col("_t.nearest_defender.dist").alias("target_sep"), *[v.cast("double").alias(n) for n, v in now.items()])
+    nxt = FT.mean_pool(FT.entities(A.next_states(A.enumerate_actions(s))))
+    near = F.col("handler.nearest_defender")
+    after = nxt.select(*key, "ord", h["player_id"].alias("next_handler"), near["player_id"].alias("next_def_id"), h["zone"].alias("next_zone"), near["dist"].alias("next_def_dist"), near["angle_deg"].alias("next_def_angle"),
+                       h["defender_pressure"].alias("next_pressure"), *[h[n].alias(f"next_{n}") for n in ("x", "y", "speed", "dist_to_rim", "angle_to_rim_deg")], *[F.col(n[6:]).alias(n) for n in FU.DOUBLES if n.startswith("value_")])
+    rows = lambda d, cols: sorted(tuple("~" if r[n] is None else f"{r[n] + 0.0:.9f}" if isinstance(r[n], float) else str(r[n]) for n in cols) for r in d.select(*cols).collect())
+    for d, part in ((want, got), (after, got.where("action <> 'SHOOT'"))):
+        a = rows(part, d.columns)
+        assert len(a) > 2000 and a == rows(d, d.columns)
+    s.unpersist()
