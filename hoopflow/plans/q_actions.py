@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hoopflow import fixed as K
 from hoopflow.functions import geometry as G
 from hoopflow.functions.geometry import r4
-from hoopflow.operators import actions as A, features as FT, state as ST
+from hoopflow.operators import actions as A, features as FT, futures as FU, state as ST
 from hoopflow.plans.q_geometry import segment_sql
 from hoopflow.plans.q_possessions import frames
 from hoopflow.plans.q_state import E, state_sql, states
@@ -197,11 +197,10 @@ cte("o_next", state_sql("o_mholder", "o_mnear", "0"))
 @query("act_transition", f"""SELECT possession_id, frame_idx, action, player_id AS handler_id, {R('sx')} AS x, {R('sy')} AS y, {R('speed')} AS speed, zone, def_id, {R('def_dist')} AS def_dist,
   {R('def_angle')} AS def_angle, {R('pressure')} AS pressure FROM o_next""")
 def _(src):
-    n = A.next_states(A.enumerate_actions(states(src)))
-    h = F.col("handler")
-    return n.select(F.concat_ws("|", "possession_id", F.col("ord").cast("string")).alias("possession_id"), "frame_idx", "action", h["player_id"].alias("handler_id"),
-                    r4(h["x"]).alias("x"), r4(h["y"]).alias("y"), r4(h["speed"]).alias("speed"), h["zone"].alias("zone"), h["nearest_defender"]["player_id"].alias("def_id"),
-                    r4(h["nearest_defender"]["dist"]).alias("def_dist"), r4(h["nearest_defender"]["angle_deg"]).alias("def_angle"), r4(h["defender_pressure"]).alias("pressure"))
+    n = FU.candidates(frames(src), ["possession_id", "frame_idx"], built=False).where("action <> 'SHOOT'")
+    return n.select(F.concat_ws("|", "possession_id", F.col("ord").cast("string")).alias("possession_id"), "frame_idx", "action", F.col("next_handler").alias("handler_id"),
+                    *[r4(f"next_{c}").alias(c) for c in ("x", "y", "speed")], F.col("next_zone").alias("zone"), F.col("next_def_id").alias("def_id"),
+                    *[r4(f"next_{c}").alias(c) for c in ("def_dist", "def_angle", "pressure")])
 
 
 # Scoring and ranking over a plain candidate table --------------------------------
