@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hoopflow.functions import geometry as G
 from hoopflow.functions.geometry import r4
-from hoopflow.operators import possessions as P, state as ST
+from hoopflow.operators import futures as FU, possessions as P, state as ST
 from hoopflow.plans.q_geometry import pressure_sql, zone_sql
 from hoopflow.plans.q_possessions import frames
 from hoopflow.plans.registry import R, cte, query
@@ -86,7 +86,8 @@ def _(src):
 
 @query("state_build_sequence", f"SELECT {SCOLS} FROM o_states")
 def _(src):
-    return state_rows(states(src, touches=True))
+    p = FU.player_rows(frames(src), "possession_id", "frame_idx")
+    return p.select(*PK, "has_ball", "zone", "def_id", *[r4(c).alias(c) for c in FU.MEASURES])
 
 
 @query("win_since_touch", f"SELECT {', '.join(PK)}, {R('since_touch')} AS since_touch FROM o_states")

@@ -296,3 +296,32 @@ def test_candidates_by_batch_equal_those_by_column(spark):
         a = rows(part, d.columns)
         assert len(a) > 2000 and a == rows(d, d.columns)
     s.unpersist()
+
+
+def test_frames_measured_by_batch_equal_states(spark):
+    from hoopflow.operators import futures as FU
+    from hoopflow.plans import q_state as QS
+    key = ["possession_id", "frame_idx"]
+    f = P.possession_frames(Source(spark, SF)("fx_tracking_c")).persist()
+    want = QS.state_rows(ST.build(ST.with_touches(f, ["game_id", "event_id", "possession_id"], F.col("frame_idx")), True))
+    got = FU.player_rows(f, *key)
+    got = got.select(*[G.r4(c).alias(c) if c in FU.MEASURES else F.col(c) for c in want.columns])
+    assert got.count() == want.count() > 5000 and got.exceptAll(want).count() == 0
+    rows = lambda d: d.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes])
+    a, b = rows(FU.candidates(f, key, built=False)), rows(FU.candidates(ST.build(f), key))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    f.unpersist()
+
+
+def test_last_touches_go_on_in_the_next_batch():
+    from hoopflow.operators import futures as FU
+    group, handler = np.array([1] * 5 + [2] * 4), np.array([7, -1, 8, -1, -1, -1, 8, -1, 7])
+    clock, ids = 100.0 - np.arange(9), np.array([[7, 8]] * 9)
+    whole, last = FU._touches(group, handler, clock, ids, {})
+    assert np.array_equal(whole, np.array([[100, np.nan], [100, np.nan], [100, 98], [100, 98], [100, 98], [np.nan, np.nan], [np.nan, 94], [np.nan, 94], [92, 94]]), equal_nan=True)
+    assert last == {7: 92.0, 8: 94.0}
+    for cut in range(1, 9):
+        first, carried = FU._touches(group[:cut], handler[:cut], clock[:cut], ids[:cut], {})
+        goes_on = group[cut] == group[cut - 1]
+        rest, end = FU._touches(group[cut:] - group[cut] + (not goes_on), handler[cut:], clock[cut:], ids[cut:], carried if goes_on else {})
+        assert np.array_equal(np.concatenate([first, rest]), whole, equal_nan=True) and end == last
